@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopygrid.llm import gam, pii, quality_rules
+from canopygrid.llm import decontamination, gam, pii, quality_rules
 from canopygrid.llm.common import table_path
 from canopygrid.llm.mixing import mixed
 from canopygrid.llm.sharding import sharded
@@ -37,6 +37,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "shared", "similarity")
+
+
 def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharded(table(spark, sf_dir, "documents"), shards=24)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -58,6 +63,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_mix_sources": op6_mix_sources,
+    "op7_decontamination": op7_decontamination,
     "op8_ring_shards": op8_ring_shards,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_personal_data": op10_personal_data,
@@ -65,4 +71,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality_rules.ORACLE,
+    "op7_decontamination": decontamination.ORACLE,
 }
