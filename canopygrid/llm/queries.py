@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopygrid.llm import decontamination, gam, pii, quality_rules
+from canopygrid.llm import decontamination, gam, line_dedup, pii, quality_rules
 from canopygrid.llm.common import table_path
 from canopygrid.llm.mixing import mixed
 from canopygrid.llm.sharding import sharded
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.per_document(line_dedup.line_classes(table(spark, sf_dir, "documents")))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"), words=3, width=1, radius=3)
     return groups.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
@@ -59,6 +63,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
@@ -70,6 +75,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
 }
