@@ -191,11 +191,11 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", most: in
     return fit(np.array([x for _, _, x in found]).reshape(-1, len(FEATURES)), np.array([y for _, y, _ in found], np.float64))
 
 
-def scored(docs: DataFrame, model: Gam) -> DataFrame:
-    """``docs`` with ``score``."""
+def score_of(text: Column, model: Gam) -> Column:
+    """The score of each text."""
 
     @F.arrow_udf("double")
-    def score(text: pa.Array) -> pa.Array:
-        return pa.array(model.score(matrix(text)))
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(matrix(texts)))
 
-    return docs.withColumn("score", score(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return score(F.coalesce(text.cast("string"), F.lit("")))

@@ -156,9 +156,9 @@ def per_document(lines: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """``docs`` with the removed lines taken out of each text."""
-    gone = line_classes(docs, edits).where("removed").groupBy(F.col("doc_id").alias("gone_from")).agg(F.collect_set("line_no").alias("gone"))
-    keep = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce(F.col("gone"), F.array().cast("array<int>")), i))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_from")), "left").withColumn("text", F.array_join(keep, "\n")).drop("gone", "gone_from")
+    gone = line_classes(docs, edits).where("removed").groupBy(F.col("doc_id").alias("__from")).agg(F.collect_set("line_no").alias("__gone"))
+    keep = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.coalesce(F.col("__gone"), F.array().cast("array<int>")), i))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__from")), "left").withColumn("text", F.array_join(keep, "\n")).drop("__gone", "__from")
 
 
 ORACLE = rf"""

@@ -67,9 +67,10 @@ def settled(items: Column) -> Column:
     return F.aggregate(F.slice(items, 2, F.greatest(F.size(items), F.lit(1))), start, step)
 
 
-def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 11) -> DataFrame:
-    """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copies`` of every document."""
-    base = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size")), "mix-sizes")
+def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 11, row: str | None = None) -> DataFrame:
+    """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copies`` of every document; ``row``: a column that identifies rows and is returned under its name."""
+    row_id = F.col(f"`{row}`") if row else F.lit(None).cast("long")
+    base = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), row_id.alias("row_id")), "mix-sizes")
     by_class = base.groupBy("source", size_class(F.col("size")).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     by_class = written(by_class.withColumn("groups", F.ceil(F.col("n") / FAN)), "mix-classes")
     sources = written(targets(by_class.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights), "mix-targets")
@@ -78,7 +79,7 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple
     classes = written(classes.withColumn("rate", rate), "mix-plan")
     rows = base.join(small(classes), base.source.eqNullSafe(classes.s) & (size_class(base.size) == classes.c)).drop("s", "c")
     rows = rows.withColumn("whole", F.floor("rate"))
-    item = F.struct(F.col("size"), F.xxhash64("doc_id", F.lit(seed)).alias("h"), F.col("doc_id"), (F.col("rate") - F.col("whole")).alias("p"), F.lit(0.0).alias("u"), F.col("whole"))
+    item = F.struct(F.col("size"), F.xxhash64("doc_id", F.lit(seed)).alias("h"), F.col("doc_id"), (F.col("rate") - F.col("whole")).alias("p"), F.lit(0.0).alias("u"), F.col("whole"), F.col("row_id"))
     group = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("groups"))
     level = rows.select("source", "source_size", "target", size_class(F.col("size")).alias("class"), group.alias("node"), item.alias("item"))
     depth, most_groups = 0, by_class.agg(F.max("groups")).first()[0] or 0
@@ -101,4 +102,16 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple
     every = out[0]
     for more in out[1:]:
         every = every.unionByName(more)
-    return every.select("item.doc_id", "source", "item.size", "source_size", "target", (F.col("item.whole") + F.col("copies")).alias("copies"))
+    named = [F.col("item.row_id").alias(row)] if row else []
+    return every.select("item.doc_id", "source", "item.size", "source_size", "target", (F.col("item.whole") + F.col("copies")).alias("copies"), *named)
+
+
+def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+    """The rows of the mix: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    taken = written(mixed(numbered, row=row, **how).where("copies > 0").select(row, F.col("copies").cast("int").alias(row + "_copies")), "mix-taken")
+    repeated = numbered.join(small(taken, 1_000_000), row).withColumn(row, F.explode(F.sequence(F.lit(1), F.col(row + "_copies"))))
+    return repeated.select(*docs.columns)

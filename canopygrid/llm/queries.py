@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from canopygrid.llm import decontamination, gam, line_dedup, pii, quality_rules
 from canopygrid.llm.common import table_path
+from canopygrid.llm.lm_score import lm_scores
 from canopygrid.llm.mixing import mixed
 from canopygrid.llm.sharding import sharded
 from canopygrid.llm.simhash import simhash_groups
@@ -17,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.per_document(line_dedup.line_classes(table(spark, sf_dir, "documents")))
 
@@ -32,7 +37,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scores = gam.scored(docs.select("doc_id", "text"), gam.learned(docs, table(spark, sf_dir, "labels")))
+    model = gam.learned(docs, table(spark, sf_dir, "labels"))
+    scores = docs.select("doc_id", gam.score_of(F.col("text"), model).alias("score"))
     return scores.select("doc_id", gam.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= gam.THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -63,6 +69,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_line_dedup": op2_line_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,

@@ -163,6 +163,13 @@ def links(classes: DataFrame, width: int, radius: int, blocks: int = 5, part: in
     return dealt.mapInArrow(lambda batches: _forest(batches, width, radius), "a long, b long")
 
 
+def _classes(docs: DataFrame, words: int, width: int, keys: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Every document's fingerprint, and each fingerprint's smallest doc_id (``rep``) with that document's keys."""
+    prints = written(fingerprints(docs, words, width, keys), name)
+    first = [F.min_by("keys", "doc_id").alias("keys")] if keys else []
+    return prints, written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), *first), name + "-classes")
+
+
 def simhash_groups(docs: DataFrame, words: int = 3, width: int = 1, radius: int = 3, blocks: int = 5, keys: int = 0, name: str = "simhash") -> DataFrame:
     """Fingerprint and component of every document.
 
@@ -172,10 +179,29 @@ def simhash_groups(docs: DataFrame, words: int = 3, width: int = 1, radius: int
     similarity s share no bucket with probability (1 - s) ** keys.
     Returns ``doc_id``, ``fp`` (binary) and ``component_id``, the smallest doc_id reachable.
     """
-    prints = written(fingerprints(docs, words, width, keys), name)
-    first = [F.min_by("keys", "doc_id").alias("keys")] if keys else []
-    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), *first), name + "-classes")
+    prints, classes = _classes(docs, words, width, keys, name)
     roots = components(links(classes.where("rep is not null"), width, radius, blocks), name + "-links")
     named = classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     named = written(named, name + "-named")
     return prints.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+#: For five-word shingles and a similarity of 0.8: 256 bits, of which such documents differ in about 39, in 46 at most but one in ten times.
+WIDE = {"words": 5, "width": 4, "radius": 46, "keys": 8}
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``node``, ``root``: documents that are copies or near copies, and the smallest doc_id of their group; roots have no row.
+
+    Near copies are those within 3 of 64 bits over three-word shingles, or within the radius of ``WIDE`` over five-word shingles.
+    Documents with a null doc_id are in no group.
+    """
+    every = []
+    for words, width, radius, keys in ((3, 1, 3, 0), tuple(WIDE[k] for k in ("words", "width", "radius", "keys"))):
+        prints, classes = _classes(docs, words, width, keys, f"near-{width}")
+        same = prints.select("doc_id", "fp").join(classes.select("fp", "rep"), "fp").where("doc_id <> rep")
+        every += [same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), links(classes.where("rep is not null"), width, radius)]
+    union = every[0]
+    for more in every[1:]:
+        union = union.unionByName(more)
+    return components(written(union.distinct(), "near-links"), "near-components")
