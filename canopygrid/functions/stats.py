@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +64,9 @@ def t_statistic(a: str, b: str) -> tuple[Column, Column]:
 def keep_going(losses: DataFrame, group: str, best: str) -> DataFrame:
     """``group``, ``keep_going`` for each group of ``losses`` against the group named ``best``."""
 
-    @F.udf("double")
-    def tail(t: float, dof: int) -> float | None:
-        return None if t is None or dof is None or dof < 1 else t_tail(abs(t), dof)
+    @F.arrow_udf("double")
+    def tail(t: pa.Array, dof: pa.Array) -> pa.Array:
+        return pa.array([None if a is None or n is None or n < 1 else t_tail(abs(a), n) for a, n in zip(t.to_pylist(), dof.to_pylist())], pa.float64())
 
     stats = losses.groupBy(group).agg(F.count("loss").alias("n"), F.mean("loss").alias("m"), F.var_pop("loss").alias("v"), F.min("loss").alias("low"), F.max("loss").alias("high"))
     base = stats.where(F.col(group) == best).select(F.col("n").alias("bn"), F.col("m").alias("bm"), F.col("v").alias("bv"), F.col("high").alias("worst"))

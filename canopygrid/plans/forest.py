@@ -32,16 +32,20 @@ CELLS = 2_000_000
 TIE = 1e-13
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder that ``spark.checkpoint.dir`` names, and read again."""
-    spark = df.sparkSession
+def shared_path(spark, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names, or in one of our own where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="canopygrid-")
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder, and read again."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def image_packs(pixels: DataFrame) -> DataFrame:
