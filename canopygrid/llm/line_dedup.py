@@ -12,7 +12,7 @@ Empty table: empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopygrid.llm.common import WORD, small, written
@@ -23,6 +23,8 @@ EDITS = 2
 LEAST_CHARS = 20
 #: Line ids that may be broadcast, 8 bytes each.
 BROADCAST_IDS = 500_000
+#: Lines of a key that are weighed against each other in one array, on average.
+PART = 64
 TOP = 31
 MASK = (1 << (TOP + 1)) - 1
 
@@ -50,20 +52,32 @@ def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
     return [(d, i, o) for d in range(edits + 1) for i in range(edits + 1) for o in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1)]
 
 
-def _keys(edits: int, own: bool) -> Column:
-    """Hashes of the segments (``own``), or of all substrings to look for."""
+def _keys(edits: int) -> Column:
+    """Hashes of all substrings of ``wide`` to look for; ``own`` marks the line's own segments.
+
+    ``wide`` has four bytes for each character, so that a substring is a slice of bytes and needs no count of characters.
+    """
     out = []
     for d, i, o in probes(edits):
-        if own and (d or o):
-            continue
         chars = F.col("chars") - d
         start, size = segment(chars, i, edits)
-        there = F.substring(F.col("line"), start + (o + 1), size)
+        there = F.substring(F.col("wide"), (start + o) * 4 + 1, size * 4)
         key = F.xxhash64(chars, F.lit(i), there)
-        out.append(key if own else F.struct(F.when((chars >= LEAST_CHARS) & (start + o >= 0), key).alias("key"), F.lit(d == 0 and o == 0).alias("same")))
+        out.append(F.struct(F.when((chars >= LEAST_CHARS) & (start + o >= 0), key).alias("key"), F.lit(d == 0 and o == 0).alias("own")))
     return F.array(*out)
 
 
+def code_points(line: Column) -> Column:
+    return F.transform(F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c))
+
+
+def pair_parity(points: Column) -> Column:
+    """64 bits: whether the pairs of neighbouring characters in each of 64 classes are odd in number. An edit changes at most four."""
+    at = lambda i: (F.get(points, i) * 31 + F.get(points, i + 1) * 17).bitwiseAND(F.lit(63))
+    flips = F.transform(F.sequence(F.lit(0), F.size(points) - 2), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), at(i)))
+    return F.when(F.size(points) < 2, F.lit(0).cast("long")).otherwise(F.aggregate(flips, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)))
+
+
 def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     """Edit distance of two arrays of characters, at least as long ``a`` as ``b`` and by at most ``edits``; over ``edits`` it may be more than the distance.
 
@@ -106,16 +120,29 @@ def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
 
 
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``a``, ``b``: ids of all pairs of distinct lines (``id``, ``line``, ``chars``) within ``edits`` edits."""
+    """``a``, ``b``: ids of all pairs of distinct lines (``id``, ``line``, ``chars``) within ``edits`` edits.
+
+    First the keys that more than one line has, then the few lines that have such keys: only their texts and parities are needed, and
+    pairs within a key are weighed in arrays of at most some hundred lines, so that only pairs that pass become rows.
+    """
     long = lines.where(F.col("chars") >= LEAST_CHARS)
-    index = long.select(F.col("id").alias("b"), F.explode(_keys(edits, own=True)).alias("key"))
-    probe = long.select(F.col("id").alias("a"), F.explode(_keys(edits, own=False)).alias("x")).select("a", "x.key", "x.same").where("key is not null")
-    met = probe.join(index, "key").where("a <> b and (not same or a < b)")
-    pairs = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
-    texts = written(long.select("id", "line").join(small(ids, BROADCAST_IDS), "id", "left_semi"), "line-texts")
-    side = lambda name, text: texts.select(F.col("id").alias(name), F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0)).alias(text))
-    both = pairs.join(side("a", "s"), "a").join(side("b", "t"), "b")
+    wide = long.select("id", "chars", F.explode(F.array(F.encode("line", "UTF-32"))).alias("wide"))
+    keyed = wide.select("id", F.explode(_keys(edits)).alias("x")).select("id", "x.key", "x.own").where("key is not null")
+    by_key = Window.partitionBy("key")
+    shared = keyed.withColumns({"n": F.count(F.lit(1)).over(by_key), "owned": F.max("own").over(by_key)}).where("n > 1 and owned")
+    shared = written(shared.select("key", "id", "own", "n"), "line-keys")
+    ids = written(shared.select("id").distinct(), "line-ids")
+    texts = long.select("id", "line").join(small(ids, BROADCAST_IDS), "id", "left_semi").select("id", F.explode(F.array(code_points(F.col("line")))).alias("points"))
+    texts = written(texts.withColumn("parity", pair_parity(F.col("points"))), "line-points")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    dealt = shared.join(texts.select("id", "parity"), "id").withColumn("mine", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    cells = dealt.groupBy("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(F.collect_list(F.struct("id", "own", "parity")).alias("c"))
+    # One of the two at least holds the segment as its own; both do, if they are equally long and neither shifts.
+    near = lambda x, y: (x["own"] | y["own"]) & (x["id"] < y["id"]) & (F.bit_count(x["parity"].bitwiseXOR(y["parity"])) <= 4 * edits)
+    met = F.flatten(F.transform("c", lambda x: F.transform(F.filter("c", lambda y: near(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
+    pairs = written(cells.select(F.explode(met).alias("p")).select("p.*").distinct(), "line-pairs")
+    side = lambda name, points: texts.select(F.col("id").alias(name), F.col("points").alias(points))
+    both = pairs.join(side("a", "s"), "a").join(side("b", "t"), "b").where(F.abs(F.size("s") - F.size("t")) <= edits)
     swap = F.size("s") < F.size("t")
     both = both.select("a", "b", F.explode(F.array(F.struct(F.when(swap, F.col("t")).otherwise(F.col("s")).alias("s"), F.when(swap, F.col("s")).otherwise(F.col("t")).alias("t")))).alias("x"))
     return both.where(let(F.col("x.s"), lambda s: let(F.col("x.t"), lambda t: banded_distance(s, t, edits))) <= edits).select("a", "b")
