@@ -86,7 +86,7 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple
     keys, out = ["source", "source_size", "target"], []
     while True:
         by = [*keys, "class", "node"] if most_groups else keys
-        drawn = F.transform(F.sort_array(F.collect_list("item")), lambda x, d=depth: x.withField("u", chance(x["doc_id"], x["size"], F.lit(seed + 2 + d))))
+        drawn = F.transform(F.sort_array(F.collect_list("item")), lambda x: x.withField("u", chance(x["doc_id"], x["size"], F.lit(seed + 2 + depth))))
         folded = written(level.groupBy(*by).agg(drawn.alias("items")).select(*by, settled(F.col("items")).alias("r")), f"mix-level-{depth}")
         out.append(folded.select(*keys, F.explode("r.out").alias("o")).select(*keys, "o.item", "o.copies"))
         if not most_groups:
