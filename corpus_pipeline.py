@@ -14,16 +14,19 @@ from canopygrid.llm.common import small, table_path, written
 from canopygrid.llm.mixing import mixed_rows
 from canopygrid.llm.sharding import sharded
 from canopygrid.llm.simhash import near_duplicates
+from canopygrid.session import shipped
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labelled rows among them, doesn't reject."""
+    shipped(spark)
     model = gam.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(gam.score_of(F.col("text"), model) >= gam.THRESHOLD)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies stays, that with the smallest doc_id."""
+    shipped(spark)
     gone = written(near_duplicates(docs).select(F.col("node").alias("__gone")), "near-duplicates")
     return docs.join(small(gone, 1_000_000), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
 
