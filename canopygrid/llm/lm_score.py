@@ -6,8 +6,9 @@ c(v) are both counted in it. Words that make up over 1 / ``HOT_SHARE`` of the co
 both words instead, with their counts from a table of that proven size. Words to back off to meet the unigram table in buckets too.
 Partial sums are added up by document.
 
-Rows are packed: a block holds the pairs of one bucket from one Arrow batch of documents, 9 bytes a pair, so that what crosses the
-network stays near the size of the input. Words are 56-bit hashes, A-Z lower-cased.
+Rows are packed: a block holds the pairs of one bucket from one batch of documents, 9 bytes a pair, so that what crosses the network
+stays near the size of the input; partial sums go back to their batch in blocks too, and only there become documents again. Words are
+56-bit hashes, A-Z lower-cased.
 
 Nulls: a null text has no words; null doc_ids are one document. Rows that repeat a doc_id add up as one. Documents without words get
 0 words and the score 0. Empty table: empty result.
@@ -20,6 +21,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,10 @@ ALPHA = 0.4
 #: Pairs that occur fewer times are not in the table.
 LEAST = 2
 HOT_SHARE = 4096
-#: Pairs, and words of the unigram table, in a bucket on average.
-BUCKET = 2_000_000
+#: Pairs, and words of the unigram table, in a bucket on average; and how many parts of a bucket are counted one after another.
+BUCKET, PARTS = 2_000_000, 4
+#: Words that are hashed before a block is packed.
+FLUSH = 1_000_000
 SLICE = 1 << 20
 #: No word: what follows the last one.
 END = np.uint64(0)
@@ -63,10 +67,11 @@ def packed(h: np.ndarray) -> bytes:
     return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
 
 
-def unpacked(b: bytes) -> np.ndarray:
-    raw = np.zeros((len(b) // 7, 8), np.uint8)
-    raw[:, :7] = np.frombuffer(b, np.uint8).reshape(-1, 7)
-    return raw.view("<u8")[:, 0].astype(np.uint64)
+def unpacked(b) -> np.ndarray:
+    flat = np.frombuffer(b, np.uint8)
+    raw = np.zeros((len(flat) // 7, 8), np.uint8)
+    raw[:, :7] = flat.reshape(-1, 7)
+    return raw.view("<u8")[:, 0]
 
 
 def _texts(batch: pa.RecordBatch, column: int):
@@ -83,7 +88,7 @@ def unigrams(corpus: DataFrame) -> DataFrame:
                 for h in word_hashes(text):
                     held.append(h)
                     size += len(h)
-                    if size > BUCKET:
+                    if size > FLUSH:
                         yield counted(held)
                         held, size = [], 0
             if held:
@@ -96,113 +101,151 @@ def unigrams(corpus: DataFrame) -> DataFrame:
     return corpus.select(F.col("text").cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+BLOCK = "bucket long, batch long, ids array<long>, words array<long>, docs binary, first binary, which binary, second binary, doc binary"
+_BLOCK = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 5]
+#: A batch's documents (``ids``, ``words``); its sums from one bucket (``docs``, ``score``, ``seen``), both with a bucket below 0; or words to look up (``docs``, ``rest``).
+PARTIAL = "bucket long, batch long, ids array<long>, words array<long>, docs binary, score binary, seen binary, rest binary"
+_PARTIAL = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 4]
+
+
+def _rows(rows: list[tuple], schema: str, kinds: list) -> pa.RecordBatch:
+    cells = list(zip(*rows)) if rows else [[] for _ in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cells, kinds)], names=[x.split()[0] for x in schema.split(", ")])
+
+
+def ascending(a: np.ndarray) -> bytes:
+    return zlib.compress(np.diff(a, prepend=0).astype("<i4").tobytes(), 1)
+
+
+def of_ascending(b) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(b), "<i4"), dtype=np.int64)
+
+
 def _blocks(buckets: int, hot: np.ndarray):
-    """Documents in, blocks of pairs out: ``bucket``, ``docs`` (ids), ``first`` (distinct first words), ``which`` (of each pair), ``second``, ``doc`` (of each pair)."""
-    names = ["bucket", "docs", "first", "which", "second", "doc"]
-    kinds = [pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-
-    def pack(ids, v, w, doc):
-        v, w, doc = np.concatenate(v), np.concatenate(w), np.concatenate(doc)
-        bucket = (np.where(np.isin(v, hot), spread(v, w), spread(v)) % np.uint64(buckets)).astype(np.int64)
-        # By document within a bucket: what repeats compresses.
-        order = np.argsort(bucket, kind="stable")
-        v, w, doc, bucket = v[order], w[order], doc[order], bucket[order]
-        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-        rows = []
-        for a, b in zip(cut[:-1], cut[1:]):
-            first, which = np.unique(v[a:b], return_inverse=True)
-            there, d = np.unique(doc[a:b], return_inverse=True)
-            # As documents come in order, a pair's document is said as how many each has.
-            rows.append((int(bucket[a]), [ids[i] for i in there], packed(first), which.astype("<u2" if len(first) <= 65536 else "<u4").tobytes(), packed(w[a:b]), zlib.compress(np.bincount(d).astype("<u4").tobytes(), 1)))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    """Documents in; blocks out, and for each batch a row of its documents in a bucket of its own below 0.
+
+    Batches are numbered by partition, so that a task that runs again gives the same ones.
+    """
+
+    def pack(batch, ids, words, v, w, doc):
+        rows = [(-1 - batch, batch, ids, words, None, None, None, None, None)]
+        if v:
+            v, w, doc = np.concatenate(v), np.concatenate(w), np.concatenate(doc)
+            bucket = (np.where(np.isin(v, hot), spread(v, w), spread(v)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            v, w, doc, bucket = v[order], w[order], doc[order], bucket[order]
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            for a, b in zip(cut[:-1], cut[1:]):
+                first, which = np.unique(v[a:b], return_inverse=True)
+                # Pairs lie in the order of their documents: which these are and how many pairs each has says it all.
+                there, n = np.unique(doc[a:b], return_counts=True)
+                rows.append((int(bucket[a]), batch, None, None, ascending(there), packed(first), which.astype("<u2" if len(first) <= 65536 else "<u4").tobytes(), packed(w[a:b]), zlib.compress(n.astype("<u4").tobytes(), 1)))
+        return _rows(rows, BLOCK, _BLOCK)
 
     def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        ids, words, v, w, doc, size = [], [], [], [], [], 0
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            v, w, doc, size = [], [], [], 0
+            known = batch.column(0).to_pylist()
             for i, text in _texts(batch, 1):
-                last = None
+                last, n = None, 0
                 for h in word_hashes(text):
                     # The first word has no word before it; it is scored as a word to back off to.
-                    before = np.r_[END if last is None else last, h[:-1]]
-                    v.append(before)
+                    v.append(np.r_[END if last is None else last, h[:-1]])
                     w.append(h)
-                    doc.append(np.full(len(h), i))
-                    last, size = h[-1], size + len(h)
+                    doc.append(np.full(len(h), len(ids), np.int32))
+                    last, n = h[-1], n + len(h)
                 if last is not None:
                     v.append(np.array([last]))
                     w.append(np.array([END]))
-                    doc.append(np.array([i]))
-                if size > BUCKET:
-                    yield pack(ids, v, w, doc)
-                    v, w, doc, size = [], [], [], 0
-            if v:
-                yield pack(ids, v, w, doc)
-
-    schema = "bucket int, docs array<long>, first binary, which binary, second binary, doc binary"
-    return run, schema
-
+                    doc.append(np.array([len(ids)], np.int32))
+                ids.append(known[i])
+                words.append(n)
+                size += n + 1
+                if size > FLUSH:
+                    yield pack(number, ids, words, v, w, doc)
+                    number += 1
+                    ids, words, v, w, doc, size = [], [], [], [], [], 0
+        if ids:
+            yield pack(number, ids, words, v, w, doc)
 
-PARTIAL = "bucket int, docs array<long>, score array<double>, words array<long>, seen array<long>, rest binary, rest_doc binary"
-_PARTIAL = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-
-
-def _partial(rows) -> pa.Table:
-    cells = list(zip(*rows)) if rows else [[] for _ in _PARTIAL]
-    return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(cells, _PARTIAL)], names=[x.split()[0] for x in PARTIAL.split(", ")])
+    return run
 
 
 def _score_bucket(hot: np.ndarray, hot_n: np.ndarray, total: int, least: int, rest_buckets: int):
-    """All blocks of a bucket in; per block the documents' partial scores out, and the words that are left to look up."""
+    """All blocks of a bucket in; the partial scores of each block's documents out, and the words that are left to look up."""
+    hot_log = np.log(np.maximum(hot_n, 1))
+
+    def known(words):
+        """Which words are hot, and the logs of their counts."""
+        if not len(hot):
+            return np.zeros(len(words), bool), np.zeros(len(words))
+        i = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
+        return hot[i] == words, hot_log[i]
+
+    def part_of(rows, part):
+        """The pairs of a part of the bucket: all pairs of a word, or of a pair of words, are in one part."""
+        v, w, doc, base = [], [], [], 0
+        for first, which, second, n in rows:
+            first, second = unpacked(first), unpacked(second)
+            which = np.frombuffer(which, "<u2" if len(first) <= 65536 else "<u4")
+            n = np.frombuffer(zlib.decompress(n), "<u4")
+            a = first[which]
+            mine = (np.where(known(a)[0], spread(a, second), spread(a)) >> np.uint64(40)) % np.uint64(PARTS) == part
+            v.append(a[mine])
+            w.append(second[mine])
+            doc.append(np.repeat(np.arange(base, base + len(n), dtype=np.int32), n)[mine])
+            base += len(n)
+        return np.concatenate(v), np.concatenate(w), np.concatenate(doc)
 
     def run(table: pa.Table) -> pa.Table:
-        v, w, doc, base, ids, bounds = [], [], [], 0, [], [0]
-        for row in table.select(["docs", "first", "which", "second", "doc"]).to_pylist():
-            first, second = unpacked(row["first"]), unpacked(row["second"])
-            which = np.frombuffer(row["which"], "<u2" if len(first) <= 65536 else "<u4")
-            n = np.frombuffer(zlib.decompress(row["doc"]), "<u4")
-            v.append(first[which])
-            w.append(second)
-            doc.append(np.repeat(np.arange(len(n)), n) + base)
-            base += len(n)
-            ids += row["docs"]
-            bounds.append(base)
-        v, w, doc = np.concatenate(v), np.concatenate(w), np.concatenate(doc)
-        pair = spread(v, w)
-        order = np.argsort(pair, kind="stable")
-        p = pair[order]
-        start = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-        n_pair = np.empty(len(p), np.int64)
-        n_pair[order] = np.repeat(np.diff(np.r_[start, len(p)]), np.diff(np.r_[start, len(p)]))
-        del pair, order, p
-        _, at, n = np.unique(v, return_inverse=True, return_counts=True)
-        n_first = n[at]
-        if len(hot):
-            i = np.minimum(np.searchsorted(hot, v), len(hot) - 1)
-            n_first = np.where(hot[i] == v, hot_n[i], n_first)
-        real = w != END
-        seen = real & (v != END) & (n_pair >= least)
-        score = np.where(seen, np.log(n_pair) - np.log(np.maximum(n_first, 1)), 0.0)
-        off = real & ~seen
-        score += np.where(off, np.where(v == END, 0.0, np.log(ALPHA)) - np.log(max(1, total)), 0.0)
-        left = off
-        if len(hot):
-            i = np.minimum(np.searchsorted(hot, w), len(hot) - 1)
-            known = off & (hot[i] == w)
-            score += np.where(known, np.log(hot_n[i]), 0.0)
-            left = off & ~known
-        m = len(ids)
-        ids = np.array([0 if i is None else i for i in ids], np.int64), [i is None for i in ids]
-        out = [(-1, pa.array(ids[0], mask=np.array(ids[1], bool)).to_pylist(), np.bincount(doc, score, m), np.bincount(doc[real], minlength=m), np.bincount(doc[seen], minlength=m), None, None)]
-        word, of = w[left], doc[left]
+        if table.column("bucket")[0].as_py() < 0:
+            none = pa.nulls(table.num_rows, pa.binary())
+            return pa.Table.from_arrays([pa.array([-1] * table.num_rows, pa.int64()), *(table.column(c).combine_chunks() for c in ("batch", "ids", "words")), none, none, none, none], names=[x.split()[0] for x in PARTIAL.split(", ")])
+        # Cells are read where Arrow has them.
+        rows = list(zip(*([c.as_buffer() for c in table.column(name)] for name in ("first", "which", "second", "doc"))))
+        batch = table.column("batch").to_pylist()
+        docs = [of_ascending(c.as_buffer()) for c in table.column("docs")]
+        bounds = np.cumsum([0, *map(len, docs)])
+        m = int(bounds[-1])
+        sums, seens, left_w, left_d = np.zeros(m), np.zeros(m, np.int64), [], []
+        for part in range(PARTS):
+            v, w, doc = part_of(rows, part)
+            if not len(v):
+                continue
+            pair = spread(v, w)
+            order = np.argsort(pair, kind="stable")
+            start = np.flatnonzero(np.r_[True, pair[order][1:] != pair[order][:-1]])
+            size = np.diff(np.r_[start, len(pair)])
+            n_pair = np.empty(len(pair), np.int64)
+            n_pair[order] = np.repeat(size, size)
+            _, at, n = np.unique(v, return_inverse=True, return_counts=True)
+            hot_v, log_v = known(v)
+            log_first = np.where(hot_v, log_v, np.log(n[at]))
+            real = w != END
+            seen = real & (v != END) & (n_pair >= least)
+            score = np.where(seen, np.log(n_pair) - log_first, 0.0)
+            off = real & ~seen
+            score += np.where(off, np.where(v == END, 0.0, np.log(ALPHA)) - np.log(max(1, total)), 0.0)
+            hot_w, log_w = known(w)
+            score += np.where(off & hot_w, log_w, 0.0)
+            left = off & ~hot_w
+            sums += np.bincount(doc, score, m)
+            seens += np.bincount(doc[seen], minlength=m)
+            left_w.append(w[left])
+            left_d.append(doc[left])
+        out = [(-1, batch[k], None, None, ascending(docs[k]), sums[a:b].tobytes(), zlib.compress(seens[a:b].astype("<u4").tobytes(), 1), None) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))]
+        word, of = np.concatenate(left_w), np.concatenate(left_d)
+        block = np.searchsorted(bounds, of, "right") - 1
         bucket = (spread(word) % np.uint64(rest_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        word, of, bucket = word[order], of[order], bucket[order]
-        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(word) else []
+        order = np.lexsort((of, bucket, block))
+        word, of, block, bucket = word[order], of[order], block[order], bucket[order]
+        cut = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1]), True]) if len(word) else []
         for a, b in zip(cut[:-1], cut[1:]):
-            there, d = np.unique(of[a:b], return_inverse=True)
-            out.append((int(bucket[a]), [out[0][1][i] for i in there], None, None, None, packed(word[a:b]), zlib.compress(np.diff(d, prepend=0).astype("<i4").tobytes(), 1)))
-        return _partial(out)
+            k = int(block[a])
+            out.append((int(bucket[a]), batch[k], None, None, ascending(docs[k][of[a:b] - bounds[k]]), None, None, packed(word[a:b])))
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_batches([_rows(out, PARTIAL, _PARTIAL)])
 
     return run
 
@@ -213,11 +256,28 @@ def _look_up(asked: pa.Table, known: pa.Table) -> pa.Table:
     order = np.argsort(word)
     word, n = word[order], n[order]
     out = []
-    for row in asked.select(["docs", "rest", "rest_doc"]).to_pylist():
-        w, d = unpacked(row["rest"]), np.cumsum(np.frombuffer(zlib.decompress(row["rest_doc"]), "<i4"))
-        m = len(row["docs"])
-        out.append((-1, row["docs"], np.bincount(d, np.log(n[np.searchsorted(word, w)]), m), np.zeros(m, np.int64), np.zeros(m, np.int64), None, None))
-    return _partial(out)
+    for batch, docs, rest in zip(asked.column("batch").to_pylist(), asked.column("docs"), asked.column("rest")):
+        w, d = unpacked(rest.as_buffer()), of_ascending(docs.as_buffer())
+        there, at = np.unique(d, return_inverse=True)
+        sums = np.bincount(at, np.log(n[np.searchsorted(word, w)]), len(there))
+        out.append((-1, batch, None, None, ascending(there), sums.tobytes(), zlib.compress(np.zeros(len(there), "<u4").tobytes(), 1), None))
+    return pa.Table.from_batches([_rows(out, PARTIAL, _PARTIAL)])
+
+
+SCORE = "doc_id long, n_words long, n_seen long, log_score double"
+
+
+def _documents(table: pa.Table) -> pa.Table:
+    """All rows of a batch as its documents."""
+    at = next(i for i, c in enumerate(table.column("ids")) if c.is_valid)
+    ids, words = table.column("ids")[at].values, table.column("words")[at].values
+    score, seen = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+    for docs, sums, n in zip(table.column("docs"), table.column("score"), table.column("seen")):
+        if docs.is_valid:
+            d = of_ascending(docs.as_buffer())
+            score[d] += np.frombuffer(sums.as_buffer(), np.float64)
+            seen[d] += np.frombuffer(zlib.decompress(n.as_buffer()), "<u4")
+    return pa.Table.from_arrays([ids, words, pa.array(seen), pa.array(score)], names=[x.split()[0] for x in SCORE.split(", ")])
 
 
 def lm_scores(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -230,18 +290,16 @@ def lm_scores(docs: DataFrame, least: int = LEAST) -> DataFrame:
     found = sorted((r.word, r.n) for r in words.where(F.col("n") * HOT_SHARE > total).collect())
     hot, hot_n = np.array([w for w, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
     buckets, rest_buckets = max(6, -(-total // BUCKET)), max(6, -(-distinct // BUCKET))
-    run, schema = _blocks(buckets, hot)
-    blocks = text.mapInArrow(run, schema)
+    blocks = text.mapInArrow(_blocks(buckets, hot), BLOCK)
     first = written(blocks.groupBy("bucket").applyInArrow(_score_bucket(hot, hot_n, total, least, rest_buckets), PARTIAL), "lm-partial")
+
     # The bucket of a word, as numpy has it.
-    @F.arrow_udf("int")
+    @F.arrow_udf("long")
     def bucket_of(word: pa.Array) -> pa.Array:
-        return pa.array((spread(word.to_numpy(zero_copy_only=False).astype(np.uint64)) % np.uint64(rest_buckets)).astype(np.int32))
+        return pa.array((spread(word.to_numpy(zero_copy_only=False).astype(np.uint64)) % np.uint64(rest_buckets)).astype(np.int64))
 
     table = words.where(F.col("n") * HOT_SHARE <= total).select(bucket_of("word").alias("bucket"), "word", "n")
     second = first.where("bucket >= 0").groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(_look_up, PARTIAL)
     parts = first.where("bucket < 0").unionByName(second)
-    zipped = F.arrays_zip("docs", "score", "words", "seen")
-    sums = parts.select(F.explode(zipped).alias("x")).select(F.col("x.docs").alias("doc_id"), "x.score", "x.words", "x.seen")
-    none = text.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("seen"))
-    return sums.unionByName(none).groupBy("doc_id").agg(F.sum("words").alias("n_words"), F.sum("seen").alias("n_seen"), F.sum("score").alias("log_score"))
+    found = parts.groupBy("batch").applyInArrow(_documents, SCORE)
+    return found.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("n_seen").alias("n_seen"), F.sum("log_score").alias("log_score"))
