@@ -124,8 +124,6 @@ class _Reader:
             else:
                 self.in_http = False
         else:
-            self.size += len(piece)
-            self.sha.update(piece)
             self.part += piece
             while len(self.part) > self.chunk:
                 self.give(bytes(self.part[: self.chunk]), False)
@@ -134,6 +132,8 @@ class _Reader:
             self.end()
 
     def give(self, data: bytes, last: bool) -> None:
+        self.size += len(data)
+        self.sha.update(data)
         h, kind = self.head, self.head.get("warc-type", "")
         number = lambda key: int(h[key]) if key in h else None
         said = h.get("warc-payload-digest", "").partition(":")[2]
