@@ -23,12 +23,18 @@ REDRAWS = 8
 
 
 def feature_table(spark: SparkSession, n: int, box_radius: int, region_size: int, seed: int, use_depth: bool = True, stratified: bool = True) -> DataFrame:
-    """``n`` features, each drawn by its number alone.
+    """``n`` features, each drawn by its number and the seed alone.
 
     Stratified: the first half depth, the second colour, channels in turn over the second half. Else type and channels are drawn too.
     Without depth all are colour.
     """
+    return feature_tables(spark, n, box_radius, region_size, [seed], use_depth, stratified).drop("table")
+
+
+def feature_tables(spark: SparkSession, n: int, box_radius: int, region_size: int, seeds: list[int], use_depth: bool = True, stratified: bool = True) -> DataFrame:
+    """A ``feature_table`` for each seed, numbered by ``table``."""
     i = F.col("id")
+    seed = F.get(F.array(*map(F.lit, seeds)), F.col("table"))
     drawn = lambda low, high, name: draw(low, high, seed, i, name).cast("int")
     half = n / 2.0 if use_depth else float(n)
     if stratified:
@@ -40,12 +46,13 @@ def feature_table(spark: SparkSession, n: int, box_radius: int, region_size: int
         ch1, ch2 = drawn(0, 2, "ch1"), drawn(0, 2, "ch2")
     around = lambda name: drawn(-box_radius, box_radius, name)
     box = lambda name: drawn(1, region_size, name)
-    rows = spark.range(n).select("id", is_color.alias("color"), ch1.alias("ch1"), ch2.alias("ch2"), *[around(c).alias(c) for c in ("o1x", "o1y")], *[box(c).alias(c) for c in ("r1x", "r1y", "r2x", "r2y")], F.array(*[F.struct(around(f"o2x{k}").alias("x"), around(f"o2y{k}").alias("y")) for k in range(REDRAWS)]).alias("tries"))
+    numbered = spark.range(n * len(seeds)).select((F.col("id") % n).alias("id"), F.floor(F.col("id") / n).cast("int").alias("table"))
+    rows = numbered.select("id", "table", is_color.alias("color"), ch1.alias("ch1"), ch2.alias("ch2"), *[around(c).alias(c) for c in ("o1x", "o1y")], *[box(c).alias(c) for c in ("r1x", "r1y", "r2x", "r2y")], F.array(*[F.struct(around(f"o2x{k}").alias("x"), around(f"o2y{k}").alias("y")) for k in range(REDRAWS)]).alias("tries"))
     other = F.get(F.filter("tries", lambda t: (t["x"] != F.col("o1x")) | (t["y"] != F.col("o1y"))), F.lit(0))
     beside = F.struct(F.when(F.col("o1x") < box_radius, F.col("o1x") + 1).otherwise(F.col("o1x") - 1).cast("int").alias("x"), F.col("o1y").alias("y"))
     rows = rows.withColumn("o2", F.coalesce(other, beside))
     zero = lambda c: F.when(F.col("color"), F.col(c)).otherwise(0).cast("int").alias(c)
-    return rows.select(F.col("id").cast("int").alias("feature_id"), F.when(F.col("color"), "color").otherwise("depth").alias("type"), "o1x", "o1y", "r1x", "r1y", F.col("o2.x").alias("o2x"), F.col("o2.y").alias("o2y"), "r2x", "r2y", zero("ch1"), zero("ch2"))
+    return rows.select("table", F.col("id").cast("int").alias("feature_id"), F.when(F.col("color"), "color").otherwise("depth").alias("type"), "o1x", "o1y", "r1x", "r1y", F.col("o2.x").alias("o2x"), F.col("o2.y").alias("o2y"), "r2x", "r2y", zero("ch1"), zero("ch2"))
 
 
 def in_order(features: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from canopygrid.config import TrainingConfig
 from canopygrid.functions.arrays import normalized
 from canopygrid.functions.hashing import digest, draw_of
 from canopygrid.operators import grid
-from canopygrid.operators.features import Features, Packs, feature_table, ragged, responses, same_size
+from canopygrid.operators.features import Features, Packs, feature_tables, ragged, responses, same_size
 from canopygrid.operators.inference import Tree, forest_of, predicted
 from canopygrid.operators.sampling import class_uniform, image_subsample, pixel_uniform_accepted
 from canopygrid.operators.splits import class_prior
@@ -190,14 +190,17 @@ def score_counts(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _best_splits(counts: DataFrame, thresholds: int, classes: int) -> DataFrame:
-    """The best threshold of each feature, then the best feature of each node; both sides' histograms come along."""
+    """The best threshold of each feature, then the best feature of each node, with both sides' histograms and the node's number of samples."""
 
     @F.arrow_udf("struct<score: double, k: int, left: array<long>, right: array<long>>")
-    def best(cells: pa.Array) -> pa.Array:
+    def best(f: pa.Array, cells: pa.Array) -> pa.Array:
         out = []
-        for cell in cells:
+        for feature, cell in zip(f.to_pylist(), cells.to_pylist()):
+            if feature < 0:
+                out.append(None)
+                continue
             grid_ = np.zeros((thresholds + 1, classes), np.int64)
-            for c in cell.as_py():
+            for c in cell:
                 grid_[c["bucket"], c["label"]] = c["n"]
             left = np.cumsum(grid_, 0)[:-1]
             right = grid_.sum(0) - left
@@ -206,10 +209,11 @@ def _best_splits(counts: DataFrame, thresholds: int, classes: int) -> DataFrame:
             out.append({"score": float(score[k]), "k": k, "left": left[k].tolist(), "right": right[k].tolist()})
         return pa.array(out, pa.struct([("score", pa.float64()), ("k", pa.int32()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))]))
 
-    rows = counts.where("f >= 0").groupBy("tree", "node", "f").agg(F.collect_list(F.struct("bucket", "label", "n")).alias("cells"))
-    scored = rows.select("tree", "node", "f", best("cells").alias("b"))
-    key = F.struct((-F.col("b.score")).alias("s"), "b.k", "f")
-    return scored.groupBy("tree", "node").agg(F.min_by(F.struct("f", "b"), key).alias("x")).select("tree", "node", "x.f", "x.b.score", "x.b.k", "x.b.left", "x.b.right")
+    rows = counts.groupBy("tree", "node", "f").agg(F.collect_list(F.struct("bucket", "label", "n")).alias("cells"), F.sum("n").alias("n"))
+    scored = rows.select("tree", "node", "f", "n", best("f", "cells").alias("b"))
+    key = F.when(F.col("f") >= 0, F.struct((-F.col("b.score")).alias("s"), F.col("b.k").alias("k"), F.col("f")))
+    found = scored.groupBy("tree", "node").agg(F.min_by(F.struct("f", "b"), key).alias("x"), F.max(F.when(F.col("f") < 0, F.col("n"))).alias("n"))
+    return found.select("tree", "node", "n", "x.f", "x.b.score", "x.b.k", "x.b.left", "x.b.right")
 
 
 def grow(table: DataFrame, config: TrainingConfig, classes: int, priors: list[int] | None = None) -> list[dict]:
@@ -218,20 +222,24 @@ def grow(table: DataFrame, config: TrainingConfig, classes: int, priors: list[in
     blank = {"parent_id": None, "left_id": None, "right_id": None, "is_leaf": True, "feature": None, "threshold": None, "score": None, "n_samples": 0}
     nodes: list[list[dict]] = [[{"tree_id": t, "node_id": 0, "level": 1, "histogram": [0] * classes} | blank] for t in range(config.trees)]
     open_ids = [[0] for _ in range(config.trees)]
-    for level in range(1, config.max_depth):
+    levels = range(1, config.max_depth)
+    seeds = [config.random_seed + t * 1_000_003 + level for level in levels for t in range(config.trees)]
+    drawn: dict[int, list] = {i: [] for i in range(len(seeds))}
+    if seeds:
+        for r in feature_tables(spark, config.feature_count, config.box_radius, config.region_size, seeds, config.use_depth_images).collect():
+            drawn[r["table"]].append(r)
+    for level in levels:
         if not any(open_ids):
             break
         for rows in nodes:
             for r in rows:
                 r["norm_hist"] = r["histogram"]
         trees = [Tree.of(rows) for rows in nodes]
-        features = [Features.of(feature_table(spark, config.feature_count, config.box_radius, config.region_size, config.random_seed + t * 1_000_003 + level, config.use_depth_images)) for t in range(config.trees)]
+        features = [Features.of(drawn[(level - 1) * config.trees + t]) for t in range(config.trees)]
         picks = [np.array([[draw_of(0, 2**32 - 1, config.random_seed + t, level, f, k) << 21 for k in range(config.thresholds)] for f in range(config.feature_count)], np.int64) for t in range(config.trees)]
         state = _State(trees, [np.array(o) for o in open_ids], features, None, classes, flip)
         state.thresholds = _threshold_values(table, state, picks)
-        counts = shared_table(_level_counts(table, state), f"level-{level}")
-        size = {(r.tree, r.node): r.n for r in counts.where("f = -1").collect()}
-        found = {(r.tree, r.node): r for r in _best_splits(counts, config.thresholds, classes).collect()}
+        found = {(r.tree, r.node): r for r in _best_splits(_level_counts(table, state), config.thresholds, classes).collect()}
         for t, rows in enumerate(nodes):
             after = []
             for i in open_ids[t]:
@@ -240,8 +248,8 @@ def grow(table: DataFrame, config: TrainingConfig, classes: int, priors: list[in
                     continue
                 if i == 0:
                     node["histogram"] = [a + b for a, b in zip(best.left, best.right)]
-                node["n_samples"] = size[t, i]
-                small = i != 0 and (size[t, i] < config.min_sample_count or sum(h > 0 for h in node["histogram"]) < 2)
+                node["n_samples"] = best.n
+                small = i != 0 and (best.n < config.min_sample_count or sum(h > 0 for h in node["histogram"]) < 2)
                 # A split without gain would leave a side empty or teach nothing.
                 if small or best.score <= TIE:
                     continue
