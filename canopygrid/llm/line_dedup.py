@@ -35,13 +35,12 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode_outer(F.filter(cut, lambda x: x["line"].rlike(WORD))).alias("x")).select("doc_id", "x.line_no", "x.line")
 
 
-def segment(chars: Column, i: int, edits: int = EDITS) -> tuple[Column, Column]:
+def segment(chars: Column, i: Column, edits: int = EDITS) -> tuple[Column, Column]:
     """Start, from 0, and length of segment ``i`` of a line of ``chars`` characters; the longer segments come last."""
     parts = edits + 1
-    short = F.floor(chars / parts)
+    short = F.floor(chars / parts).cast("int")
     longer_from = F.lit(parts) - chars % parts
-    start = i * short + F.greatest(F.lit(0), F.lit(i) - longer_from)
-    return start.cast("int"), (short + F.when(F.lit(i) >= longer_from, 1).otherwise(0)).cast("int")
+    return i * short + F.greatest(F.lit(0), i - longer_from), short + F.when(i >= longer_from, 1).otherwise(0)
 
 
 def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
@@ -52,19 +51,19 @@ def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
     return [(d, i, o) for d in range(edits + 1) for i in range(edits + 1) for o in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1)]
 
 
-def _keys(edits: int) -> Column:
-    """Hashes of all substrings of ``wide`` to look for; ``own`` marks the line's own segments.
+def keyed(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """``id``, ``key``, ``own``: a row for each place to look at in each line; ``own`` marks the line's own segments.
 
-    ``wide`` has four bytes for each character, so that a substring is a slice of bytes and needs no count of characters.
+    The line has four bytes for each character here, so that a substring is a slice of bytes. Places are rows before keys are made:
+    one short expression, which compiles well, instead of one for each place.
     """
-    out = []
-    for d, i, o in probes(edits):
-        chars = F.col("chars") - d
-        start, size = segment(chars, i, edits)
-        there = F.substring(F.col("wide"), (start + o) * 4 + 1, size * 4)
-        key = F.xxhash64(chars, F.lit(i), there)
-        out.append(F.struct(F.when((chars >= LEAST_CHARS) & (start + o >= 0), key).alias("key"), F.lit(d == 0 and o == 0).alias("own")))
-    return F.array(*out)
+    wide = lines.select("id", "chars", F.explode(F.array(F.encode("line", "UTF-32"))).alias("wide"))
+    places = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(o).alias("o")) for d, i, o in probes(edits)])
+    rows = wide.select("id", "chars", "wide", F.explode(places).alias("p")).select("id", "wide", (F.col("chars") - F.col("p.d")).alias("chars"), "p.d", "p.i", "p.o")
+    start, size = segment(F.col("chars"), F.col("i"), edits)
+    start = start + F.col("o")
+    key = F.xxhash64("chars", "i", F.substring(F.col("wide"), start * 4 + 1, size * 4))
+    return rows.where((F.col("chars") >= LEAST_CHARS) & (start >= 0)).select("id", key.alias("key"), ((F.col("d") == 0) & (F.col("o") == 0)).alias("own"))
 
 
 def code_points(line: Column) -> Column:
@@ -126,10 +125,8 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     pairs within a key are weighed in arrays of at most some hundred lines, so that only pairs that pass become rows.
     """
     long = lines.where(F.col("chars") >= LEAST_CHARS)
-    wide = long.select("id", "chars", F.explode(F.array(F.encode("line", "UTF-32"))).alias("wide"))
-    keyed = wide.select("id", F.explode(_keys(edits)).alias("x")).select("id", "x.key", "x.own").where("key is not null")
     by_key = Window.partitionBy("key")
-    shared = keyed.withColumns({"n": F.count(F.lit(1)).over(by_key), "owned": F.max("own").over(by_key)}).where("n > 1 and owned")
+    shared = keyed(long, edits).withColumns({"n": F.count(F.lit(1)).over(by_key), "owned": F.max("own").over(by_key)}).where("n > 1 and owned")
     shared = written(shared.select("key", "id", "own", "n"), "line-keys")
     ids = written(shared.select("id").distinct(), "line-ids")
     texts = long.select("id", "line").join(small(ids, BROADCAST_IDS), "id", "left_semi").select("id", F.explode(F.array(code_points(F.col("line")))).alias("points"))
