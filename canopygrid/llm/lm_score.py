@@ -303,3 +303,13 @@ def lm_scores(docs: DataFrame, least: int = LEAST) -> DataFrame:
     parts = first.where("bucket < 0").unionByName(second)
     found = parts.groupBy("batch").applyInArrow(_documents, SCORE)
     return found.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("n_seen").alias("n_seen"), F.sum("log_score").alias("log_score"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, [w FOR w IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF w <> ''] AS ws FROM documents),
+t AS (SELECT doc_id, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+one AS (SELECT w, count(*) AS n FROM t GROUP BY w), two AS (SELECT v, w, count(*) AS n FROM t WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2),
+s AS (SELECT doc_id, two.n IS NOT NULL AS seen, CASE WHEN two.n IS NOT NULL THEN ln(two.n) - ln(c.n) ELSE CASE WHEN t.v IS NULL THEN 0 ELSE ln(CAST(0.4 AS DOUBLE)) END + ln(o.n) - ln((SELECT count(*) FROM t)) END AS x
+  FROM t JOIN one o ON o.w = t.w LEFT JOIN two ON two.v = t.v AND two.w = t.w LEFT JOIN one c ON c.w = t.v)
+SELECT d.doc_id, count(s.x) AS n_words, count(*) FILTER (WHERE seen) AS n_seen, coalesce(round(sum(x), 6), 0.0) AS log_score FROM (SELECT DISTINCT doc_id FROM d) d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+"""

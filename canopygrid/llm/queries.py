@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopygrid.llm import decontamination, gam, line_dedup, pii, quality_rules
+from canopygrid.llm import decontamination, gam, line_dedup, lm_score, pii, quality_rules, warc
 from canopygrid.llm.common import table_path
 from canopygrid.llm.lm_score import lm_scores
 from canopygrid.llm.mixing import mixed
@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents"))
+    return lm_scores(table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 6))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_lm_scores": lm_score.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
+    "op9_warc_round_trip": warc.ORACLE,
 }

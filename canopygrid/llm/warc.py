@@ -168,3 +168,10 @@ def read_warc(spark: SparkSession, path: str, chunk: int = CHUNK, data: bool = T
                 reader.rows = []
 
     return spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary")).mapInArrow(run, SCHEMA)
+
+
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), t AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN top END AS refers_to
+FROM (SELECT *, strlen(h) >= {LEAST} AND page_id <> top AS again FROM p JOIN t USING (h))
+"""
