@@ -52,7 +52,8 @@ def placed(cells: DataFrame, shards: int, slack: float = 0.0, virtual_nodes: int
         # The next virtual node with room, clockwise from each cell; after the last cell comes the first.
         owner = spark.range(1 << BITS).select(F.col("id").cast("int").alias("cell")).join(open_nodes, "cell", "left")
         owner = owner.select("cell", F.coalesce(F.last("shard", ignorenulls=True).over(clockwise), F.min_by("shard", F.when(F.col("shard").isNotNull(), F.col("cell"))).over(everywhere)).alias("shard"))
-        state = spark.createDataFrame([(s, used[s], room[s]) for s in room], "shard int, used long, room long")
+        per_shard = lambda d: F.get(F.array(*[F.lit(d[s]).cast("long") for s in range(shards)]), F.col("id").cast("int"))
+        state = spark.range(shards).select(F.col("id").cast("int").alias("shard"), per_shard(used).alias("used"), per_shard(room).alias("room"))
         ahead = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         asked = pending.join(F.broadcast(owner), "cell").withColumn("ahead", ahead).join(F.broadcast(state), "shard")
         taken = F.greatest(F.lit(0).cast("long"), F.least("n", F.col("room") - F.col("used") - F.col("ahead")))
@@ -63,7 +64,7 @@ def placed(cells: DataFrame, shards: int, slack: float = 0.0, virtual_nodes: int
         done = got if done is None else done.unionByName(got)
         dropped(pending)
         pending = written(asked.where("taken < n").select("cell", (F.col("low") + F.col("taken")).alias("low"), (F.col("n") - F.col("taken")).alias("n")), "ring-pending")
-    return done if done is not None else spark.createDataFrame([], "cell int, low long, n long, shard int, base long")
+    return done if done is not None else pending.limit(0).select("cell", "low", "n", F.lit(0).alias("shard"), F.col("low").alias("base"))
 
 
 def sharded(docs: DataFrame, shards: int = 24, slack: float = 0.0, virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
