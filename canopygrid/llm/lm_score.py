@@ -2,9 +2,10 @@
 
 The score of a word after another is c(v w) / c(v) where the pair occurs often enough to be in the table (``LEAST``), else ALPHA times
 c(w) / N. Pairs are exploded, dealt by hash and met with their counts there: a bucket holds all pairs of its first words, so c(v w) and
-c(v) are both counted in it. Words that make up over 1 / ``HOT_SHARE`` of the corpus, at most ``HOT_SHARE`` of them, are dealt by
-both words instead, with their counts from a table of that proven size. Words to back off to meet the unigram table in buckets too.
-Partial sums are added up by document.
+c(v) are both counted in it. Words and pairs that make up over 1 / ``HOT_SHARE`` of the corpus, or occur over ``HOT_MOST`` times, are
+counted first and go along as tables of that proven size: hot pairs are scored where they are read and never dealt, other pairs of a
+hot first word are dealt by both words. Words to back off to meet the unigram table in buckets too. So no key of a bucket has more
+than that share of the rows. Partial sums are added up by document.
 
 Rows are packed: a block holds the pairs of one bucket from one batch of documents, 9 bytes a pair, so that what crosses the network
 stays near the size of the input; partial sums go back to their batch in blocks too, and only there become documents again. Words are
@@ -30,7 +31,8 @@ from canopygrid.llm.common import written
 ALPHA = 0.4
 #: Pairs that occur fewer times are not in the table.
 LEAST = 2
-HOT_SHARE = 4096
+#: Words and pairs are hot from one in so many of the corpus, and in any case from so many occurrences: a bucket's key has fewer rows.
+HOT_SHARE, HOT_MOST = 1 << 14, 50_000_000
 #: Pairs, and words of the unigram table, in a bucket on average; and how many parts of a bucket are counted one after another.
 BUCKET, PARTS = 2_000_000, 4
 #: Words that are hashed before a block is packed.
@@ -101,6 +103,65 @@ def unigrams(corpus: DataFrame) -> DataFrame:
     return corpus.select(F.col("text").cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Hot:
+    """Hot words and pairs, sorted, with the logs of their counts."""
+
+    def __init__(self, words: np.ndarray, n: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.log_n = words[order], np.log(n[order])
+        self.pairs, self.log_pairs = np.zeros(0, np.uint64), np.zeros(0)
+
+    def with_pairs(self, pairs: np.ndarray, n: np.ndarray) -> Hot:
+        order = np.argsort(pairs)
+        self.pairs, self.log_pairs = pairs[order], np.log(n[order])
+        return self
+
+    @staticmethod
+    def _find(keys, values, asked):
+        if not len(keys):
+            return np.zeros(len(asked), bool), np.zeros(len(asked))
+        i = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return keys[i] == asked, values[i]
+
+    def word(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are hot, and the logs of their counts."""
+        return self._find(self.words, self.log_n, asked)
+
+    def pair(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._find(self.pairs, self.log_pairs, spread(v, w))
+
+    def deal(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What decides a pair's bucket: its first word, or both where that is hot or there is none."""
+        return np.where(self.word(v)[0] | (v == END), spread(v, w), spread(v))
+
+
+def pairs_of(corpus: DataFrame, hot: Hot) -> DataFrame:
+    """``pair`` (hash), ``n``: pairs of two hot words; no other pair can be hot."""
+
+    def counted(held):
+        pair, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
+
+    def run(batches):
+        for batch in batches:
+            held, size = [], 0
+            for _, text in _texts(batch, 0):
+                last = None
+                for h in word_hashes(text):
+                    h = h if last is None else np.r_[last, h]
+                    is_hot = hot.word(h)[0]
+                    both = is_hot[:-1] & is_hot[1:]
+                    held.append(spread(h[:-1][both], h[1:][both]))
+                    last, size = h[-1], size + len(held[-1])
+                if size > FLUSH:
+                    yield counted(held)
+                    held, size = [], 0
+            if size:
+                yield counted(held)
+
+    return corpus.select(F.col("text").cast("string")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
 BLOCK = "bucket long, batch long, ids array<long>, words array<long>, docs binary, first binary, which binary, second binary, doc binary"
 _BLOCK = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 5]
 #: A batch's documents (``ids``, ``words``); its sums from one bucket (``docs``, ``score``, ``seen``), both with a bucket below 0; or words to look up (``docs``, ``rest``).
@@ -121,25 +182,38 @@ def of_ascending(b) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(b), "<i4"), dtype=np.int64)
 
 
-def _blocks(buckets: int, hot: np.ndarray):
+def _blocks(buckets: int, hot: Hot, total: int):
     """Documents in; blocks out, and for each batch a row of its documents in a bucket of its own below 0.
 
     Batches are numbered by partition, so that a task that runs again gives the same ones.
     """
 
     def pack(batch, ids, words, v, w, doc):
-        rows = [(-1 - batch, batch, ids, words, None, None, None, None, None)]
+        score, seen = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        rows = []
         if v:
             v, w, doc = np.concatenate(v), np.concatenate(w), np.concatenate(doc)
-            bucket = (np.where(np.isin(v, hot), spread(v, w), spread(v)) % np.uint64(buckets)).astype(np.int64)
+            # What the tables know is scored here: hot pairs, hot words that begin a document, and nothing is asked of a hot last word.
+            hot_v, log_v = hot.word(v)
+            hot_w, log_w = hot.word(w)
+            hot_pair, log_pair = hot.pair(v, w)
+            hot_pair &= hot_v & hot_w
+            begins = (v == END) & hot_w
+            for which, value in ((hot_pair, log_pair - log_v), (begins, log_w - np.log(max(1, total)))):
+                score += np.bincount(doc[which], value[which], len(ids))
+            seen += np.bincount(doc[hot_pair], minlength=len(ids))
+            left = ~(hot_pair | begins | (hot_v & (w == END)))
+            v, w, doc = v[left], w[left], doc[left]
+            bucket = (hot.deal(v, w) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             v, w, doc, bucket = v[order], w[order], doc[order], bucket[order]
-            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(v) else []
             for a, b in zip(cut[:-1], cut[1:]):
                 first, which = np.unique(v[a:b], return_inverse=True)
                 # Pairs lie in the order of their documents: which these are and how many pairs each has says it all.
                 there, n = np.unique(doc[a:b], return_counts=True)
                 rows.append((int(bucket[a]), batch, None, None, ascending(there), packed(first), which.astype("<u2" if len(first) <= 65536 else "<u4").tobytes(), packed(w[a:b]), zlib.compress(n.astype("<u4").tobytes(), 1)))
+        rows.append((-1 - batch, batch, ids, words, None, score.tobytes(), zlib.compress(seen.astype("<u4").tobytes(), 1), None, None))
         return _rows(rows, BLOCK, _BLOCK)
 
     def run(batches):
@@ -172,16 +246,8 @@ def _blocks(buckets: int, hot: np.ndarray):
     return run
 
 
-def _score_bucket(hot: np.ndarray, hot_n: np.ndarray, total: int, least: int, rest_buckets: int):
+def _score_bucket(hot: Hot, total: int, least: int, rest_buckets: int):
     """All blocks of a bucket in; the partial scores of each block's documents out, and the words that are left to look up."""
-    hot_log = np.log(np.maximum(hot_n, 1))
-
-    def known(words):
-        """Which words are hot, and the logs of their counts."""
-        if not len(hot):
-            return np.zeros(len(words), bool), np.zeros(len(words))
-        i = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
-        return hot[i] == words, hot_log[i]
 
     def part_of(rows, part):
         """The pairs of a part of the bucket: all pairs of a word, or of a pair of words, are in one part."""
@@ -191,7 +257,7 @@ def _score_bucket(hot: np.ndarray, hot_n: np.ndarray, total: int, least: int, re
             which = np.frombuffer(which, "<u2" if len(first) <= 65536 else "<u4")
             n = np.frombuffer(zlib.decompress(n), "<u4")
             a = first[which]
-            mine = (np.where(known(a)[0], spread(a, second), spread(a)) >> np.uint64(40)) % np.uint64(PARTS) == part
+            mine = (hot.deal(a, second) >> np.uint64(40)) % np.uint64(PARTS) == part
             v.append(a[mine])
             w.append(second[mine])
             doc.append(np.repeat(np.arange(base, base + len(n), dtype=np.int32), n)[mine])
@@ -201,7 +267,8 @@ def _score_bucket(hot: np.ndarray, hot_n: np.ndarray, total: int, least: int, re
     def run(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:
             none = pa.nulls(table.num_rows, pa.binary())
-            return pa.Table.from_arrays([pa.array([-1] * table.num_rows, pa.int64()), *(table.column(c).combine_chunks() for c in ("batch", "ids", "words")), none, none, none, none], names=[x.split()[0] for x in PARTIAL.split(", ")])
+            kept = [table.column(c).combine_chunks() for c in ("batch", "ids", "words", "first", "which")]
+            return pa.Table.from_arrays([pa.array([-1] * table.num_rows, pa.int64()), *kept[:3], none, *kept[3:], none], names=[x.split()[0] for x in PARTIAL.split(", ")])
         # Cells are read where Arrow has them.
         rows = list(zip(*([c.as_buffer() for c in table.column(name)] for name in ("first", "which", "second", "doc"))))
         batch = table.column("batch").to_pylist()
@@ -220,14 +287,14 @@ def _score_bucket(hot: np.ndarray, hot_n: np.ndarray, total: int, least: int, re
             n_pair = np.empty(len(pair), np.int64)
             n_pair[order] = np.repeat(size, size)
             _, at, n = np.unique(v, return_inverse=True, return_counts=True)
-            hot_v, log_v = known(v)
+            hot_v, log_v = hot.word(v)
             log_first = np.where(hot_v, log_v, np.log(n[at]))
             real = w != END
             seen = real & (v != END) & (n_pair >= least)
             score = np.where(seen, np.log(n_pair) - log_first, 0.0)
             off = real & ~seen
             score += np.where(off, np.where(v == END, 0.0, np.log(ALPHA)) - np.log(max(1, total)), 0.0)
-            hot_w, log_w = known(w)
+            hot_w, log_w = hot.word(w)
             score += np.where(off & hot_w, log_w, 0.0)
             left = off & ~hot_w
             sums += np.bincount(doc, score, m)
@@ -273,8 +340,8 @@ def _documents(table: pa.Table) -> pa.Table:
     ids, words = table.column("ids")[at].values, table.column("words")[at].values
     score, seen = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
     for docs, sums, n in zip(table.column("docs"), table.column("score"), table.column("seen")):
-        if docs.is_valid:
-            d = of_ascending(docs.as_buffer())
+        if sums.is_valid:
+            d = of_ascending(docs.as_buffer()) if docs.is_valid else slice(None)
             score[d] += np.frombuffer(sums.as_buffer(), np.float64)
             seen[d] += np.frombuffer(zlib.decompress(n.as_buffer()), "<u4")
     return pa.Table.from_arrays([ids, words, pa.array(seen), pa.array(score)], names=[x.split()[0] for x in SCORE.split(", ")])
@@ -286,19 +353,23 @@ def lm_scores(docs: DataFrame, least: int = LEAST) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = written(unigrams(text), "lm-words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # At most HOT_SHARE words can have so large a share.
-    found = sorted((r.word, r.n) for r in words.where(F.col("n") * HOT_SHARE > total).collect())
-    hot, hot_n = np.array([w for w, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
-    buckets, rest_buckets = max(6, -(-total // BUCKET)), max(6, -(-distinct // BUCKET))
-    blocks = text.mapInArrow(_blocks(buckets, hot), BLOCK)
-    first = written(blocks.groupBy("bucket").applyInArrow(_score_bucket(hot, hot_n, total, least, rest_buckets), PARTIAL), "lm-partial")
+    # No more than total / most words, and as many pairs, can be hot: 16384, or half a million in a corpus of 26,000 billion words.
+    most = min(total / HOT_SHARE, HOT_MOST)
+    found = words.where(F.col("n") > most).toArrow()
+    hot = Hot(found.column("word").to_numpy().astype(np.uint64), found.column("n").to_numpy())
+    if len(hot.words):
+        pairs = pairs_of(text, hot).where((F.col("n") > most) & (F.col("n") >= least)).toArrow()
+        hot.with_pairs(pairs.column("pair").to_numpy().view(np.uint64), pairs.column("n").to_numpy())
+    buckets, rest_buckets = max(64, -(-total // BUCKET)), max(16, -(-distinct // BUCKET))
+    blocks = text.mapInArrow(_blocks(buckets, hot, total), BLOCK)
+    first = written(blocks.groupBy("bucket").applyInArrow(_score_bucket(hot, total, least, rest_buckets), PARTIAL), "lm-partial")
 
     # The bucket of a word, as numpy has it.
     @F.arrow_udf("long")
     def bucket_of(word: pa.Array) -> pa.Array:
         return pa.array((spread(word.to_numpy(zero_copy_only=False).astype(np.uint64)) % np.uint64(rest_buckets)).astype(np.int64))
 
-    table = words.where(F.col("n") * HOT_SHARE <= total).select(bucket_of("word").alias("bucket"), "word", "n")
+    table = words.where(F.col("n") <= most).select(bucket_of("word").alias("bucket"), "word", "n")
     second = first.where("bucket >= 0").groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(_look_up, PARTIAL)
     parts = first.where("bucket < 0").unionByName(second)
     found = parts.groupBy("batch").applyInArrow(_documents, SCORE)

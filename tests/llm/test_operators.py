@@ -49,7 +49,9 @@ def rows_of(docs):
 # --- 1 -----------------------------------------------------------------------------------------------------------------------------
 
 
-def test_lm_scores(docs):
+@pytest.mark.parametrize("share", [lm_score.HOT_SHARE, 300, 1])
+def test_lm_scores(docs, monkeypatch, share):
+    monkeypatch.setattr(lm_score, "HOT_SHARE", share)
     rows = [(i, words(lowered(t))) for i, t in rows_of(docs)]
     one, two = Counter(), Counter()
     for _, w in rows:
