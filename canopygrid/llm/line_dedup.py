@@ -12,7 +12,7 @@ Empty table: empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopygrid.llm.common import WORD, small, written
@@ -125,9 +125,10 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     pairs within a key are weighed in arrays of at most some hundred lines, so that only pairs that pass become rows.
     """
     long = lines.where(F.col("chars") >= LEAST_CHARS)
-    by_key = Window.partitionBy("key")
-    shared = keyed(long, edits).withColumns({"n": F.count(F.lit(1)).over(by_key), "owned": F.max("own").over(by_key)}).where("n > 1 and owned")
-    shared = written(shared.select("key", "id", "own", "n"), "line-keys")
+    # Counts combine before they meet, so a key that many lines have burdens no task.
+    keys = keyed(long, edits).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("owned")).where("n > 1 and owned")
+    keys = written(keys.select("key", "n"), "line-keys")
+    shared = written(keyed(long, edits).join(small(keys, BROADCAST_IDS), "key").select("key", "id", "own", "n"), "line-places")
     ids = written(shared.select("id").distinct(), "line-ids")
     texts = long.select("id", "line").join(small(ids, BROADCAST_IDS), "id", "left_semi").select("id", F.explode(F.array(code_points(F.col("line")))).alias("points"))
     texts = written(texts.withColumn("parity", pair_parity(F.col("points"))), "line-points")
