@@ -6,7 +6,6 @@ arrays, a batch of images at a time, with the forest broadcast: its size is boun
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -163,7 +162,3 @@ def hard_labels(samples: DataFrame, tree: Tree) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(label.astype(np.int32)), pa.array(np.argmax(shared.value.hist[leaf], 1).astype(np.int32))], names=["sample_id", "label", "prediction"])
 
     return samples.mapInArrow(run, "sample_id long, label int, prediction int")
-
-
-def to_json(nodes: list[dict]) -> str:
-    return json.dumps(nodes, sort_keys=True)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from canopygrid import schema
 from canopygrid.config import TrainingConfig
 from canopygrid.functions.arrays import normalized
-from canopygrid.functions.hashing import digest, draw_of
+from canopygrid.functions.hashing import draw_of
 from canopygrid.operators import grid
 from canopygrid.operators.features import Features, Packs, feature_tables, ragged, responses, same_size
 from canopygrid.operators.inference import Tree, forest_of, predicted
@@ -216,7 +216,7 @@ def _best_splits(counts: DataFrame, thresholds: int, classes: int) -> DataFrame:
     return found.select("tree", "node", "n", "x.f", "x.b.score", "x.b.k", "x.b.left", "x.b.right")
 
 
-def grow(table: DataFrame, config: TrainingConfig, classes: int, priors: list[int] | None = None) -> list[dict]:
+def grow(table: DataFrame, config: TrainingConfig, classes: int) -> list[dict]:
     """All trees at once, a level at a time: rows of ``tree_node`` with ids from 0 in breadth-first order."""
     spark, flip = table.sparkSession, "both" if config.horizontal_flipping else "none"
     blank = {"parent_id": None, "left_id": None, "right_id": None, "is_leaf": True, "feature": None, "threshold": None, "score": None, "n_samples": 0}
@@ -283,7 +283,7 @@ class RandomForestLabeler:
         self.priors = [r.n for r in class_prior(pixels, domain).orderBy("label").collect()]
         samples = sample_table(pixels, self.config, images, self.classes, self.ignored)
         table = shared_table(training_table(image_packs(pixels), samples), "training")
-        self.nodes = grow(table, self.config, self.classes, self.priors)
+        self.nodes = grow(table, self.config, self.classes)
         return self
 
     def node_table(self, spark) -> DataFrame:
@@ -306,8 +306,3 @@ def prepared(pixels: DataFrame, config: TrainingConfig) -> DataFrame:
     if not config.use_depth_images:
         return pixels.withColumns({"depth": F.lit(1000), "valid": F.lit(1)})
     return grid.depth_fill(pixels) if config.use_depth_filling else pixels
-
-
-def order_key(*key):
-    """A reproducible random order."""
-    return digest(*key)
