@@ -65,11 +65,16 @@ def shingle_hashes(text: bytes, k: int):
         yield np.array([one(b" ".join(carry), SEED)], np.uint64)
 
 
-def fingerprint(text: bytes, k: int, width: int, keys: int) -> tuple[bytes, list[int] | None]:
-    """``width`` 64-bit words, most significant first, and the smallest of ``keys`` permutations of the shingles."""
+def shingle_set(text: bytes, k: int) -> np.ndarray:
+    """The distinct ``shingle_hashes`` of the whole text, sorted."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(text, k)]))
+
+
+def fingerprint(hashes, width: int, keys: int) -> tuple[bytes, list[int] | None]:
+    """``width`` 64-bit words, most significant first, and the smallest of ``keys`` permutations of arrays of shingle hashes."""
     ones, n = np.zeros((width, 64), np.int64), 0
     least = np.full(keys, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for h in shingle_hashes(text, k):
+    for h in hashes:
         n += len(h)
         for w in range(width):
             bits = np.unpackbits(mixed(h, w).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -86,12 +91,29 @@ def fingerprints(docs: DataFrame, words: int = 3, width: int = 1, keys: int = 0)
     def run(batches):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            found = [fingerprint(t.as_py() or b"", words, width, keys) for t in texts]
+            found = [fingerprint(shingle_hashes(t.as_py() or b"", words), width, keys) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.binary()), pa.array([k for _, k in found], pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary, keys array<long>")
 
 
+def set_fingerprints(docs: DataFrame, words: int, width: int, keys: int, sets: bool = False) -> DataFrame:
+    """``doc_id``, ``fp`` and ``keys`` as above but of the distinct shingles, ``same`` (a digest that only equal sets share) and, if asked for, ``shingles`` (sorted hashes, 8 bytes each)."""
+    step = SLICE // 8
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                every = [shingle_set(t.as_py() or b"", words) for t in some.column(1).cast(pa.binary())]
+                found = [fingerprint((h[i : i + step] for i in range(0, len(h), step)), width, keys) for h in every]
+                same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in every], pa.binary())
+                held = pa.array([h.tobytes() if sets else None for h in every], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([f for f, _ in found], pa.binary()), pa.array([k for _, k in found], pa.list_(pa.int64())), same, held], names=["doc_id", "fp", "keys", "same", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary, keys array<long>, same binary, shingles binary")
+
+
 def pigeonhole(radius: int, blocks: int) -> list[int]:
     """Masks of a 64-bit word such that fingerprints within ``radius`` bits agree under one of them: of ``blocks`` blocks, at most ``radius`` differ."""
     cut = [round(64 * i / blocks) for i in range(blocks + 1)]
@@ -108,8 +130,30 @@ def _keyed(classes: DataFrame, radius: int, blocks: int) -> DataFrame:
     return classes.select("fp", "rep", F.posexplode(F.transform(masks, lambda m: m.bitwiseAND(word))).alias("slot", "key"))
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is ``NEAR`` or more."""
+    of, whole = NEAR
+    # The smaller over the larger is the most that it can be.
+    if whole * min(len(a), len(b)) < of * max(len(a), len(b)):
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return whole * shared >= of * (len(a) + len(b) - shared)
+
+
+def merged_alike(labels: np.ndarray, i: np.ndarray, j: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """``merged``, by those pairs whose sets are alike; pairs that others join already aren't looked at."""
+    step = 64
+    while len(i):
+        apart = labels[i] != labels[j]
+        i, j = i[apart], j[apart]
+        good = np.fromiter((alike(sets[a], sets[b]) for a, b in zip(i[:step], j[:step])), bool)
+        labels = merged(labels, i[:step][good], j[:step][good])
+        i, j, step = i[step:], j[step:], min(2 * step, 4096)
+    return labels
+
+
 def _forest(batches, width: int, radius: int):
-    """Rows sorted by bucket in, links of each bucket's spanning forest out."""
+    """Rows sorted by bucket in, links of each bucket's spanning forest out; where rows have their sets, only links of sets that are alike."""
 
     def flush(rows):
         group = np.cumsum(np.r_[False, rows["new"][1:]])
@@ -117,12 +161,13 @@ def _forest(batches, width: int, radius: int):
         keep = size[group] > 1
         if not keep.any():
             return None
-        group, prints, rep = group[keep], rows["fp"][keep], rows["rep"][keep]
+        group, prints, rep, own = group[keep], rows["fp"][keep], rows["rep"][keep], rows["sets"][keep]
         order = np.lexsort((rep, group))
-        group, prints, rep = group[order], prints[order], rep[order]
+        group, prints, rep, own = group[order], prints[order], rep[order], own[order]
         labels = np.arange(len(rep))
+        sets = [np.frombuffer(x, np.uint64) for x in own] if own[0] is not None else None
         for i, j in Planes(prints, group).near(radius):
-            labels = merged(labels, i, j)
+            labels = merged(labels, i, j) if sets is None else merged_alike(labels, i, j, sets)
         child = labels != np.arange(len(rep))
         return pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(rep[labels[child]])], names=["a", "b"]) if child.any() else None
 
@@ -133,22 +178,29 @@ def _forest(batches, width: int, radius: int):
         bucket = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
         prints = np.frombuffer(b"".join(batch.column(4).to_pylist()), ">u8").astype(np.uint64).reshape(-1, width)
         rep = batch.column(5).to_numpy(zero_copy_only=False).astype(np.int64)
+        sets = np.full(len(rep), None, object)
+        if batch.num_columns > 6:
+            sets[:] = batch.column(6).to_pylist()
         if held:
-            bucket, prints, rep = np.vstack([held[0], bucket]), np.vstack([held[1], prints]), np.r_[held[2], rep]
+            bucket, prints, rep, sets = np.vstack([held[0], bucket]), np.vstack([held[1], prints]), np.r_[held[2], rep], np.r_[held[3], sets]
         new = np.r_[True, (bucket[1:] != bucket[:-1]).any(1)]
         last = int(np.flatnonzero(new)[-1])
         if last:
-            out = flush({"new": new[:last], "fp": prints[:last], "rep": rep[:last]})
+            out = flush({"new": new[:last], "fp": prints[:last], "rep": rep[:last], "sets": sets[:last]})
             if out is not None:
                 yield out
-        held = (bucket[last:], prints[last:], rep[last:])
-    if held and (out := flush({"new": np.r_[True, np.zeros(len(held[2]) - 1, bool)], "fp": held[1], "rep": held[2]})) is not None:
+        held = (bucket[last:], prints[last:], rep[last:], sets[last:])
+    if held and (out := flush({"new": np.r_[True, np.zeros(len(held[2]) - 1, bool)], "fp": held[1], "rep": held[2], "sets": held[3]})) is not None:
         yield out
 
 
 def links(classes: DataFrame, width: int, radius: int, blocks: int = 5, part: int = PART) -> DataFrame:
     """``a``, ``b``: links that connect all classes (``rep``, ``fp``, maybe ``keys``) within ``radius`` bits that share a bucket."""
-    keyed = _keyed(classes, radius, blocks)
+    return _bucket_links(_keyed(classes, radius, blocks), width, radius, part)
+
+
+def _bucket_links(keyed: DataFrame, width: int, radius: int, part: int = PART) -> DataFrame:
+    """``links`` of rows that have their bucket (``slot``, ``key``) and maybe their set (``shingles``)."""
     hot = written(keyed.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part), "hot-buckets")
     if hot.isEmpty():
         dealt = keyed.withColumns({"i": F.lit(0), "j": F.lit(0)})
@@ -159,7 +211,7 @@ def links(classes: DataFrame, width: int, radius: int, blocks: int = 5, part: in
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         dealt = dealt.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
     bucket = ["slot", "key", "i", "j"]
-    dealt = dealt.select(*bucket, "fp", "rep").repartition(*bucket).sortWithinPartitions(*bucket)
+    dealt = dealt.select(*bucket, "fp", "rep", *[c for c in ("shingles",) if c in keyed.columns]).repartition(*bucket).sortWithinPartitions(*bucket)
     return dealt.mapInArrow(lambda batches: _forest(batches, width, radius), "a long, b long")
 
 
@@ -186,22 +238,38 @@ def simhash_groups(docs: DataFrame, words: int = 3, width: int = 1, radius: int
     return prints.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: For five-word shingles and a similarity of 0.8: 256 bits, of which such documents differ in about 39, in 46 at most but one in ten times.
-WIDE = {"words": 5, "width": 4, "radius": 46, "keys": 8}
+#: Distinct five-word shingles in 256 bits. Of them, documents of similarity 0.8 differ in about 39, with a deviation of 6; those of four
+#: and five shingles in 48. The radius only finds candidates, so it is wide; they share none of the keys once in 390,000 times.
+WIDE = {"words": 5, "width": 4, "keys": 8}
+RADIUS = 80
+#: The least similarity of near copies, as a fraction: 0.8.
+NEAR = (4, 5)
+#: ``PART`` for rows that have their sets with them.
+SET_PART = 1024
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, part: int = SET_PART) -> DataFrame:
     """``node``, ``root``: documents that are copies or near copies, and the smallest doc_id of their group; roots have no row.
 
-    Near copies are those within 3 of 64 bits over three-word shingles, or within the radius of ``WIDE`` over five-word shingles.
+    Near copies have sets of five-word shingles (a shorter text is one shingle) whose Jaccard similarity is ``NEAR`` or more, and groups
+    are what they connect. SimHash finds the candidates: components within ``RADIUS`` bits, by buckets of minimum hashes. Only those
+    documents' sets are made once more, and compared within the component, or within the buckets again where it is larger than a part.
     Documents with a null doc_id are in no group.
     """
-    every = []
-    for words, width, radius, keys in ((3, 1, 3, 0), tuple(WIDE[k] for k in ("words", "width", "radius", "keys"))):
-        prints, classes = _classes(docs, words, width, keys, f"near-{width}")
-        same = prints.select("doc_id", "fp").join(classes.select("fp", "rep"), "fp").where("doc_id <> rep")
-        every += [same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), links(classes.where("rep is not null"), width, radius)]
-    union = every[0]
-    for more in every[1:]:
-        union = union.unionByName(more)
-    return components(written(union.distinct(), "near-links"), "near-components")
+    prints = written(set_fingerprints(docs, **WIDE).drop("shingles"), "near-prints")
+    first = [F.min_by(c, "doc_id").alias(c) for c in ("fp", "keys")]
+    classes = written(prints.groupBy("same").agg(F.min("doc_id").alias("rep"), *first), "near-classes")
+    copies = prints.select("doc_id", "same").join(classes.select("same", "rep"), "same").where("doc_id <> rep")
+    copies = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    roots = components(links(classes.where("rep is not null"), WIDE["width"], RADIUS), "near-candidates")
+    members = written(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "near-members")
+    large = written(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part).select("root", F.lit(True).alias("large")), "near-large")
+    members = members.join(small(large), "root", "left").select(F.col("node").alias("rep"), "root", F.coalesce("large", F.lit(False)).alias("large"))
+    members = written(members, "near-sized")
+    again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(members.select(F.col("rep").alias("doc_id")), 1_000_000), "doc_id", "left_semi")
+    sets = set_fingerprints(again, **WIDE, sets=True).withColumnRenamed("doc_id", "rep").join(small(members, 1_000_000), "rep")
+    buckets = F.when(F.col("large"), F.transform("keys", lambda k, i: F.struct(i.alias("slot"), k.alias("key")))).otherwise(F.array(F.struct(F.lit(-1).alias("slot"), F.col("root").alias("key"))))
+    sets = written(sets.withColumn("buckets", buckets).select("rep", "fp", "shingles", "buckets"), "near-sets")
+    keyed = sets.select("rep", "fp", "shingles", F.explode("buckets").alias("at")).select("at.slot", "at.key", "fp", "rep", "shingles")
+    near = _bucket_links(keyed, WIDE["width"], RADIUS, part)
+    return components(written(copies.unionByName(near).distinct(), "near-links"), "near-components")

@@ -550,3 +550,34 @@ def test_shared_folder_is_the_sessions(spark):
 
 def test_near_duplicates_find_copies_and_near_copies(edge_docs):
     assert {(r.node, r.root) for r in near_duplicates(edge_docs).collect() if r.node in (1, 2, 13, 100)} == {(1, 0), (2, 0), (13, 0), (100, 0)}
+
+
+@pytest.mark.parametrize("options", [{}, {"part": 4}])
+def test_near_duplicates_are_those_of_similarity(spark, options):
+    """Groups are the components of all pairs of Jaccard similarity 0.8 or more over five words, and of no others."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    base = [f"w{i}" for i in range(60)]
+    made = [base, base[:30] + ["x"] + base[31:], [*base[:15], "y", *base[16:40], "y", *base[41:]], base[:8], base[:9], base[:7], ["one"], ["one", "two"]]
+    docs = docs.unionByName(spark.createDataFrame([(10**6 + i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string"))
+    sets, met = {}, defaultdict(set)
+    for i, text in rows_of(docs):
+        w = words(lowered(text))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}
+        for s in sets[i]:
+            met[s].add(i)
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sorted(sets):
+        shared = Counter(b for s in sets[a] for b in met[s] if b > a)
+        for b, n in shared.items():
+            if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    got = {r.node: r.root for r in near_duplicates(docs, **options).collect()}
+    assert got == {i: root(i) for i in sets if root(i) != i}
+    assert got[10**6 + 1] == 10**6 and got[10**6 + 4] == 10**6 + 3 and 10**6 + 2 not in got
