@@ -38,18 +38,26 @@ def pixel_uniform(spark, n: int, images: int, width: int, height: int, seed: int
     return spark.range(n).select(i.alias("draw_id"), draw(0, images - 1, seed, "image", i, attempt).alias("image"), draw(0, width - 1, seed, "x", i, attempt).cast("int").alias("x"), draw(0, height - 1, seed, "y", i, attempt).cast("int").alias("y"))
 
 
-def pixel_uniform_accepted(pixels: DataFrame, images: DataFrame, n: int, width: int, height: int, ignored: list[int], seed: int = 4711, attempts: int = 16) -> DataFrame:
-    """``n`` draws, the first of ``attempts`` tries each whose label isn't ignored; missing depths are kept.
+def pixel_uniform_accepted(pixels: DataFrame, images: DataFrame, n: int, width: int, height: int, ignored: list[int], seed: int = 4711, attempts: int = 16, stay: bool = False) -> DataFrame:
+    """``n`` draws, the first try of each that meets a pixel whose label isn't ignored; missing depths are kept.
 
-    ``images`` numbers the images: ``image``, ``image_id``. A draw fails to appear only if all its tries meet ignored labels.
+    ``images`` numbers the images: ``image``, ``image_id``. Each try draws an image, or with ``stay`` the first one draws it for all.
+    Tries come in rounds, of ``attempts`` and then twice as many, for the draws still without a pixel, until none is left.
     """
-    spark = pixels.sparkSession
-    tries = spark.range(n).select(F.col("id").alias("draw_id"), F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
-    i, a, count = F.col("draw_id"), F.col("attempt"), images.count()
-    tries = tries.select("draw_id", "attempt", draw(0, count - 1, seed, "image", i, a).alias("image"), draw(0, width - 1, seed, "x", i, a).cast("int").alias("x"), draw(0, height - 1, seed, "y", i, a).cast("int").alias("y"))
-    met = tries.join(images, "image").join(pixels, ["image_id", "x", "y"])
-    met = met.where(~F.col("label").isin(*ignored)) if ignored else met
-    return met.groupBy("draw_id").agg(F.min_by(F.struct("image_id", "x", "y", "label"), "attempt").alias("s")).select("draw_id", "s.*")
+    fit = pixels.where(~F.col("label").isin(*ignored)) if ignored else pixels
+    left, first, i, a, count, out = pixels.sparkSession.range(n).select(F.col("id").alias("draw_id")), 0, F.col("draw_id"), F.col("attempt"), images.count(), None
+    if stay and (empty := images.join(fit, "image_id", "left_anti").select("image_id").limit(5).collect()):
+        raise ValueError(f"images without a pixel to draw: {[r.image_id for r in empty]}")
+    while True:
+        tries = left.select("draw_id", F.explode(F.sequence(F.lit(first), F.lit(first + attempts - 1))).alias("attempt"))
+        tries = tries.select("draw_id", "attempt", draw(0, count - 1, seed, "image", i, F.lit(0) if stay else a).alias("image"), draw(0, width - 1, seed, "x", i, a).cast("int").alias("x"), draw(0, height - 1, seed, "y", i, a).cast("int").alias("y"))
+        met = tries.join(images, "image").join(fit, ["image_id", "x", "y"])
+        met = met.groupBy("draw_id").agg(F.min_by(F.struct("image_id", "x", "y", "label"), "attempt").alias("s")).select("draw_id", "s.*")
+        out = met if out is None else out.unionByName(met)
+        left = left.join(met.select("draw_id"), "draw_id", "left_anti")
+        if left.isEmpty() or (not first and images.join(fit, "image_id", "left_semi").isEmpty()):
+            return out
+        first, attempts = first + attempts, 2 * attempts
 
 
 def image_subsample(images: DataFrame, k: int, tree: int, seed: int = 4711) -> DataFrame:

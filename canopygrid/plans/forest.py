@@ -68,9 +68,10 @@ def sample_table(pixels: DataFrame, config: TrainingConfig, images: int, classes
         else:
             from pyspark.sql import Window
 
-            numbered = frame.select("image_id").distinct().withColumn("image", F.row_number().over(Window.orderBy("image_id")).cast("long") - 1)
+            fit = frame.where(~F.col("label").isin(*ignored)) if ignored else frame
+            numbered = fit.select("image_id").distinct().withColumn("image", F.row_number().over(Window.orderBy("image_id")).cast("long") - 1)
             size = frame.agg(F.max("x"), F.max("y")).first()
-            drawn = pixel_uniform_accepted(frame, numbered, count * config.samples_per_tree, size[0] + 1, size[1] + 1, list(ignored), seed).drop("label", "draw_id").join(frame, ["image_id", "x", "y"])
+            drawn = pixel_uniform_accepted(frame, numbered, count * config.samples_per_tree, size[0] + 1, size[1] + 1, list(ignored), seed, stay=True).drop("label", "draw_id").join(frame, ["image_id", "x", "y"])
         drawn = drawn.select(F.lit(tree).alias("tree_id"), "image_id", "x", "y", "depth", "label")
         out = drawn if out is None else out.unionByName(drawn)
     return out

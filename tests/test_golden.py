@@ -359,3 +359,17 @@ def test_command_line(spark, tmp_path):
     assert len(out["trees"]) == 2
     got = main(["predict", "--folderTesting", str(tmp_path), "--treeFolder", str(tmp_path / "m"), "--folderPrediction", str(tmp_path / "p")])
     assert got["losses"]["pixelAccuracy"] < 0.3 and len(list((tmp_path / "p").iterdir())) == 6
+
+
+@pytest.mark.parametrize("stay", [False, True])
+def test_every_draw_meets_a_pixel(spark, stay):
+    """One label in fifty is wanted: no draw is lost, and with ``stay`` each is in the image that it drew first."""
+    from canopygrid.functions.hashing import draw_of
+    from canopygrid.operators.sampling import pixel_uniform_accepted
+
+    rows = [(i, x, y, 0 if (x, y) == (3, 4) else 1) for i in range(2) for x in range(10) for y in range(5)]
+    pixels = spark.createDataFrame(rows, "image_id int, x int, y int, label int")
+    images = spark.createDataFrame([(0, 0), (1, 1)], "image long, image_id int")
+    got = pixel_uniform_accepted(pixels, images, 40, 10, 5, [1], **({"stay": True} if stay else {})).collect()
+    assert sorted(r.draw_id for r in got) == list(range(40)) and {(r.x, r.y, r.label) for r in got} == {(3, 4, 0)}
+    assert not stay or all(r.image_id == draw_of(0, 1, 4711, "image", r.draw_id, 0) for r in got)
