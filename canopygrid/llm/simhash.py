@@ -273,3 +273,24 @@ def near_duplicates(docs: DataFrame, part: int = SET_PART) -> DataFrame:
     keyed = sets.select("rep", "fp", "shingles", F.explode("buckets").alias("at")).select("at.slot", "at.key", "fp", "rep", "shingles")
     near = _bucket_links(keyed, WIDE["width"], RADIUS, part)
     return components(written(copies.unionByName(near).distinct(), "near-links"), "near-components")
+
+
+def without_near_duplicates(docs: DataFrame, part: int = SET_PART) -> DataFrame:
+    """``docs`` with one row of each group of copies and near copies, that with the smallest doc_id.
+
+    Rows are compared, not ids, so repeated rows and rows that share a doc_id or have none go like any other copies; a null doc_id
+    comes after all others, and of equal doc_ids one row stays. Null texts and texts without a word are copies of each other.
+    Empty table: empty result. Other columns are carried along.
+    """
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-rows")
+    roots = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), part)
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    named = written(members.join(numbered.select(F.col(row).alias("node"), F.col("doc_id").alias("id")), "node"), "near-named")
+    # One smallest row of each group, found in parts first; a group of any size costs no task more than its share.
+    first = written(named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")), "near-first")
+    gone = named.join(small(first, 1_000_000), "root").where(F.col("node") != F.col("first.node")).select(F.col("node").alias("__gone"))
+    gone = written(gone, "near-gone")
+    return numbered.join(small(gone, 1_000_000), F.col(f"`{row}`") == F.col("__gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -19,7 +19,7 @@ from canopygrid.llm.components import components
 from canopygrid.llm.mixing import mixed, mixed_rows, targets
 from canopygrid.llm.queries import ORACLE_SQL, QUERIES
 from canopygrid.llm.sharding import placed, sharded
-from canopygrid.llm.simhash import near_duplicates, pigeonhole, simhash_groups
+from canopygrid.llm.simhash import near_duplicates, pigeonhole, simhash_groups, without_near_duplicates
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -581,3 +581,15 @@ def test_near_duplicates_are_those_of_similarity(spark, options):
     got = {r.node: r.root for r in near_duplicates(docs, **options).collect()}
     assert got == {i: root(i) for i in sets if root(i) != i}
     assert got[10**6 + 1] == 10**6 and got[10**6 + 4] == 10**6 + 3 and 10**6 + 2 not in got
+
+
+def test_near_duplicates_go_by_row(spark):
+    """Copies with repeated or null ids go like others; the smallest doc_id stays, null last, with its columns."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text, 0), (1, text, 1), (2, text, 2), (1, text, 3), (None, text, 4), (7, "something else", 5), (None, "of its own", 6), (9, None, 7), (8, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(4)
+    got = without_near_duplicates(docs)
+    assert got.columns == docs.columns
+    kept = sorted(got.collect(), key=str)
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "of its own"), (1, text), (7, "something else"), (8, "")]
+    assert all(tuple(r) in rows for r in kept)
