@@ -10,39 +10,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopygrid.llm import decontamination, gam
-from canopygrid.llm.common import small, table_path, written
+from canopygrid.llm.common import table_path
 from canopygrid.llm.mixing import mixed_rows
 from canopygrid.llm.sharding import sharded
-from canopygrid.llm.simhash import near_duplicates
+from canopygrid.llm.simhash import without_near_duplicates
 from canopygrid.session import shipped
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labelled rows among them, doesn't reject."""
+    """Documents that the classifier, learned from the labelled rows among them, doesn't reject.
+
+    A null text counts as empty; a null doc_id has no label; repeated rows share a verdict. Without labels of both kinds all score
+    alike. Empty table: empty result.
+    """
     shipped(spark)
     model = gam.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(gam.score_of(F.col("text"), model) >= gam.THRESHOLD)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies stays, that with the smallest doc_id."""
+    """One row of each group of copies and near copies stays, that with the smallest doc_id, null last.
+
+    Rows count, not ids: of repeated rows, and of copies with equal or null doc_ids, one stays. Null texts are copies of texts without
+    a word. Empty table: empty result.
+    """
     shipped(spark)
-    gone = written(near_duplicates(docs).select(F.col("node").alias("__gone")), "near-duplicates")
-    return docs.join(small(gone, 1_000_000), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return without_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark.
+
+    A null text holds none; null ids are carried along; repeated rows go or stay together. An empty benchmark takes nothing.
+    """
     return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix of sources takes, none of those that it leaves out."""
+    """As many copies of each document as the mix of sources takes, none of those that it leaves out.
+
+    A null source is one of its own, last; a null text has no words; repeated rows are drawn each for itself. Empty table: empty result.
+    """
     return mixed_rows(docs)
 
 
 def ring_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A shard and a slot for every row."""
+    """A shard and a slot for every row.
+
+    A null text has no bytes; rows with a null doc_id are placed by their text; repeated rows get places of their own. Empty table:
+    empty result.
+    """
     rows = sharded(docs, shards=24)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -55,7 +72,7 @@ STAGES = [
     ("ring_shards", ring_shards),
 ]
 
-#: Boosted tables, SimHash components and drawn copies have no SQL form; tests hold each stage against brute force.
+#: Boosted tables, components of similar sets and drawn copies have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
