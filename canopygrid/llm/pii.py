@@ -1,10 +1,11 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass finds at-signs, plus-signs, schemes and cues of identifiers; a parser for each kind expands the anchor to its
-boundaries and validates it. Numbers without a cue (addresses of hosts, cards) are anchored at their digits.
+One Aho-Corasick pass finds at-signs, plus-signs, schemes, digits and cues of identifiers; a parser for each kind expands the anchor
+to its boundaries and validates it. Addresses of hosts and cards have no cue but their digits: a run of digits is parsed at its first.
 
-Nulls: a null text is empty. Empty text: no spans. Very long texts are scanned whole, once. Offsets are code points, end exclusive.
-Repeated rows are scanned each for itself. Empty table: empty result.
+Nulls: a null text is empty. Empty text: no spans. Very long texts are scanned whole; what an anchor has expanded over isn't expanded
+again for later ones of its kind, so time is in proportion to the text. Offsets are code points, end exclusive. Repeated rows are
+scanned each for itself. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ CUES = {
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_NUMBERS = re.compile(r"[0-9](?:[\x20.-]?[0-9])*")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[^\x00-\x20<>\"'|\\^`{}]+")
@@ -46,6 +48,8 @@ def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     a.add_word("@", ("@", 1))
     a.add_word("+", ("+", 1))
+    for digit in "0123456789":
+        a.add_word(digit, ("digit", 1))
     for kind, cues in CUES.items():
         for cue in cues:
             a.add_word(cue, (kind, len(cue)))
@@ -69,15 +73,24 @@ def _email(text: str, at: int, floor: int) -> tuple[int, int] | None:
     return (start, domain.end()) if domain else None
 
 
-def _url(text: str, start: int, scheme: int) -> tuple[int, int] | None:
+def _url(text: str, start: int, scheme: int, run_end: int) -> tuple[int, int] | None:
+    """The address at ``start`` in a run of characters up to ``run_end``, without the marks and open brackets that close the sentence around it."""
     if start and text[start - 1].isalnum():
         return None
-    found = _URL.match(text, start)
-    end = found.end()
-    while end > start and (text[end - 1] in ".,;:!?*" or text[end - 1] in ")]" and text.count("([".__getitem__(")]".index(text[end - 1])), start, end) < text.count(text[end - 1], start, end)):
+    host = start + (0 if text[start] == "w" else scheme)
+    slash = text.find("/", host, run_end)
+    if slash >= 0 and "." not in text[host:slash].strip("."):
+        return None
+    end, open_ = run_end, None
+    while end > start and (c := text[end - 1]) in ".,;:!?*)]":
+        if c in ")]":
+            # How many brackets of each kind are open is counted once, and kept while marks are taken off.
+            open_ = open_ or {x: text.count(x, start, end) - text.count(y, start, end) for x, y in ((")", "("), ("]", "["))}
+            if open_[c] <= 0:
+                break
+            open_[c] -= 1
         end -= 1
-    host = text[start + (0 if text[start] == "w" else scheme) : end].split("/", 1)[0]
-    return (start, end) if "." in host.strip(".") else None
+    return (start, end) if "." in text[host : max(host, slash if slash >= 0 else end)].strip(".") else None
 
 
 def _mod97(code: str) -> bool:
@@ -85,13 +98,36 @@ def _mod97(code: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def _numbers(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    """Addresses of hosts and cards in a run of digits."""
+    out = []
+    for m in _DOTTED.finditer(text, start, end):
+        # Four parts are an address, and the next four another one, whether they are valid or not.
+        parts, at = m.group().split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            stop = at + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
+                out.append(("ip", at, stop))
+            at = stop + 1
+    for m in _CARD.finditer(text, start, end):
+        digits = m.group().replace(" ", "").replace("-", "")
+        if 12 <= len(digits) <= 19 and luhn(digits):
+            out.append(("card", m.start(), m.end()))
+    return out
+
+
 def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """All (kind, start, end), by start, then kind."""
     out: list[tuple[str, int, int]] = []
-    mail_end, url_end = 0, 0
+    mail_end = url_end = run_end = number_end = secret_end = 0
     for last, (kind, size) in anchors.iter(text):
         start, after = last + 1 - size, last + 1
-        if kind == "@":
+        if kind == "digit":
+            if start >= number_end:
+                number_end = _NUMBERS.match(text, start).end()
+                out += _numbers(text, start, number_end)
+        elif kind == "@":
             if last >= mail_end and (found := _email(text, last, mail_end)):
                 out.append(("email", *found))
                 mail_end = found[1]
@@ -99,7 +135,9 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int
             if (m := _PHONE.match(text, start)) and 9 <= sum(c in "0123456789" for c in m.group()) <= 15:
                 out.append(("phone", start, m.end()))
         elif kind == "url":
-            if start >= url_end and (found := _url(text, start, size)):
+            if start >= run_end:
+                run_end = _URL.match(text, start).end()
+            if start >= url_end and (found := _url(text, start, size, run_end)):
                 out.append(("url", *found))
                 url_end = found[1]
         elif kind == "iban":
@@ -111,15 +149,10 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int
         elif kind == "account":
             if m := _ACCOUNT.match(text, after):
                 out.append(("account", m.start(1), m.end(1)))
-        elif m := _SECRET.match(text, after):
+        elif start >= secret_end and (m := _SECRET.match(text, after)):
+            # A cue inside a secret is part of it.
             out.append(("secret", m.start(1), m.end(1)))
-    for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
-            out.append(("ip", m.start(), m.end()))
-    for m in _CARD.finditer(text):
-        digits = m.group().replace(" ", "").replace("-", "")
-        if 12 <= len(digits) <= 19 and luhn(digits):
-            out.append(("card", m.start(), m.end()))
+            secret_end = m.end(1)
     return sorted(set(out), key=lambda s: (s[1], KINDS[s[0]], s[2]))
 
 
@@ -147,10 +180,10 @@ def redacted(text: str, anchors: ahocorasick.Automaton) -> str:
 
 
 def digest(found_spans: DataFrame) -> DataFrame:
-    """Counts and digest of the base kinds, and all spans as text."""
+    """Counts of all kinds, digest of the base kinds, and all spans as text."""
     said = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
-    return found_spans.select("doc_id", *map(of, BASE), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+    return found_spans.select("doc_id", *map(of, BASE), F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), *map(of, ADDED))
 
 
