@@ -2,7 +2,10 @@
 
 Writing and reading go through Spark's own text writer and reader, a row for each line of the archive, so any store that Spark
 reaches will do. Archives are gzip files, which no reader splits: one task meets a file's lines in order. A payload is passed on
-as rows of record identifier and chunk number, with the SHA-1 of all of it so far; no record is held as a whole.
+as rows of record identifier and chunk number, with the SHA-1 of all of it so far. A payload in which line feeds lie further apart
+than ``CHUNK`` bytes is written with the chunked transfer coding of HTTP, so that no line of an archive is longer than that, and
+neither side holds more of a record than a batch of lines of about that size; the writer has the payload where its table has it, in
+one Arrow buffer, and cuts pieces from it. Archives of others are read alike, but each line of theirs is held as a whole.
 
 Nulls: a null payload is empty, a null url or page_id leaves its header out. Repeated rows give a record each; of equal payloads
 those with the largest page_id are responses. Empty table: an empty archive.
@@ -14,6 +17,7 @@ import base64
 import hashlib
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +35,32 @@ def record_id(page_id, digest: str) -> str:
     return f"<urn:uuid:{uuid.UUID(hashlib.md5(f'{page_id}:{digest}'.encode()).hexdigest())}>"
 
 
-def _head(page_id, url, digest: str, size: int, top) -> tuple[bytes, bytes]:
-    """The headers of a record, and those of the response in it."""
+def chunked_size(size: int, chunk: int) -> int:
+    """Bytes of a payload in chunked transfer coding."""
+    full, rest = divmod(size, chunk)
+    return size + full * (len(f"{chunk:x}") + 4) + (len(f"{rest:x}") + 4 if rest else 0) + 5
+
+
+def far_apart(payload: memoryview, chunk: int) -> bool:
+    """Whether over ``chunk`` bytes of the payload go by without a line feed."""
+    last = -1
+    for at in range(0, len(payload), chunk):
+        feeds = at + np.flatnonzero(np.frombuffer(payload[at : at + chunk], np.uint8) == 10)
+        if len(feeds):
+            if feeds[0] - last > chunk:
+                return True
+            # Feeds of one piece are closer than the piece is long.
+            last = int(feeds[-1])
+    return len(payload) - last > chunk
+
+
+def _head(page_id, url, digest: str, size: int, top, chunk: int = 0) -> tuple[bytes, bytes]:
+    """The headers of a record, and those of the response in it; with ``chunk`` its payload is in chunks of so many bytes."""
     revisit = top is not None and top != page_id
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    length = "Transfer-Encoding: chunked" if chunk else f"Content-Length: {size}"
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{length}\r\n\r\n".encode()
+    if chunk:
+        size = chunked_size(size, chunk)
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url))
@@ -46,40 +72,56 @@ def _head(page_id, url, digest: str, size: int, top) -> tuple[bytes, bytes]:
     return ("\r\n".join(lines) + "\r\n\r\n").encode(), http
 
 
-def _lines(batches):
+def _lines(chunk: int):
     """The archive's lines, without their line feeds: headers, the payload piece by piece, the end of the record."""
-    held, size = [], 0
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
-
-    for batch in batches:
-        for page_id, url, html, digest, top in zip(*(batch.column(i) for i in range(5))):
-            page_id, url, payload, digest, top = page_id.as_py(), url.as_py(), html.as_buffer(), digest.as_py(), top.as_py()
-            head, http = _head(page_id, url, digest, len(payload) if payload is not None else 0, top)
-            revisit = top is not None and top != page_id
-            held += head.split(b"\n")[:-1] + http.split(b"\n")[:-1]
-            rest = b""
-            if not revisit and payload is not None:
-                whole, at = payload.to_pybytes(), 0
-                while (cut := whole.find(b"\n", at)) >= 0:
-                    held.append(whole[at:cut])
-                    size += cut - at
-                    at = cut + 1
-                    if size > CHUNK:
-                        yield out()
-                        held, size = [], 0
-                rest = whole[at:]
-            held += [rest + b"\r", b"\r"]
-            size += len(rest) + 600
-            if size > CHUNK:
-                yield out()
-                held, size = [], 0
-    if held:
-        yield out()
-
-
-def write_warc(pages: DataFrame, path: str, least: int = LEAST) -> None:
+
+    def run(batches):
+        held, size = [], 0
+        line = bytearray()
+
+        def full() -> bool:
+            nonlocal size
+            size += len(held[-1]) + 100
+            return size > chunk
+
+        def out():
+            nonlocal held, size
+            rows, held, size = held, [], 0
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["value"])
+
+        for batch in batches:
+            for page_id, url, html, digest, top in zip(*(batch.column(i) for i in range(5))):
+                page_id, url, digest, top = page_id.as_py(), url.as_py(), digest.as_py(), top.as_py()
+                payload = memoryview(html.as_buffer() or b"")
+                revisit = top is not None and top != page_id
+                coded = not revisit and far_apart(payload, chunk)
+                head, http = _head(page_id, url, digest, len(payload), top, chunk if coded else 0)
+                held += head.split(b"\n")[:-1] + http.split(b"\n")[:-1]
+                for at in range(0, 0 if revisit else len(payload), chunk):
+                    piece = bytes(payload[at : at + chunk])
+                    if coded:
+                        piece = f"{len(piece):x}\r\n".encode() + piece + b"\r\n"
+                    first, *more = piece.split(b"\n")
+                    line += first
+                    for x in more:
+                        held.append(bytes(line))
+                        line[:] = x
+                        if full():
+                            yield out()
+                if coded:
+                    held += [b"0\r", b"\r"]
+                held += [bytes(line) + b"\r", b"\r"]
+                line.clear()
+                size += 600
+                if full():
+                    yield out()
+        if held:
+            yield out()
+
+    return run
+
+
+def write_warc(pages: DataFrame, path: str, least: int = LEAST, chunk: int = CHUNK) -> None:
     """Write a record for each row of ``pages`` (``page_id``, ``url``, ``html``) under ``path``."""
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
@@ -87,7 +129,7 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST) -> None:
     equal = rows.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     equal = written(equal, "warc-equal")
     marked = rows.join(small(equal), ["digest", "bytes"], "left").select("page_id", "url", "payload", "digest", "top")
-    lines = marked.mapInArrow(_lines, "value binary").select(F.col("value").cast("string").alias("value"))
+    lines = marked.mapInArrow(_lines(chunk), "value binary").select(F.col("value").cast("string").alias("value"))
     lines.write.option("compression", "gzip").option("lineSep", "\n").text(path)
 
 
@@ -110,6 +152,7 @@ class _Reader:
             self.left = int(self.head.get("content-length", 0))
             self.http, self.in_http = {}, "http" in self.head.get("content-type", "")
             self.part, self.no, self.size, self.sha = bytearray(), 0, 0, hashlib.sha1()
+            self.coded, self.due = False, None
             self.state = "block"
             if not self.left:
                 self.end()
@@ -123,14 +166,32 @@ class _Reader:
                 self.http[name.strip().lower()] = value.strip()
             else:
                 self.in_http = False
+                self.coded = "chunked" in self.http.get("transfer-encoding", "").lower()
+        elif self.coded:
+            self.decode(piece)
         else:
-            self.part += piece
-            while len(self.part) > self.chunk:
-                self.give(bytes(self.part[: self.chunk]), False)
-                del self.part[: self.chunk]
+            self.take(piece)
         if not self.left:
             self.end()
 
+    def decode(self, piece: bytes) -> None:
+        """A line of a payload in chunked transfer coding: the size of a chunk, or some of it and the line's end after it."""
+        if self.due is None:
+            if size := piece.split(b";")[0].strip():
+                self.due = int(size, 16) or None
+            return
+        self.take(piece[: self.due])
+        self.due -= min(self.due, len(piece))
+        # What follows a chunk is an empty line, or the rest of this one; a size comes next.
+        if not self.due:
+            self.due = None
+
+    def take(self, piece: bytes) -> None:
+        self.part += piece
+        while len(self.part) > self.chunk:
+            self.give(bytes(self.part[: self.chunk]), False)
+            del self.part[: self.chunk]
+
     def give(self, data: bytes, last: bool) -> None:
         self.size += len(data)
         self.sha.update(data)
@@ -158,14 +219,19 @@ def read_warc(spark: SparkSession, path: str, chunk: int = CHUNK, data: bool = T
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.int64(), pa.bool_()]
 
+    def rows(reader):
+        held, reader.rows = reader.rows, []
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+
     def run(batches):
         reader = _Reader(chunk, data)
         for batch in batches:
             for line in batch.column(0):
                 reader.line(line.as_py())
+                if len(reader.rows) >= (16 if data else 4096):
+                    yield rows(reader)
             if reader.rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*reader.rows), kinds)], names=names)
-                reader.rows = []
+                yield rows(reader)
 
     return spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary")).mapInArrow(run, SCHEMA)
 

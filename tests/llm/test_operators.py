@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -449,11 +450,13 @@ def test_bounded_loads_walk_the_ring(spark):
 # --- 9 -----------------------------------------------------------------------------------------------------------------------------
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("piece", [warc.CHUNK, 5_000, 997])
+def test_warc_round_trip(spark, tmp_path, piece):
     long, big = "<p>same\r\nbody\n</p>" * 100, "é\n" * 400_000
-    rows = [(1, "http://a/1", long), (2, None, long), (3, "http://a/ b\nc", long + "x"), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (8, "u", big), (9, "u", big), (2, None, long), (None, "u", "no id"), (10, "u", "WARC/1.1\r\nContent-Length: 3\r\n\r\n" * 50), (11, "u", "ends\n"), (12, "u", "\n\n")]
+    rows = [(1, "http://a/1", long), (2, None, long), (3, "http://a/ b\nc", long + "x"), (4, "u", None), (5, "u", ""), (6, "u", "short"), (7, "u", "short"), (8, "u", big), (9, "u", big), (2, None, long), (None, "u", "no id"), (10, "u", "WARC/1.1\r\nContent-Length: 3\r\n\r\n" * 50), (11, "u", "ends\n"), (12, "u", "\n\n"), (13, "u", "no feed " * 4_000), (14, "u", "a\r\n" + "0\r" * 9_000 + "\n"), (15, "u", "x" * 5_000), (16, "u", "x" * 4_999 + "\n" + "y" * 997 + "\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "top": F.lit(2), "payload": F.lit(3)}).repartition(3)
-    warc.write_warc(pages, str(tmp_path / "w"))
+    warc.write_warc(pages, str(tmp_path / "w"), chunk=piece)
+    assert spark.read.option("lineSep", "\n").text(str(tmp_path / "w")).agg(F.max(F.octet_length("value"))).first()[0] <= piece + 10
     chunks = warc.read_warc(spark, str(tmp_path / "w"), chunk=10_000).collect()
     bodies = defaultdict(bytes)
     for r in sorted(chunks, key=lambda r: (r.record_id, r.record_type, r.chunk_no)):
@@ -477,6 +480,27 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, empty).isEmpty()
 
 
+def test_long_line_is_never_held_whole():
+    """A payload of 50 MB without a line feed is written and read in lines and chunks of a MiB, in a few times their memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = pa.array([b"x" * 50_000_000], pa.binary())
+    digest = hashlib.sha1(text[0].as_py()).hexdigest()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["u"]), text, pa.array([digest]), pa.array([None], pa.int64())], names=list("abcde"))
+    tracemalloc.start()
+    reader, size, last = warc._Reader(warc.CHUNK, True), 0, []
+    for lines in warc._lines(warc.CHUNK)([batch]):
+        for line in lines.column(0):
+            assert len(line.as_py()) <= warc.CHUNK + 10
+            reader.line(line.as_py())
+            size += sum(len(r[6]) for r in reader.rows)
+            last, reader.rows = reader.rows[-1:] or last, []
+    assert tracemalloc.get_traced_memory()[1] < 30_000_000 and size == 50_000_000 and last[0][7] == digest
+    tracemalloc.stop()
+
+
 def test_damaged_record_fails():
     reader = warc._Reader(100, True)
     head, http = warc._head(1, "u", hashlib.sha1(b"abc").hexdigest(), 3, None)
@@ -529,6 +553,17 @@ def test_personal_data(spark, docs):
         assert set(brute_base(dict(rows).get(r.doc_id) or "")) <= set(r.spans.split(",")) | {""} or r.doc_id is None
 
 
+HOSTILE = {"schemes": "http://" * 150_000, "closed": "http://a.b/" + ")" * 10**6, "dots in hosts": "ftp://....." * 100_000, "digits": "1" * 10**6, "parts": "1." * 500_000, "dashes": "1-" * 500_000, "ats": "a@" * 500_000, "secrets": "secret=" * 150_000, "phone": "+1" + " " * 10**6}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_hostile_texts_take_time_in_proportion(name):
+    a, text = pii.automaton(), HOSTILE[name]
+    began = time.perf_counter()
+    pii.spans(text, a)
+    assert time.perf_counter() - began < 15
+
+
 def test_added_spans():
     a = pii.automaton()
     at = lambda text: [(k, text[s:e]) for k, s, e in pii.spans(text, a) if k in pii.ADDED]
