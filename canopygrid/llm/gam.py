@@ -5,16 +5,19 @@ both. A score is the sigmoid of a sum of table entries, found for a whole Arrow
 
 The model learns from a bounded sample of labelled rows (``MAX_TRAIN``), drawn by hash over all of them; everything else covers all rows.
 Nulls: a null text counts as empty; a null label is no label; a null doc_id is held out. No label of one kind: every score is the
-share of the other kind, 0.5 without any label. Repeated rows score alike. Empty table: empty result.
+share of the other kind, 0.5 without any label. Repeated rows score alike; of rows that share a doc_id, and of labels that do, one
+counts for learning. Very long texts have the same features as short ones. Empty table: empty result.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,32 +29,79 @@ RATE, RIDGE = 0.15, 4.0
 THRESHOLD = 0.3
 SLICE = 1 << 20
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 _END = np.frombuffer(b".!?;:", np.uint8)
 FEATURES = ("log_words", "word_bytes", "symbols", "exclaims", "bars", "upper", "digits", "lines", "line_repeats", "new_words", "new_pairs", "ends", "commas", "entropy", "wide", "short_lines", "quotes", "new_bytes")
 
 
-def features(text: bytes) -> list[float]:
-    """The features of one text, over the whole of it; distinct words and pairs are counted within slices, which bounds the memory."""
-    count = np.zeros(256, np.int64)
-    n = new = pairs = new_pairs = lines = new_lines = short = 0
+class _Distinct:
+    """How many different byte strings were added, a set of them at a time; of more than one set only 64-bit hashes are kept."""
+
+    def __init__(self):
+        self.first, self.hashes = None, []
+
+    def add(self, some: set) -> None:
+        if self.first is None and not self.hashes:
+            self.first = some
+            return
+        if self.first is not None:
+            self.hashes.append(self._hashed(self.first))
+            self.first = None
+        self.hashes.append(self._hashed(some))
+
+    @staticmethod
+    def _hashed(some: set) -> np.ndarray:
+        return np.unique(np.fromiter((xxhash.xxh64_intdigest(x if isinstance(x, bytes) else b" ".join(x)) for x in some), np.uint64, len(some)))
+
+    def count(self) -> int:
+        return len(self.first or ()) if not self.hashes else len(np.unique(np.concatenate(self.hashes)))
+
+
+def _slices(text: bytes):
+    """The text in slices that end at a space of any kind; only a longer word makes a longer slice."""
     at = 0
     while at < len(text):
-        end = min(len(text), at + SLICE)
-        if end < len(text):
-            end = (text.find(b" ", end) + 1) or len(text)
-        part = text[at:end]
+        gap = _SPACE.search(text, at + SLICE)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
         at = end
+
+
+def features(text: bytes) -> list[float]:
+    """The features of one text, over the whole of it, whatever its length.
+
+    A slice of the text is split at a time. Distinct words, pairs and lines are those of the whole text, told apart by 64-bit hashes
+    from the second slice on, which take no more memory than the text.
+    """
+    count = np.zeros(256, np.int64)
+    n = pairs = lines = short = 0
+    words_seen, pairs_seen, lines_seen = _Distinct(), _Distinct(), _Distinct()
+    last: list[bytes] = []
+    begun: list[bytes] = []
+    for part in _slices(text):
         count += np.bincount(np.frombuffer(part, np.uint8), minlength=256)
         words = part.split()
         n += len(words)
-        new += len(set(words))
+        words_seen.add(set(words))
+        words = last + words
         pairs += max(0, len(words) - 1)
-        new_pairs += len(set(zip(words, words[1:])))
-        rows = [x for x in part.split(b"\n") if x.strip()]
+        pairs_seen.add(set(zip(words, words[1:])))
+        last = words[-1:]
+        first, *rows = part.split(b"\n")
+        begun.append(first)
+        if rows:
+            rows = [b"".join(begun), *rows]
+            begun = [rows.pop()]
+        rows = [x for x in rows if x.strip()]
         lines += len(rows)
-        new_lines += len(set(rows))
         short += sum(len(x) < 40 for x in rows)
+        lines_seen.add(set(rows))
+    if (rest := b"".join(begun)).strip():
+        lines += 1
+        short += len(rest) < 40
+        lines_seen.add({rest})
+    new, new_pairs, new_lines = words_seen.count(), pairs_seen.count(), lines_seen.count()
     w, letters = max(1, n), max(1, int(count[65:91].sum() + count[97:123].sum()))
     share = count[count > 0] / max(1, len(text))
     return [
@@ -189,9 +239,9 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", most: in
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(matrix(batch.column(2))), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
-    # The sample, and with it the broadcast and what the driver gets, is bounded by ``most``.
+    # The sample, and with it the broadcast and what the driver gets, is bounded by ``most``: one row for each id, however often it is there.
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "id").select("id", "y", "text").mapInArrow(run, "id long, y int, x array<double>")
-    found = sorted({(r.id, r.y, tuple(r.x)) for r in rows.collect()})
+    found = sorted((r.id, r.y, r.x) for r in rows.groupBy("id", "y").agg(F.min("x").alias("x")).collect())
     return fit(np.array([x for _, _, x in found]).reshape(-1, len(FEATURES)), np.array([y for _, y, _ in found], np.float64))
 
 
