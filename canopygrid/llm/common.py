@@ -71,3 +71,20 @@ def dropped(df: DataFrame) -> None:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is, for a shuffled join. ``df`` should be written."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Rows that are equal are a mass from so many on.
+MASS = 1024
+
+
+def with_masses(df: DataFrame, by: list[str], most: int = MASS) -> DataFrame:
+    """``df``, which should be written, with ``mass``: how many rows equal this one in ``by`` where they are over ``most``, else null.
+
+    Counts combine before they meet, and there is at most one mass for each ``most`` rows.
+    """
+    masses = df.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.count(F.lit(1)).alias("mass")).where(F.col("mass") > most)
+    masses = written(masses, "masses")
+    if masses.isEmpty():
+        return df.withColumn("mass", F.lit(None).cast("long"))
+    same = [df[c].eqNullSafe(masses[f"__{c}"]) for c in by]
+    return df.join(small(masses), same, "left").drop(*[f"__{c}" for c in by])

@@ -4,6 +4,9 @@ Each source's target divided by its size gives the copies of each of its documen
 rounded in pairs: mass moves at random from one document to its neighbour in size until one of the two is 0 or 1. Small groups do
 so on their own; what is left of each, one document with a fraction, goes up a tree, by size first and then over the source.
 
+Groups are dealt by doc_id and text; rows that repeat both in masses are dealt by their number, so no group grows with a repeated or
+missing doc_id.
+
 Nulls: a null text has size 0; null is a source of its own, last in order. A source without words gets the target 0. Ties and
 repeated rows: equal rows are interchangeable. Empty table: empty result.
 """
@@ -13,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopygrid.llm.common import n_words, small, written
+from canopygrid.llm.common import n_words, small, with_masses, written
 
 #: Documents of a group, on average; groups of a node of the tree.
 FAN = 64
@@ -25,16 +28,24 @@ def size_class(size: Column) -> Column:
     return F.floor(4 * F.log2(size + 1)).cast("int")
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``rank``, from 0, of ``source`` by code point, null last: numbered in ranges, whose counts are then added up."""
+    order = F.col("source").asc_nulls_last()
+    ranges = written(sizes.repartitionByRange(order).withColumn("range", F.spark_partition_id()), "mix-ranges")
+    # One row for each range, not for each source.
+    before = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
+    return ranges.withColumn("inside", inside).join(F.broadcast(before), "range").withColumn("rank", F.col("before") + F.col("inside")).drop("range", "before", "inside")
+
+
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """``sizes`` (``source``, ``source_size``) with ``target``: weights repeat over the sources by code point, null last.
 
     All sources together get ``share`` of all sizes, each by weight but at most ``most`` times its own size; what one can't take
     goes to the others by weight.
     """
-    # One row for each source: as many as there are sources, not documents.
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
-    table = written(sizes.withColumn("weight", weight).withColumn("cap", most * F.col("source_size")), "mix-weights")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    table = written(ranked(sizes).withColumn("weight", weight).withColumn("cap", most * F.col("source_size")).drop("rank"), "mix-weights")
     goal = share * (table.agg(F.sum("source_size")).first()[0] or 0)
     level, full = 0.0, -1
     while True:
@@ -70,7 +81,9 @@ def settled(items: Column) -> Column:
 def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 11, row: str | None = None) -> DataFrame:
     """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copies`` of every document; ``row``: a column that identifies rows and is returned under its name."""
     row_id = F.col(f"`{row}`") if row else F.lit(None).cast("long")
-    base = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), row_id.alias("row_id")), "mix-sizes")
+    text = F.col("text").cast("string")
+    base = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(text).alias("size"), F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("number"), row_id.alias("row_id")), "mix-sizes")
+    base = with_masses(base, ["doc_id", "text_hash"]).withColumn("tie", F.when(F.col("mass").isNotNull(), F.col("number")))
     by_class = base.groupBy("source", size_class(F.col("size")).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     by_class = written(by_class.withColumn("groups", F.ceil(F.col("n") / FAN)), "mix-classes")
     sources = written(targets(by_class.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights), "mix-targets")
@@ -79,14 +92,14 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple
     classes = written(classes.withColumn("rate", rate), "mix-plan")
     rows = base.join(small(classes), base.source.eqNullSafe(classes.s) & (size_class(base.size) == classes.c)).drop("s", "c")
     rows = rows.withColumn("whole", F.floor("rate"))
-    item = F.struct(F.col("size"), F.xxhash64("doc_id", F.lit(seed)).alias("h"), F.col("doc_id"), (F.col("rate") - F.col("whole")).alias("p"), F.lit(0.0).alias("u"), F.col("whole"), F.col("row_id"))
-    group = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("groups"))
+    item = F.struct(F.col("size"), F.xxhash64("doc_id", "text_hash", "tie", F.lit(seed)).alias("h"), F.col("doc_id"), (F.col("rate") - F.col("whole")).alias("p"), F.lit(0.0).alias("u"), F.col("whole"), F.col("row_id"))
+    group = F.pmod(F.xxhash64("doc_id", "text_hash", "tie", F.lit(seed + 1)), F.col("groups"))
     level = rows.select("source", "source_size", "target", size_class(F.col("size")).alias("class"), group.alias("node"), item.alias("item"))
     depth, most_groups = 0, by_class.agg(F.max("groups")).first()[0] or 0
     keys, out = ["source", "source_size", "target"], []
     while True:
         by = [*keys, "class", "node"] if most_groups else keys
-        drawn = F.transform(F.sort_array(F.collect_list("item")), lambda x: x.withField("u", chance(x["doc_id"], x["size"], F.lit(seed + 2 + depth))))
+        drawn = F.transform(F.sort_array(F.collect_list("item")), lambda x: x.withField("u", chance(x["h"], x["size"], F.lit(seed + 2 + depth))))
         folded = written(level.groupBy(*by).agg(drawn.alias("items")).select(*by, settled(F.col("items")).alias("r")), f"mix-level-{depth}")
         out.append(folded.select(*keys, F.explode("r.out").alias("o")).select(*keys, "o.item", "o.copies"))
         if not most_groups:
@@ -97,7 +110,7 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple
         if most_groups:
             level = level.withColumn("node", F.floor(F.col("node") / FAN))
     # The last fraction of a source is drawn by itself.
-    last = F.when(chance("r.cur.doc_id", "r.cur.size", F.lit(seed)) < F.col("r.cur.p"), 1).otherwise(0)
+    last = F.when(chance("r.cur.h", "r.cur.size", F.lit(seed)) < F.col("r.cur.p"), 1).otherwise(0)
     out.append(folded.select(*keys, F.col("r.cur").alias("item"), last.alias("copies")))
     every = out[0]
     for more in out[1:]:
