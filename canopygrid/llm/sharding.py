@@ -2,7 +2,11 @@
 
 The ring has a fixed number of cells; each shard owns some of them through its virtual nodes, and the rows of a cell go to the
 next virtual node clockwise. A shard takes rows in ring order up to its capacity; what overflows continues clockwise to the next
-shard with room. Only counts of cells, bounded by the ring, are planned; rows then look up their place.
+shard with room. Only counts of cells, bounded by the ring, are planned; rows then look up their place. Rows are numbered within
+their cell, masses of equal rows in parts, whose counts are then added up.
+
+With ``slack`` a new shard takes rows into itself and little else moves; with exact shares, as the law of equal counts asks for, the
+overflow moves as well.
 
 Nulls: a null text has no bytes; rows with a null doc_id are placed by their text. Ties and repeated rows: equal rows take
 neighbouring places in either order, so the result is the same set of rows. Empty table: empty result.
@@ -13,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopygrid.llm.common import dropped, written
+from canopygrid.llm.common import MASS, dropped, small, with_masses, written
 
 #: 2 ** BITS cells; the plan has at most as many rows plus a few for each shard.
 BITS = 16
@@ -72,10 +76,20 @@ def sharded(docs: DataFrame, shards: int = 24, slack: float = 0.0, virtual_nodes
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     crc = F.crc32(F.encode(text, "utf-8"))
     key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_crc32")))
-    rows = docs.select("doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), crc.alias("text_crc32")).withColumn("key", key)
+    rows = docs.select("doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), crc.alias("text_crc32"), F.monotonically_increasing_id().alias("number")).withColumn("key", key)
     rows = written(rows.withColumn("cell", F.shiftrightunsigned("key", 64 - BITS).cast("int")), "shard-rows")
     plan = written(placed(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), shards, slack, virtual_nodes), "shard-plan")
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("key", "doc_id", "text_crc32", "size")) - 1
+    equal = ["key", "doc_id", "text_crc32", "size"]
+    # Rows outside of masses come first in their cell, then mass by mass and part by part.
+    parts = F.pmod(F.xxhash64("number"), F.ceil(F.col("mass") / MASS))
+    rows = with_masses(rows, equal).withColumns({"part": parts, "mass": F.when(F.col("mass").isNotNull(), F.xxhash64(*equal))})
+    inside = F.row_number().over(Window.partitionBy("cell", "mass", "part").orderBy(*equal)).cast("long") - 1
+    blocks = written(rows.groupBy(F.col("cell").alias("c"), F.col("mass").alias("m"), F.col("part").alias("p")).agg(F.count(F.lit(1)).alias("n")), "shard-blocks")
+    in_order = Window.partitionBy("c").orderBy(F.col("m").asc_nulls_first(), "p")
+    before = blocks.select("c", "m", "p", (F.sum("n").over(in_order) - F.col("n")).alias("before"))
+    before = written(before.where("before > 0"), "shard-before")
+    ahead = (F.col("cell") == F.col("c")) & F.col("mass").eqNullSafe(F.col("m")) & F.col("part").eqNullSafe(F.col("p"))
+    rank = rows.withColumn("inside", inside).join(small(before), ahead, "left").withColumn("rank", F.col("inside") + F.coalesce("before", F.lit(0)))
     # The plan is bounded by the ring, not by the rows.
-    found = rows.withColumn("rank", rank.cast("long")).join(F.broadcast(plan), "cell").where("rank >= low and rank < low + n")
+    found = rank.select("doc_id", "size", "text_crc32", "cell", "rank").join(F.broadcast(plan), "cell").where("rank >= low and rank < low + n")
     return found.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("low")).alias("slot"))
