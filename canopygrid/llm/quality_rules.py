@@ -20,8 +20,11 @@ NAVIGATION = r"^(home|menu|login|log in|sign in|sign up|next|previous|read more|
 SHORT_LINE = 20
 #: Symbols for each 10 words from which a line fails, and shouted words (ending in two or more exclamation marks).
 SYMBOLS_IN_10, SHOUTS_IN_10 = 5, 3
-#: A line of fewer words than this must end a sentence.
-FRAGMENT = 4
+#: How a line of prose ends: with a mark, after which only quotes, brackets and the like may come.
+ENDING = r"[.!?:;\x{2026}\x{3002}\x{FF01}\x{FF1F}][^A-Za-z0-9]*$"
+#: What sets entries of a menu apart, and what begins a link; a line fails with as many for each 10 words.
+SEPARATORS, LINKS = r"[|\x{00B7}\x{00BB}\x{203A}\x{2022}\x{2192}]", r"https?://|www\."
+SEPARATORS_IN_10, LINKS_IN_10 = 2, 2
 #: Percent of words that a document may lose.
 MAY_LOSE = 40
 WINDOW = 8
@@ -53,12 +56,14 @@ def line_words(line: Column) -> Column:
 
 
 def line_fails(line: Column, n: Column) -> Column:
-    """Whether a line of ``n`` words fails a rule: symbols, shouting, a fragment that ends no sentence, navigation, boilerplate."""
+    """Whether a line of ``n`` words fails a rule: symbols, shouting, no end of a sentence, a row of links or entries, navigation, boilerplate."""
     low = F.lower(line)
     return (
         (F.regexp_count(line, F.lit(SYMBOLS)) * 10 > n * SYMBOLS_IN_10)
         | (F.regexp_count(line, F.lit("!!")) * 10 > n * SHOUTS_IN_10)
-        | ((n < FRAGMENT) & ~line.rlike(r"[.!?:;\x{2026}][^A-Za-z0-9]*$"))
+        | ~line.rlike(ENDING)
+        | (F.regexp_count(line, F.lit(SEPARATORS)) * 10 > n * SEPARATORS_IN_10)
+        | (F.regexp_count(line, F.lit(LINKS)) * 10 > n * LINKS_IN_10)
         | ((n <= SHORT_LINE) & (low.rlike(BOILERPLATE) | low.rlike(NAVIGATION)))
     )
 
@@ -97,7 +102,7 @@ rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8))
 l AS (SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{WORD}')),
 m AS (SELECT r, line, len(regexp_extract_all(line, '{WORD}')) AS n FROM l),
 f AS (SELECT r, line, n, len(regexp_extract_all(line, '{SYMBOLS}')) * 10 > n * {SYMBOLS_IN_10} OR len(regexp_extract_all(line, '!!')) * 10 > n * {SHOUTS_IN_10}
-        OR (n < {FRAGMENT} AND NOT regexp_matches(line, '[.!?:;\x{{2026}}][^A-Za-z0-9]*$'))
+        OR NOT regexp_matches(line, '{ENDING}') OR len(regexp_extract_all(line, '{SEPARATORS}')) * 10 > n * {SEPARATORS_IN_10} OR len(regexp_extract_all(line, '{LINKS}')) * 10 > n * {LINKS_IN_10}
         OR (n <= {SHORT_LINE} AND (regexp_matches(lower(line), '{BOILERPLATE}') OR regexp_matches(lower(line), '{NAVIGATION}'))) AS f FROM m),
 x AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (WHERE f) AS failed, coalesce(sum(n) FILTER (WHERE f), 0) AS lost FROM f GROUP BY r),
 y AS (SELECT d.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(length(text) - len(regexp_extract_all(text, '{SPACE}')) AS BIGINT) AS word_chars,
