@@ -251,7 +251,7 @@ def test_quality_rules(docs):
 
 def test_line_rules(spark):
     good = "This is a plain sentence with quite a few words in it, and it ends well."
-    bad = ["Home | News | About | Contact | More", "GET IT!! NOW!! BUY!! IT!!", "All rights reserved.", "Next page", "w### x$$$ y%%% z&&&"]
+    bad = ["Home | News | About | Contact | More", "GET IT!! NOW!! BUY!! IT!!", "All rights reserved.", "Next page", "w### x$$$ y%%% z&&&", "A long line of words that goes on for a while and then just stops without any mark at all", "Home · News · About us · Contact.", "See https://a.example https://b.example https://c.example."]
     docs = spark.createDataFrame([(i, "\n".join([good] * 0 + [x])) for i, x in enumerate([good, *bad])], "doc_id long, text string")
     assert {r.doc_id: r.n_failed_lines for r in quality_rules.judged(docs).collect()} == {0: 0} | {i + 1: 1 for i in range(len(bad))}
     mixed_ = spark.createDataFrame([("\n".join([good, bad[0], "", good]),), (None,)], "text string")
@@ -434,7 +434,7 @@ def test_every_pair_within_the_radius_meets():
 
 def _items(spark):
     passage = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega and so on to the end of all."
-    return passage, spark.createDataFrame([(1, passage), (2, "too short here"), (3, None), (None, " ".join(f"w{i}" for i in range(30))), (5, " ".join(["again and"] * 12))], "item_id long, text string")
+    return passage, spark.createDataFrame([(1, passage), (2, "too short here"), (3, None), (None, " ".join(f"w{i}" for i in range(30))), (5, " ".join(["again and"] * 12)), (6, "Zweiundvierzig"), (7, "?!")], "item_id long, text string")
 
 
 @pytest.mark.parametrize("literals", [decontamination.LITERALS, 3])
@@ -444,13 +444,43 @@ def test_leaks(spark, edge_docs, monkeypatch, literals):
     w = passage.split()
     filler = " ".join(f"f{i}" for i in range(200))
     planted = {50: f"{filler} {passage} {filler}", 51: passage.upper().replace(" ", "  ") + "!", 52: f"{filler} {' '.join(w[:-2])}", 53: f"{filler} {' '.join(w[:15])} {filler}", 54: " ".join(f"w{i}" for i in range(30)), 55: "again and " * 30}
+    planted |= {56: f"{filler} Too short, HERE {filler}", 57: "too short here", 58: f"{filler} zweiundvierzig", 59: "too short", 60: "here too short"}
     docs = edge_docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(planted.items()), "doc_id long, text string"))
     found = decontamination.leaks(docs, items).collect()
-    assert {(r.doc_id, r.item_id) for r in found} == {(50, 1), (51, 1), (52, 1), (54, None), (55, 5)}
+    assert {(r.doc_id, r.item_id) for r in found} == {(50, 1), (51, 1), (52, 1), (54, None), (55, 5), (56, 2), (57, 2), (58, 6)}
     assert {r.doc_id: r.start for r in found if r.item_id == 1} == {50: 200, 51: 0, 52: 198}
     assert all(r.similarity == 1 for r in found if r.doc_id != 52)
     kept = decontamination.without_leaks(docs, items)
-    assert kept.count() == docs.count() - 5 and kept.columns == docs.columns
+    assert kept.count() == docs.count() - 8 and kept.columns == docs.columns
+
+
+def test_leaks_against_all_windows(spark):
+    """Edited passages against windows at every place, not only where a shingle puts them, and without SimHash: what is found and what is missed."""
+    rng = np.random.default_rng(3)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").limit(40).collect()]
+    said = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    texts = []
+    for item, text in items:
+        for edits in range(4):
+            w = said(text)
+            for _ in range(edits):
+                at = int(rng.integers(0, len(w)))
+                w[at : at + 1] = [["changed"], [], [w[at], "more"]][int(rng.integers(0, 3))]
+            texts.append((len(texts), item, " ".join([f"f{k}" for k in range(20)] + w + [f"g{k}" for k in range(20)])))
+    bag = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    expected = {}
+    by_item = {i: said(t) for i, t in items}
+    for d, item, text in texts:
+        own, w = bag(by_item[item]), said(text)
+        n = sum(own.values())
+        best = max((lambda s: s / (2 * n - s))(sum((own & bag(w[k : k + n + 4])).values())) for k in range(len(w) - n - 3))
+        if best >= 0.8:
+            expected[d, item] = best
+    docs = spark.createDataFrame([(d, t) for d, _, t in texts], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    own = {k: v for k, v in got.items() if k[1] == texts[k[0]][1]}
+    assert len(expected) > 40 and set(own) <= set(expected)
+    assert len(own) >= 0.98 * len(expected) and sum(v == pytest.approx(expected[k]) for k, v in own.items()) >= 0.98 * len(own)
 
 
 def test_leaks_of_nothing(spark, no_docs, edge_docs):
