@@ -1,12 +1,14 @@
 """Near-duplicate lines by a segment-partition edit join. DataFrame functions only.
 
-Distinct lines within ``edits`` edits are linked: a line is cut into edits + 1 segments, one of which an equal or shorter partner
-must hold unchanged; lines probe the segments of all lengths that partners can have, at the few places where that segment can lie,
-and candidates are verified by a banded bit-parallel edit distance. Classes of lines are the components of the links; the first line
-of a class, by doc_id and line number, stays and the others go. Equal lines are one text from the start, however many there are.
+Distinct lines are linked if at most ``edits`` edits, and at most one for each ``PER_EDIT`` characters of the longer one, lie between
+them: a line is cut into one segment more than the edits that its length allows, one of which an equal or longer partner must hold
+unchanged; lines probe the segments of all lengths that partners can have, at the few places where that segment can lie, and
+candidates are verified by a banded bit-parallel edit distance. Classes of lines are the components of the links; the first line of a
+class, by doc_id and line number, stays and the others go. Equal lines are one text from the start, however many there are.
 
-Lines are cut at line feeds and trimmed; lines without a word are not looked at. Lines of fewer than ``LEAST_CHARS`` characters only
-match equal lines. Nulls: a null text has no lines; rows with a null doc_id come last. Rows that repeat a doc_id are one document.
+Where many lines share a segment, what is left of them without it is cut into segments again, and must share one of these as well.
+
+Lines are cut at line feeds and trimmed; lines without a word are not looked at. Nulls: a null text has no lines; rows with a null doc_id come last. Rows that repeat a doc_id are one document.
 Empty table: empty result.
 """
 
@@ -20,11 +22,13 @@ from canopygrid.llm.components import components
 from canopygrid.llm.quality_rules import let
 
 EDITS = 2
-LEAST_CHARS = 20
+PER_EDIT = 5
 #: Line ids that may be broadcast, 8 bytes each.
 BROADCAST_IDS = 500_000
 #: Lines of a key that are weighed against each other in one array, on average.
 PART = 64
+#: Lines of a key from which on a second segment is asked for, and how often that is done.
+SPLIT, DEEPER = 1024, 3
 TOP = 31
 MASK = (1 << (TOP + 1)) - 1
 
@@ -35,11 +39,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode_outer(F.filter(cut, lambda x: x["line"].rlike(WORD))).alias("x")).select("doc_id", "x.line_no", "x.line")
 
 
-def segment(chars: Column, i: Column, edits: int = EDITS) -> tuple[Column, Column]:
-    """Start, from 0, and length of segment ``i`` of a line of ``chars`` characters; the longer segments come last."""
-    parts = edits + 1
+def edits_of(chars: Column, edits: int = EDITS) -> Column:
+    """The most edits between a line of ``chars`` characters and one that is as long or longer: k edits need a partner of k * PER_EDIT characters, and it is at most k longer."""
+    return F.least(F.lit(edits), F.floor(chars / (PER_EDIT - 1)).cast("int"))
+
+
+def segment(chars: Column, i: Column, parts: Column) -> tuple[Column, Column]:
+    """Start, from 0, and length of segment ``i`` of ``parts`` of a line of ``chars`` characters; the longer segments come last."""
     short = F.floor(chars / parts).cast("int")
-    longer_from = F.lit(parts) - chars % parts
+    longer_from = parts - chars % parts
     return i * short + F.greatest(F.lit(0), i - longer_from), short + F.when(i >= longer_from, 1).otherwise(0)
 
 
@@ -51,19 +59,40 @@ def probes(edits: int = EDITS) -> list[tuple[int, int, int]]:
     return [(d, i, o) for d in range(edits + 1) for i in range(edits + 1) for o in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1)]
 
 
-def keyed(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``id``, ``key``, ``own``: a row for each place to look at in each line; ``own`` marks the line's own segments.
+def wide_text(line: Column) -> Column:
+    """Four bytes for each character, so that a substring is a slice of bytes."""
+    return F.encode(line, "UTF-32")
+
+
+def without(wide: Column, cuts: Column) -> Column:
+    """What is left of a wide text when segments (``start``, ``size``) are taken out one after another."""
+    return F.aggregate(cuts, wide, lambda w, c: F.concat(F.substring(w, F.lit(1), c["start"] * 4), F.substring(w, (c["start"] + c["size"]) * 4 + 1, F.octet_length(w))))
 
-    The line has four bytes for each character here, so that a substring is a slice of bytes. Places are rows before keys are made:
-    one short expression, which compiles well, instead of one for each place.
+
+def keyed(rows: DataFrame, edits: int = EDITS) -> DataFrame:
+    """``id``, ``key``, ``own``, ``d``, ``e``, ``cuts``: a row for each place to look at in each line; ``own`` marks the line's own segments.
+
+    ``rows``: ``id``, ``wide``, and what led here: ``key``, ``own``, ``cuts``, and ``d`` and ``e`` (how much shorter the partner is, and
+    how many edits its length allows), null at first. Places are rows before keys are made: one short expression, which compiles well,
+    instead of one for each place.
     """
-    wide = lines.select("id", "chars", F.explode(F.array(F.encode("line", "UTF-32"))).alias("wide"))
-    places = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(o).alias("o")) for d, i, o in probes(edits)])
-    rows = wide.select("id", "chars", "wide", F.explode(places).alias("p")).select("id", "wide", (F.col("chars") - F.col("p.d")).alias("chars"), "p.d", "p.i", "p.o")
-    start, size = segment(F.col("chars"), F.col("i"), edits)
-    start = start + F.col("o")
-    key = F.xxhash64("chars", "i", F.substring(F.col("wide"), start * 4 + 1, size * 4))
-    return rows.where((F.col("chars") >= LEAST_CHARS) & (start >= 0)).select("id", key.alias("key"), ((F.col("d") == 0) & (F.col("o") == 0)).alias("own"))
+    some = lambda es: F.array(*[F.struct(F.lit(e).alias("e"), F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(o).alias("o")) for e in es for d, i, o in probes(e)])
+    chars = F.floor(F.octet_length("wide") / 4).cast("int")
+    # All partners of a line that is long enough allow as many edits; a row that has its edits keeps them.
+    places = F.when(F.coalesce(F.col("e") == edits, chars - edits >= edits * (PER_EDIT - 1)), some([edits])).otherwise(some(range(1, edits + 1)))
+    at = rows.select("id", "wide", "key", "own", "cuts", "d", "e", chars.alias("chars"), F.explode(places).alias("p"))
+    fits = F.when(F.col("e").isNull(), F.col("p.e") == edits_of(F.col("chars") - F.col("p.d"), edits)).otherwise((F.col("p.e") == F.col("e")) & (F.col("p.d") == F.col("d")))
+    at = at.where(fits).select("id", "wide", "key", "own", "cuts", "p.d", "p.e", "p.i", "p.o", (F.col("chars") - F.col("p.d")).alias("chars"))
+    start, size = segment(F.col("chars"), F.col("i"), F.col("e") + 1)
+    at = at.withColumns({"start": start + F.col("o"), "size": size}).where("start >= 0")
+    key = F.xxhash64("key", "chars", "i", F.substring(F.col("wide"), F.col("start") * 4 + 1, F.col("size") * 4))
+    own = F.col("own") & (F.col("d") == 0) & (F.col("o") == 0)
+    return at.select("id", key.alias("key"), own.alias("own"), "d", "e", F.concat("cuts", F.array(F.struct("start", "size"))).alias("cuts"))
+
+
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """``key``, ``n`` of the keys that more than one line has, one of them as its own. Counts combine before they meet, so a key that many lines have burdens no task."""
+    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("owned")).where("n > 1 and owned").select("key", "n")
 
 
 def code_points(line: Column) -> Column:
@@ -119,16 +148,28 @@ def banded_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
 
 
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``a``, ``b``: ids of all pairs of distinct lines (``id``, ``line``, ``chars``) within ``edits`` edits.
+    """``a``, ``b``: ids of all pairs of distinct lines (``id``, ``line``, ``chars``) that are linked.
 
     First the keys that more than one line has, then the few lines that have such keys: only their texts and parities are needed, and
     pairs within a key are weighed in arrays of at most some hundred lines, so that only pairs that pass become rows.
     """
-    long = lines.where(F.col("chars") >= LEAST_CHARS)
-    # Counts combine before they meet, so a key that many lines have burdens no task.
-    keys = keyed(long, edits).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("owned")).where("n > 1 and owned")
-    keys = written(keys.select("key", "n"), "line-keys")
-    shared = written(keyed(long, edits).join(small(keys, BROADCAST_IDS), "key").select("key", "id", "own", "n"), "line-places")
+    long = lines.where(F.col("chars") >= PER_EDIT - 1)
+    no_cut = F.array().cast("array<struct<start: int, size: int>>")
+    none = F.lit(None).cast("int")
+    # The array keeps the encoding of a line from being done again for each place.
+    first = long.select("id", F.explode(F.array(wide_text(F.col("line")))).alias("wide"), F.lit(0).cast("long").alias("key"), F.lit(True).alias("own"), no_cut.alias("cuts"), none.alias("d"), none.alias("e"))
+    keys = written(shared_keys(keyed(first, edits).select("key", "own")), "line-keys")
+    shared = written(keyed(first, edits).join(small(keys, BROADCAST_IDS), "key"), "line-places")
+    for _ in range(DEEPER):
+        hot = shared.where(F.col("n") > SPLIT)
+        if hot.isEmpty():
+            break
+        ids = written(hot.select("id").distinct(), "line-hot")
+        again = hot.drop("n").join(long.select("id", "line").join(small(ids, BROADCAST_IDS), "id", "left_semi"), "id")
+        again = written(keyed(again.withColumn("wide", without(wide_text(F.col("line")), F.col("cuts"))), edits), "line-deeper")
+        keys = written(shared_keys(again), "line-keys")
+        shared = written(shared.where(F.col("n") <= SPLIT).unionByName(again.join(small(keys, BROADCAST_IDS), "key")), "line-places")
+    shared = shared.drop("cuts")
     ids = written(shared.select("id").distinct(), "line-ids")
     texts = long.select("id", "line").join(small(ids, BROADCAST_IDS), "id", "left_semi").select("id", F.explode(F.array(code_points(F.col("line")))).alias("points"))
     texts = written(texts.withColumn("parity", pair_parity(F.col("points"))), "line-points")
@@ -143,13 +184,14 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     both = pairs.join(side("a", "s"), "a").join(side("b", "t"), "b").where(F.abs(F.size("s") - F.size("t")) <= edits)
     swap = F.size("s") < F.size("t")
     both = both.select("a", "b", F.explode(F.array(F.struct(F.when(swap, F.col("t")).otherwise(F.col("s")).alias("s"), F.when(swap, F.col("s")).otherwise(F.col("t")).alias("t")))).alias("x"))
-    return both.where(let(F.col("x.s"), lambda s: let(F.col("x.t"), lambda t: banded_distance(s, t, edits))) <= edits).select("a", "b")
+    allowed = F.least(F.lit(edits), F.floor(F.size("x.s") / PER_EDIT).cast("int"))
+    return both.where(let(F.col("x.s"), lambda s: let(F.col("x.t"), lambda t: banded_distance(s, t, edits))) <= allowed).select("a", "b")
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """A row for each line: ``doc_id``, ``line_no``, ``class_doc`` and ``class_line`` (where its class begins), ``n_links``, ``removed``.
 
-    ``n_links`` counts other texts within ``edits`` edits. Lines go where another line begins their class.
+    ``n_links`` counts other texts that a line is linked with. Lines go where another line begins their class.
     """
     found = lines_of(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("line_no"))).alias("first")
@@ -186,13 +228,16 @@ def deduplicated(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__from")), "left").withColumn("text", F.array_join(keep, "\n")).drop("__gone", "__from")
 
 
+#: DuckDB counts bytes, so characters are numbered within a pair first, where there are any of more than one byte.
+_NUMBERED = "array_to_string([chr(CAST(list_position(list_distinct(string_split(x.line || y.line, '')), c) AS INTEGER)) FOR c IN string_split({}.line, '')], '')"
+_IN_CHARACTERS = f"CASE WHEN strlen(x.line) = x.chars AND strlen(y.line) = y.chars THEN levenshtein(x.line, y.line) WHEN levenshtein(x.line, y.line) > {4 * EDITS} THEN {4 * EDITS} ELSE levenshtein({_NUMBERED.format('x')}, {_NUMBERED.format('y')}) END"
 ORACLE = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 o AS (SELECT doc_id, no, trim(ls[no + 1], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS no FROM d)),
 occ AS (SELECT * FROM o WHERE regexp_matches(line, '{WORD}')),
 t AS MATERIALIZED (SELECT line, length(line) AS chars, length(line) // 3 AS k, count(*) AS n, min(doc_id) AS fd, arg_min(no, (doc_id, no)) AS fl, row_number() OVER (ORDER BY line) AS id FROM occ GROUP BY line),
-link AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM t x JOIN t y ON y.chars BETWEEN x.chars AND x.chars + {EDITS} AND x.id <> y.id AND x.chars >= {LEAST_CHARS}
-  WHERE (substr(x.line, 1, x.k) = substr(y.line, 1, x.k) OR right(x.line, x.k) = right(y.line, x.k) OR contains(y.line, substr(x.line, x.k + 1, x.k))) AND levenshtein(x.line, y.line) <= {EDITS}),
+link AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM t x JOIN t y ON y.chars BETWEEN x.chars AND x.chars + {EDITS} AND x.id <> y.id AND x.chars >= {PER_EDIT - 1}
+  WHERE (substr(x.line, 1, x.k) = substr(y.line, 1, x.k) OR right(x.line, x.k) = right(y.line, x.k) OR contains(y.line, substr(x.line, x.k + 1, x.k))) AND {_IN_CHARACTERS} <= least({EDITS}, y.chars // {PER_EDIT})),
 e AS MATERIALIZED (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT DISTINCT a AS id, a AS r FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.id),
 root AS (SELECT id, min(r) AS r FROM reach GROUP BY id),

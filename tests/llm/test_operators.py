@@ -111,7 +111,7 @@ def test_line_classes(docs):
     e = line_dedup.EDITS
     for k, a in enumerate(lines):
         for b in lines[k + 1 :]:
-            if min(len(a), len(b)) >= line_dedup.LEAST_CHARS and abs(len(a) - len(b)) <= e and sum((Counter(a) - Counter(b)).values()) <= e and distance(a, b) <= e:
+            if abs(len(a) - len(b)) <= e and sum((Counter(a) - Counter(b)).values()) <= e and distance(a, b) <= min(e, max(len(a), len(b)) // line_dedup.PER_EDIT):
                 links[a].add(b)
                 links[b].add(a)
                 parent[root(a)] = root(b)
@@ -129,14 +129,27 @@ def test_line_classes(docs):
         assert r.class_id == (min(real) if real else None if own else i)
 
 
-def test_line_links_across_hot_keys(spark):
+@pytest.mark.parametrize("split", [line_dedup.SPLIT, 4])
+def test_line_links_across_hot_keys(spark, monkeypatch, split):
     """Hundreds of lines that share segments: every pair within the edits, none else."""
+    monkeypatch.setattr(line_dedup, "SPLIT", split)
     base = "the quick brown fox jumps over the lazy dog and runs away from here quickly"
     lines = [base[:i] + c + base[i + 1 :] for i in range(0, 60, 3) for c in "#%&+=?"] + [base, base + "s", base[1:], "q" + base, base[:30] + base[31:]]
+    lines += ["abcd", "abcde", "abxde", "abxdef", "abxyef", "aabbccddee", "aabbccddeeff", "aabccddee", "aabbccdd", "éabcd", "abc", "ab", "xbcd", "abcdefg", "abcdefgh", "bcdefgh", "acdefgh"]
     lines = sorted(set(lines))
     table = written(spark.createDataFrame(list(enumerate(lines)), "id long, line string").withColumn("chars", F.length("line")), "lines")
     got = {(r.a, r.b) for r in line_dedup.line_links(table).collect()}
-    assert got == {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if abs(len(lines[i]) - len(lines[j])) <= 2 and distance(lines[i], lines[j]) <= 2}
+    assert got == {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if distance(lines[i], lines[j]) <= min(2, max(len(lines[i]), len(lines[j])) // 5)}
+
+
+def test_a_segment_that_many_lines_share(spark):
+    """20,000 lines with the same first half: a second segment tells them apart, and the few links among them are found."""
+    rng = np.random.default_rng(0)
+    half = "this page was printed from our archive of old papers: "
+    lines = [half + "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 50)) for _ in range(20_000)]
+    lines += [x[:70] + "#" + x[71:] for x in lines[:50]] + [x[:60] + x[61:90] + "!" + x[90:] for x in lines[50:100]]
+    table = written(spark.createDataFrame(list(enumerate(lines)), "id long, line string").withColumn("chars", F.length("line")), "lines")
+    assert {(r.a, r.b) for r in line_dedup.line_links(table).collect()} == {(i, 20_000 + i) for i in range(100)}
 
 
 def test_deduplicated_texts(spark, edge_docs):
