@@ -1,7 +1,7 @@
 """Stupid-backoff scores of documents under a bigram model of the whole corpus.
 
-The score of a word after another is c(v w) / c(v) where the pair occurs often enough to be in the table (``LEAST``), else ALPHA times
-c(w) / N. Pairs are exploded, dealt by hash and met with their counts there: a bucket holds all pairs of its first words, so c(v w) and
+The score of a word after another is c(v w) / c(v) where the pair is in the table, else ALPHA times c(w) / N; the first word of a
+document has c(w) / N. All pairs of the corpus are in the table, unless the caller asks for those that occur ``least`` times. Pairs are exploded, dealt by hash and met with their counts there: a bucket holds all pairs of its first words, so c(v w) and
 c(v) are both counted in it. Words and pairs that make up over 1 / ``HOT_SHARE`` of the corpus, or occur over ``HOT_MOST`` times, are
 counted first and go along as tables of that proven size: hot pairs are scored where they are read and never dealt, other pairs of a
 hot first word are dealt by both words. Words to back off to meet the unigram table in buckets too. So no key of a bucket has more
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from canopygrid.llm.common import written
 
 ALPHA = 0.4
-#: Pairs that occur fewer times are not in the table.
-LEAST = 2
+#: Pairs that occur fewer times are not in the table: none.
+LEAST = 1
 #: Words and pairs are hot from one in so many of the corpus, and in any case from so many occurrences: a bucket's key has fewer rows.
 HOT_SHARE, HOT_MOST = 1 << 14, 50_000_000
 #: Pairs, and words of the unigram table, in a bucket on average; and how many parts of a bucket are counted one after another.
@@ -201,7 +201,7 @@ def _blocks(buckets: int, hot: Hot, total: int):
             begins = (v == END) & hot_w
             for which, value in ((hot_pair, log_pair - log_v), (begins, log_w - np.log(max(1, total)))):
                 score += np.bincount(doc[which], value[which], len(ids))
-            seen += np.bincount(doc[hot_pair], minlength=len(ids))
+            seen += np.bincount(doc[hot_pair & (log_pair > 0)], minlength=len(ids))
             left = ~(hot_pair | begins | (hot_v & (w == END)))
             v, w, doc = v[left], w[left], doc[left]
             bucket = (hot.deal(v, w) % np.uint64(buckets)).astype(np.int64)
@@ -290,15 +290,15 @@ def _score_bucket(hot: Hot, total: int, least: int, rest_buckets: int):
             hot_v, log_v = hot.word(v)
             log_first = np.where(hot_v, log_v, np.log(n[at]))
             real = w != END
-            seen = real & (v != END) & (n_pair >= least)
-            score = np.where(seen, np.log(n_pair) - log_first, 0.0)
-            off = real & ~seen
+            there = real & (v != END) & (n_pair >= least)
+            score = np.where(there, np.log(n_pair) - log_first, 0.0)
+            off = real & ~there
             score += np.where(off, np.where(v == END, 0.0, np.log(ALPHA)) - np.log(max(1, total)), 0.0)
             hot_w, log_w = hot.word(w)
             score += np.where(off & hot_w, log_w, 0.0)
             left = off & ~hot_w
             sums += np.bincount(doc, score, m)
-            seens += np.bincount(doc[seen], minlength=m)
+            seens += np.bincount(doc[real & (v != END) & (n_pair > 1)], minlength=m)
             left_w.append(w[left])
             left_d.append(doc[left])
         out = [(-1, batch[k], None, None, ascending(docs[k]), sums[a:b].tobytes(), zlib.compress(seens[a:b].astype("<u4").tobytes(), 1), None) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))]
@@ -348,11 +348,11 @@ def _documents(table: pa.Table) -> pa.Table:
 
 
 def lm_scores(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``doc_id``, ``n_words``, ``n_seen`` (pairs in the table), ``log_score`` (natural, summed over the words) of every document."""
+    """``doc_id``, ``n_words``, ``n_seen`` (pairs that the corpus has twice or more), ``log_score`` (natural, summed over the words) of every document."""
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     words = written(unigrams(text), "lm-words")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # No more than total / most words, and as many pairs, can be hot: 16384, or half a million in a corpus of 26,000 billion words.
     most = min(total / HOT_SHARE, HOT_MOST)
     found = words.where(F.col("n") > most).toArrow()
@@ -360,7 +360,8 @@ def lm_scores(docs: DataFrame, least: int = LEAST) -> DataFrame:
     if len(hot.words):
         pairs = pairs_of(text, hot).where((F.col("n") > most) & (F.col("n") >= least)).toArrow()
         hot.with_pairs(pairs.column("pair").to_numpy().view(np.uint64), pairs.column("n").to_numpy())
-    buckets, rest_buckets = max(64, -(-total // BUCKET)), max(16, -(-distinct // BUCKET))
+    # A bucket of words to look up has as many of them as one of pairs at most: there are no more than pairs.
+    buckets = rest_buckets = max(64, -(-total // BUCKET))
     blocks = text.mapInArrow(_blocks(buckets, hot, total), BLOCK)
     first = written(blocks.groupBy("bucket").applyInArrow(_score_bucket(hot, total, least, rest_buckets), PARTIAL), "lm-partial")
 
@@ -379,8 +380,8 @@ def lm_scores(docs: DataFrame, least: int = LEAST) -> DataFrame:
 ORACLE = r"""
 WITH d AS (SELECT doc_id, [w FOR w IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF w <> ''] AS ws FROM documents),
 t AS (SELECT doc_id, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
-one AS (SELECT w, count(*) AS n FROM t GROUP BY w), two AS (SELECT v, w, count(*) AS n FROM t WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2),
-s AS (SELECT doc_id, two.n IS NOT NULL AS seen, CASE WHEN two.n IS NOT NULL THEN ln(two.n) - ln(c.n) ELSE CASE WHEN t.v IS NULL THEN 0 ELSE ln(CAST(0.4 AS DOUBLE)) END + ln(o.n) - ln((SELECT count(*) FROM t)) END AS x
+one AS (SELECT w, count(*) AS n FROM t GROUP BY w), two AS (SELECT v, w, count(*) AS n FROM t WHERE v IS NOT NULL GROUP BY v, w),
+s AS (SELECT doc_id, two.n > 1 AS seen, CASE WHEN two.n IS NOT NULL THEN ln(two.n) - ln(c.n) ELSE CASE WHEN t.v IS NULL THEN 0 ELSE ln(CAST(0.4 AS DOUBLE)) END + ln(o.n) - ln((SELECT count(*) FROM t)) END AS x
   FROM t JOIN one o ON o.w = t.w LEFT JOIN two ON two.v = t.v AND two.w = t.w LEFT JOIN one c ON c.w = t.v)
 SELECT d.doc_id, count(s.x) AS n_words, count(*) FILTER (WHERE seen) AS n_seen, coalesce(round(sum(x), 6), 0.0) AS log_score FROM (SELECT DISTINCT doc_id FROM d) d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
 """

@@ -50,8 +50,8 @@ def rows_of(docs):
 # --- 1 -----------------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("share", [lm_score.HOT_SHARE, 300, 1])
-def test_lm_scores(docs, monkeypatch, share):
+@pytest.mark.parametrize(("share", "least"), [(lm_score.HOT_SHARE, lm_score.LEAST), (300, 1), (300, 2), (1, 3)])
+def test_lm_scores(docs, monkeypatch, share, least):
     monkeypatch.setattr(lm_score, "HOT_SHARE", share)
     rows = [(i, words(lowered(t))) for i, t in rows_of(docs)]
     one, two = Counter(), Counter()
@@ -63,12 +63,12 @@ def test_lm_scores(docs, monkeypatch, share):
         e = expected[i]
         for k, x in enumerate(w):
             e[0] += 1
-            if k and two[w[k - 1], x] >= lm_score.LEAST:
-                e[1] += 1
+            e[1] += k > 0 and two[w[k - 1], x] > 1
+            if k and two[w[k - 1], x] >= least:
                 e[2] += math.log(two[w[k - 1], x] / one[w[k - 1]])
             else:
                 e[2] += (math.log(lm_score.ALPHA) if k else 0) + math.log(one[x] / total)
-    got = lm_score.lm_scores(docs).collect()
+    got = lm_score.lm_scores(docs, least).collect()
     assert {r.doc_id for r in got} == set(expected) and len(got) == len(expected)
     for r in got:
         assert (r.n_words, r.n_seen) == tuple(expected[r.doc_id][:2]) and r.log_score == pytest.approx(expected[r.doc_id][2], rel=1e-9, abs=1e-9)
