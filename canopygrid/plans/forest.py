@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from canopygrid import schema
 from canopygrid.config import TrainingConfig
 from canopygrid.functions.arrays import normalized
-from canopygrid.functions.hashing import draw_of
+from canopygrid.functions.hashing import digest, draw_of
 from canopygrid.operators import grid
 from canopygrid.operators.features import Features, Packs, feature_tables, ragged, responses, same_size
 from canopygrid.operators.inference import Tree, forest_of, predicted
@@ -30,6 +30,8 @@ INTEGRALS = ("ic0", "ic1", "ic2", "idepth", "ivalid")
 #: Responses that are held at once, samples times features.
 CELLS = 2_000_000
 TIE = 1e-13
+#: Samples are numbered on a ring of so many places, by a digest of their tree and pixel.
+SIDS = 1 << 52
 
 
 def shared_path(spark, name: str) -> str:
@@ -79,7 +81,7 @@ def sample_table(pixels: DataFrame, config: TrainingConfig, images: int, classes
 
 def training_table(packs: DataFrame, samples: DataFrame) -> DataFrame:
     """One row for each image that has samples: integral planes and arrays ``stree``, ``sid``, ``sx``, ``sy``, ``sdepth``, ``slabel``. ``sid`` is a hash that all draws go by."""
-    sid = F.abs(F.xxhash64("tree_id", "image_id", "x", "y")) % F.lit(1 << 53)
+    sid = F.conv(F.substring(digest("sample", F.col("tree_id"), F.col("image_id"), F.col("x"), F.col("y")), 1, 13), 16, 10).cast("long")
     lists = F.sort_array(F.collect_list(F.struct("tree_id", sid.alias("sid"), "x", "y", "depth", "label")))
     rows = samples.groupBy("image_id").agg(lists.alias("s"))
     one = lambda c, name: F.transform("s", lambda s: s[c]).alias(name)
@@ -127,7 +129,7 @@ def _threshold_values(table: DataFrame, state: _State, picks: list[np.ndarray])
                     order = np.argsort(sid)
                     at = np.searchsorted(sid[order], wanted[t])
                     who = order[at % len(order)]
-                    gap = (sid[who] - wanted[t]) % (1 << 53)
+                    gap = (sid[who] - wanted[t]) % SIDS
                     need = np.unique(who)
                     r = responses(packs, image[need], x[need], y[need], d[need], st.features[t])
                     value = r[np.searchsorted(need, who), np.arange(len(st.features[t]))[:, None]]
@@ -237,7 +239,7 @@ def grow(table: DataFrame, config: TrainingConfig, classes: int) -> list[dict]:
                 r["norm_hist"] = r["histogram"]
         trees = [Tree.of(rows) for rows in nodes]
         features = [Features.of(drawn[(level - 1) * config.trees + t]) for t in range(config.trees)]
-        picks = [np.array([[draw_of(0, 2**32 - 1, config.random_seed + t, level, f, k) << 21 for k in range(config.thresholds)] for f in range(config.feature_count)], np.int64) for t in range(config.trees)]
+        picks = [np.array([[draw_of(0, 2**32 - 1, config.random_seed + t, level, f, k) * (SIDS >> 32) for k in range(config.thresholds)] for f in range(config.feature_count)], np.int64) for t in range(config.trees)]
         state = _State(trees, [np.array(o) for o in open_ids], features, None, classes, flip)
         state.thresholds = _threshold_values(table, state, picks)
         found = {(r.tree, r.node): r for r in _best_splits(_level_counts(table, state), config.thresholds, classes).collect()}

@@ -285,9 +285,9 @@ def feature_rows(spark):
     return feat.feature_table(spark, N, RADIUS, REGION, SEED)
 
 
-def _feature_sql() -> str:
-    at = lambda name: f"CAST({_draw(-RADIUS, RADIUS, SEED, 'id', chr(39) + name)} AS INTEGER)"
-    box = lambda name: f"CAST({_draw(1, REGION, SEED, 'id', chr(39) + name)} AS INTEGER)"
+def _feature_sql(seed: int = SEED) -> str:
+    at = lambda name: f"CAST({_draw(-RADIUS, RADIUS, seed, 'id', chr(39) + name)} AS INTEGER)"
+    box = lambda name: f"CAST({_draw(1, REGION, seed, 'id', chr(39) + name)} AS INTEGER)"
     tries = ", ".join(f"CASE WHEN {at(f'o2x{k}')} <> o1x OR {at(f'o2y{k}')} <> o1y THEN {{'x': {at(f'o2x{k}')}, 'y': {at(f'o2y{k}')}}} END" for k in range(feat.REDRAWS))
     ch = lambda part: f"CASE WHEN id >= {N // 2} THEN CAST(floor(id / CAST({N / 2.0 / part!r} AS DOUBLE) * 3) AS INTEGER) % 3 ELSE 0 END"
     return f"""f0 AS (SELECT id, {at('o1x')} AS o1x, {at('o1y')} AS o1y, {', '.join(f'{box(c)} AS {c}' for c in ('r1x', 'r1y', 'r2x', 'r2y'))} FROM range({N}) t(id)),
@@ -299,12 +299,12 @@ FEAT = _feature_sql()
 SAMP = f"samp AS (SELECT image_id * 64 + y * 8 + x AS sample_id, image_id, x, y, depth, label FROM pix WHERE valid = 1 QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_md5(4711, 'image_id', 'x', 'y')}, image_id, x, y) <= 100)"
 
 
-def _response_sql(sign: int) -> str:
+def _response_sql(sign: int, features: str = FEAT, samples: str = SAMP) -> str:
     near = lambda c: f"CAST(trunc(CAST(f.{c} / CAST(CAST(s.depth / 1000.0 AS FLOAT) AS DOUBLE) AS FLOAT)) AS INTEGER)"
     box = lambda k: f"""b{k} AS (SELECT q.sample_id, q.feature_id, CASE WHEN q.type = 'color' THEN sum(CASE q.ch{k} WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END) WHEN sum(p.valid) > 0 THEN sum(p.depth) / 1000.0 / sum(p.valid) END AS v
  FROM (SELECT s.sample_id, f.feature_id, f.type, f.ch{k}, s.image_id, s.x + {sign} * {near(f'o{k}x')} AS cx, s.y + {near(f'o{k}y')} AS cy, greatest(1, {near(f'r{k}x')}) AS w, greatest(1, {near(f'r{k}y')}) AS h FROM samp s CROSS JOIN feat f) q
  JOIN pix p ON p.image_id = q.image_id AND p.x > cx - w AND p.x <= cx + w AND p.y > cy - h AND p.y <= cy + h WHERE cx - w >= 0 AND cx + w < 8 AND cy - h >= 0 AND cy + h < 8 GROUP BY q.sample_id, q.feature_id, q.type)"""
-    return f"{PIX}, {FEAT}, {SAMP}, {box(1)}, {box(2)}, resp AS (SELECT s.sample_id, s.label, s.image_id, f.feature_id, CAST(b1.v - b2.v AS DOUBLE) AS response FROM samp s CROSS JOIN feat f LEFT JOIN b1 USING (sample_id, feature_id) LEFT JOIN b2 USING (sample_id, feature_id))"
+    return f"{PIX}, {features}, {samples}, {box(1)}, {box(2)}, resp AS (SELECT s.sample_id, s.label, s.image_id, f.feature_id, CAST(b1.v - b2.v AS DOUBLE) AS response FROM samp s CROSS JOIN feat f LEFT JOIN b1 USING (sample_id, feature_id) LEFT JOIN b2 USING (sample_id, feature_id))"
 
 
 def samples_of(spark, d) -> DataFrame:
@@ -637,19 +637,43 @@ def leaf_nodes(spark, d):
     return inference.leaves(spark.createDataFrame(_NODES, "tree_id int, node_id long, parent_id long, left_id long, right_id long, is_leaf boolean")).select("tree_id", "node_id")
 
 
-# --- growing, files, tuning: no SQL form; tests hold them against brute force and round trips ------------------------------------------
+# --- growing, files, tuning --------------------------------------------------------------------------------------------------------
+# A level of growth has SQL, and what walks, stores and counts trees; deeper forests and searches are held against brute force.
 
 SMALL = TrainingConfig(trees=2, samples_per_image=8, feature_count=24, thresholds=6, max_depth=5, box_radius=3, region_size=2, min_sample_count=8, horizontal_flipping=True)
+LEVEL = SMALL.with_(feature_count=N, box_radius=RADIUS, region_size=REGION, max_depth=2, horizontal_flipping=False)
 
 
 def labeler(spark, d) -> forest.RandomForestLabeler:
     return forest.RandomForestLabeler(SMALL).fit(pixels(spark, d), 4)
 
 
-@query("train_tree_levels")
+def _grown_sql(tree: int) -> str:
+    """A tree's root and its children: samples, features and thresholds drawn, every split scored, the best one taken."""
+    seed = LEVEL.random_seed + tree
+    few = f"(SELECT CAST(ceil(count(*) * {LEVEL.samples_per_tree} / 4.0) AS BIGINT) FROM embeddings)"
+    sid = f"CAST('0x' || substr({_md5(chr(39) + 'sample', tree, 'image_id', 'x', 'y')}, 1, 13) AS BIGINT)"
+    samp = f"samp AS (SELECT image_id * 64 + y * 8 + x AS sample_id, image_id, x, y, depth, label, {sid} AS sid FROM pix WHERE valid = 1 QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_md5(seed, 'image_id', 'x', 'y')}, image_id, x, y) <= {few})"
+    ring = forest.SIDS
+    count = lambda side: ", ".join(f"CAST(sum({side}) FILTER (WHERE label = {k}) AS BIGINT) AS h{k}" for k in range(4))
+    return f"""(WITH {_response_sql(1, _feature_sql(LEVEL.random_seed + tree * 1_000_003 + 1), samp)},
+pick AS (SELECT feature_id, k, {_draw(0, 2**32 - 1, seed, 1, 'feature_id', 'k')} * {ring >> 32} AS place FROM feat, range({LEVEL.thresholds}) r(k)),
+chosen AS (SELECT feature_id, k, arg_min(coalesce(response, 0.0), ((sid - place) % {ring} + {ring}) % {ring}) AS v FROM pick JOIN resp USING (feature_id) JOIN samp USING (sample_id) GROUP BY feature_id, k),
+thr AS (SELECT feature_id, CAST(row_number() OVER (PARTITION BY feature_id ORDER BY CAST(v AS FLOAT)) - 1 AS INTEGER) AS threshold_id, CAST(v AS FLOAT) AS value FROM chosen),
+cells AS (SELECT feature_id, threshold_id, label, count(*) FILTER (WHERE response <= CAST(value AS DOUBLE)) AS l, count(*) FILTER (WHERE response > CAST(value AS DOUBLE) OR response IS NULL) AS r FROM resp JOIN thr USING (feature_id) GROUP BY ALL),
+{_gain_sql('cells', 'feature_id, threshold_id')},
+best AS (SELECT feature_id, threshold_id, n_left, n_right, score FROM score ORDER BY score DESC, threshold_id, feature_id LIMIT 1),
+side AS (SELECT any_value(n_left) AS nl, any_value(n_right) AS nr, feature_id, threshold_id, any_value(score) AS score, {', '.join(f"CAST(coalesce(sum(l) FILTER (WHERE label = {k}), 0) AS BIGINT) AS l{k}, CAST(coalesce(sum(r) FILTER (WHERE label = {k}), 0) AS BIGINT) AS r{k}" for k in range(4))} FROM best JOIN cells USING (feature_id, threshold_id) GROUP BY feature_id, threshold_id)
+SELECT {tree} AS tree_id, CAST(0 AS BIGINT) AS node_id, 1 AS level, false AS is_leaf, nl + nr AS n_samples, {', '.join(f'l{k} + r{k} AS h{k}' for k in range(4))}, feature_id, round(CAST(value AS DOUBLE), 4) AS threshold, score FROM side JOIN thr USING (feature_id, threshold_id)
+UNION ALL SELECT {tree}, 1, 2, true, nl, l0, l1, l2, l3, NULL, NULL, NULL FROM side
+UNION ALL SELECT {tree}, 2, 2, true, nr, r0, r1, r2, r3, NULL, NULL, NULL FROM side)"""
+
+
+@query("train_tree_levels", f"{_grown_sql(0)} UNION ALL {_grown_sql(1)}")
 def train_tree_levels(spark, d):
-    one = forest.RandomForestLabeler(SMALL.with_(trees=1)).fit(pixels(spark, d), 4)
-    return one.node_table(spark).groupBy("level").agg(F.count(F.lit(1)).alias("n_nodes"), F.sum("n_samples").alias("n_samples"))
+    """The first level of two trees: what is drawn, counted, scored and split."""
+    nodes = forest.RandomForestLabeler(LEVEL).fit(pixels(spark, d), 4).node_table(spark)
+    return nodes.select("tree_id", "node_id", "level", "is_leaf", "n_samples", *[F.get("histogram", F.lit(k)).alias(f"h{k}") for k in range(4)], F.col("feature.feature_id").alias("feature_id"), F.round(F.col("threshold").cast("double"), 4).alias("threshold"), F.round("score", 9).alias("score"))
 
 
 @query("train_forest")
@@ -657,9 +681,74 @@ def train_forest(spark, d):
     return labeler(spark, d).node_table(spark).select("tree_id", "node_id", "level", "parent_id", "is_leaf", "n_samples", F.col("threshold").cast("double").alias("threshold"), F.round("score", 9).alias("score"))
 
 
-@query("tree_stats")
+HEAP = """heap AS (SELECT CAST(p_partkey % 5 AS INTEGER) AS tree_id, row_number() OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey) - 1 AS node_id, count(*) OVER (PARTITION BY p_partkey % 5) AS n, p_partkey AS k, p_size AS z FROM part),
+nodes AS (SELECT tree_id, node_id, CAST(floor(log2(node_id + 1)) AS INTEGER) + 1 AS level, CASE WHEN node_id > 0 THEN (node_id - 1) // 2 END AS parent_id, NOT inner_ AS is_leaf, CASE WHEN inner_ THEN 2 * node_id + 1 END AS left_id, CASE WHEN inner_ THEN 2 * node_id + 2 END AS right_id,
+  k % 7 + z AS n_samples, k % 7 AS h0, CAST(z AS BIGINT) AS h1, CASE WHEN inner_ THEN CASE WHEN k % 2 = 0 THEN 'color' ELSE 'depth' END END AS type, CASE WHEN inner_ THEN z END AS o1x, CASE WHEN inner_ THEN CASE WHEN k % 2 = 0 THEN CAST(k % 3 AS INTEGER) ELSE 0 END END AS ch2,
+  CASE WHEN inner_ THEN z / CAST(8 AS DOUBLE) END AS threshold, CASE WHEN inner_ THEN z / CAST(64 AS DOUBLE) END AS score FROM (SELECT *, 2 * node_id + 2 < n AS inner_ FROM heap WHERE node_id < n - (n + 1) % 2))"""
+
+
+def heaps(spark, d) -> DataFrame:
+    """Parts as the nodes of five full binary trees, numbered breadth first."""
+    from pyspark.sql import Window
+
+    tree = (F.col("p_partkey") % 5).cast("int")
+    one = Window.partitionBy(tree)
+    rows = table(spark, d, "part").select(tree.alias("tree_id"), (F.row_number().over(one.orderBy("p_partkey")) - 1).cast("long").alias("node_id"), F.count(F.lit(1)).over(one).alias("n"), F.col("p_partkey").alias("k"), F.col("p_size").cast("int").alias("z"))
+    rows = rows.where("node_id < n - (n + 1) % 2").withColumn("inner", F.expr("2 * node_id + 2 < n"))
+    split = lambda c: F.when(F.col("inner"), c)
+    number = lambda c: (F.lit(c) if isinstance(c, int) else c).cast("int")
+    color = F.col("k") % 2 == 0
+    named = {"feature_id": 3, "o1x": F.col("z"), "o1y": -1, "r1x": 1, "r1y": 2, "o2x": 4, "o2y": 5, "r2x": 6, "r2y": 7, "ch1": 0, "ch2": F.when(color, F.col("k") % 3).otherwise(0)}
+    feature = F.struct(number(named.pop("feature_id")).alias("feature_id"), F.when(color, "color").otherwise("depth").alias("type"), *[number(v).alias(c) for c, v in named.items()])
+    return rows.select("tree_id", "node_id", (F.floor(F.log2(F.col("node_id") + 1)) + 1).cast("int").alias("level"), F.when(F.col("node_id") > 0, F.floor((F.col("node_id") - 1) / 2)).alias("parent_id"), split(2 * F.col("node_id") + 1).alias("left_id"), split(2 * F.col("node_id") + 2).alias("right_id"), (~F.col("inner")).alias("is_leaf"),
+        (F.col("k") % 7 + F.col("z")).cast("long").alias("n_samples"), F.array(F.col("k") % 7, F.col("z").cast("long")).alias("histogram"), split(feature).alias("feature"), split(F.col("z") / 8.0).alias("threshold"), split(F.col("z") / 64.0).alias("score"))
+
+
+@query("tree_stats", f"WITH {HEAP} SELECT tree_id, count(*) AS n_nodes, count(*) FILTER (WHERE is_leaf) AS n_leaves, max(level) - min(level) + 1 AS depth, count(*) FILTER (WHERE type = 'color') AS n_color, count(*) FILTER (WHERE type = 'depth') AS n_depth FROM nodes GROUP BY tree_id")
 def tree_stats(spark, d):
-    return inference.tree_stats(labeler(spark, d).node_table(spark))
+    return inference.tree_stats(heaps(spark, d))
+
+
+#: Two trees over two features of pixels: (node, left, right, feature, threshold, distribution).
+PIXEL_TREES = [
+    [(0, 1, 2, 9, 40.0, None), (1, 3, 4, 2, 0.0, None), (2, None, None, None, None, (0.1, 0.2, 0.3, 0.4)), (3, None, None, None, None, (0.7, 0.1, 0.1, 0.1)), (4, None, None, None, None, (0.25, 0.5, 0.125, 0.125))],
+    [(0, 1, 2, 12, -25.0, None), (1, None, None, None, None, (0.0, 0.0, 0.75, 0.25)), (2, 3, 4, 5, 0.125, None), (3, None, None, None, None, (0.2, 0.2, 0.2, 0.4)), (4, None, None, None, None, (0.5, 0.0, 0.0, 0.5))],
+]
+
+
+def pixel_forest(spark) -> list[inference.Tree]:
+    rows = {r.feature_id: r.asDict() for r in feature_rows(spark).collect()}
+    blank = {"histogram": [0] * 4}
+    return inference.forest_of([blank | {"tree_id": t, "node_id": i, "left_id": a, "right_id": b, "feature": rows[f] if f is not None else None, "threshold": v, "norm_hist": list(dist or (0.0,) * 4)} for t, nodes in enumerate(PIXEL_TREES) for i, a, b, f, v, dist in nodes])
+
+
+def _walk_sql() -> str:
+    wanted = sorted({n[3] for nodes in PIXEL_TREES for n in nodes if n[3] is not None})
+    every = "samp AS (SELECT image_id * 64 + y * 8 + x AS sample_id, image_id, x, y, depth, label FROM pix WHERE valid = 1)"
+    some = f"{FEAT.replace('feat AS (', 'feats AS (', 1)}, feat AS (SELECT * FROM feats WHERE feature_id IN ({', '.join(map(str, wanted))}))"
+
+    def walk(nodes: list, i: int) -> str:
+        _, left, right, f, v, _ = nodes[i]
+        return str(i) if left is None else f"CASE WHEN f{f} <= CAST({v} AS DOUBLE) THEN {walk(nodes, left)} ELSE {walk(nodes, right)} END"
+
+    wide = ", ".join(f"max(response) FILTER (WHERE feature_id = {f}) AS f{f}" for f in wanted)
+    return f"{_response_sql(1, some, every)}, wide AS (SELECT sample_id, {wide} FROM resp GROUP BY sample_id), walked AS (SELECT image_id, x, y, label, " + ", ".join(f"{walk(nodes, 0)} AS leaf{t}" for t, nodes in enumerate(PIXEL_TREES)) + " FROM (SELECT *, image_id * 64 + y * 8 + x AS sample_id FROM pix) LEFT JOIN wide USING (sample_id))"
+
+
+def _label_sql() -> str:
+    say = lambda t, k: f"CASE leaf{t} " + " ".join(f"WHEN {n[0]} THEN CAST({n[5][k]} AS DOUBLE)" for n in PIXEL_TREES[t] if n[5]) + " END"
+    votes = ", ".join(f"{say(0, k)} + {say(1, k)} AS v{k}" for k in range(4))
+    return f"WITH {_walk_sql()}, voted AS (SELECT *, {votes} FROM walked) SELECT image_id, x, y, CAST(CASE WHEN v0 >= v1 AND v0 >= v2 AND v0 >= v3 THEN 0 WHEN v1 >= v2 AND v1 >= v3 THEN 1 WHEN v2 >= v3 THEN 2 ELSE 3 END AS INTEGER) AS prediction FROM voted"
+
+
+@query("label_all_pixels", _label_sql())
+def label_all_pixels(spark, d):
+    return inference.predicted(forest.image_packs(pixels(spark, d)), pixel_forest(spark))
+
+
+@query("count_pixels_in_leaves", f"WITH {_walk_sql()} " + " UNION ALL ".join(f"SELECT {t} AS tree, CAST(leaf{t} AS BIGINT) AS leaf, label, count(*) AS n FROM walked GROUP BY ALL" for t in range(2)))
+def count_pixels_in_leaves(spark, d):
+    return inference.leaf_counts(forest.image_packs(pixels(spark, d)), pixel_forest(spark))
 
 
 @query("forest_label_pixels")
@@ -673,15 +762,18 @@ def pixel_histograms(spark, d):
     return inference.leaf_counts(forest.image_packs(pixels(spark, d)), inference.forest_of(model.normalized_nodes(spark)))
 
 
-@query("model_round_trip")
+@query("model_round_trip", f"WITH {HEAP} SELECT tree_id, node_id, level, parent_id, is_leaf, left_id, right_id, n_samples, h0, h1, type, o1x, ch2, threshold, score FROM nodes")
 def model_round_trip(spark, d):
-    model = labeler(spark, d)
+    """Five trees written as nested files and read again, node by node."""
     folder = forest.shared_path(spark, "model")
-    model_json.write_forest(spark, folder, model.nodes, model.config, model.priors, {i: f"{i},0,0" for i in range(4)})
-    nodes, config, priors, _ = model_json.read_forest(spark, folder)
-    again = forest.RandomForestLabeler(config)
-    again.nodes, again.priors = nodes, priors
-    return again.node_table(spark).select("tree_id", "node_id", "level", "parent_id", "is_leaf", "n_samples", F.col("threshold").cast("double").alias("threshold"), F.round("score", 9).alias("score"))
+    nodes = [r.asDict(recursive=True) for r in heaps(spark, d).collect()]
+    model_json.write_forest(spark, folder, nodes, LEVEL.with_(trees=5, samples_per_image=10), [3, 4], {0: "0,0,0", 1: "1,2,3"})
+    again = forest.RandomForestLabeler(LEVEL)
+    again.nodes, config, priors, colors = model_json.read_forest(spark, folder)
+    if config.trees != 5 or priors != [3, 4] or colors != {0: "0,0,0", 1: "1,2,3"}:
+        raise ValueError("the settings, priors or colours of a forest came back changed")
+    one = lambda c: F.col(f"feature.{c}").alias(c)
+    return again.node_table(spark).select("tree_id", "node_id", "level", "parent_id", "is_leaf", "left_id", "right_id", "n_samples", *[F.get("histogram", F.lit(k)).alias(f"h{k}") for k in range(2)], one("type"), one("o1x"), one("ch2"), F.col("threshold").cast("double").alias("threshold"), "score")
 
 
 @query("image_round_trip", f"WITH {PIX} SELECT image_id, x, y, depth, CAST(abs(c0) % 256 AS BIGINT) AS red FROM pix")
@@ -701,10 +793,23 @@ def t_statistic(spark, d):
     return table(spark, d, "events").withColumnRenamed("value", "loss").agg(F.round(t, 6).alias("t"), dof.alias("dof"))
 
 
-@query("continue_search")
+def _tail_sql() -> str:
+    """P(T > |t|), Student's density integrated by Simpson's rule over 2000 steps."""
+    density = lambda x: f"exp(lgamma((dof + 1) / 2.0) - lgamma(dof / 2.0) - ln(dof * pi()) / 2 - (dof + 1) / 2.0 * ln(1 + ({x}) * ({x}) / dof))"
+    return f"""0.5 - (SELECT sum(CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {density('least(abs(t), 60.0) * i / 2000.0')}) * least(abs(t), 60.0) / 6000.0 FROM range(2001) r(i))"""
+
+
+_KEEP = f"""WITH runs AS (SELECT event_type, value + CASE WHEN event_type = 'view' THEN 0 ELSE 400 END AS loss FROM events),
+g AS (SELECT event_type, count(loss) AS n, avg(loss) AS m, var_pop(loss) AS v, min(loss) AS low, max(loss) AS high FROM runs GROUP BY event_type),
+b AS (SELECT n AS bn, m AS bm, v AS bv, high AS worst FROM g WHERE event_type = 'view'),
+j AS (SELECT *, n + bn - 2 AS dof, (bm - m) / (sqrt(((bn - 1) * bv + (n - 1) * v) / (n + bn - 2)) * sqrt(1.0 / bn + 1.0 / n)) AS t FROM g, b)
+SELECT event_type, round(t, 6) AS t, dof, n < 3 OR low <= worst OR ({_tail_sql()}) > 0.005 AS keep_going FROM j"""
+
+
+@query("continue_search", _KEEP)
 def continue_search(spark, d):
     runs = table(spark, d, "events").select("event_type", (F.col("value") + F.when(F.col("event_type") == "view", 0).otherwise(400)).alias("loss"))
-    return stats.keep_going(runs, "event_type", "view")
+    return stats.keep_going(runs, "event_type", "view").withColumn("t", F.round("t", 6))
 
 
 @query("trial_best", "SELECT event_type, event_id AS trial_id, value AS loss FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) = 1")
@@ -725,16 +830,16 @@ def trial_parameters(spark, d):
 
 @query("hyper_search")
 def hyper_search(spark, d):
-    """Two trials with one run each, small enough to see the whole loop."""
+    """A good trial, one that can't match it and is stopped early, and one like the first: five runs each, and the true loss of those that end."""
     px = pixels(spark, d)
     sides = sampling.split_sides(px.select("image_id").distinct(), "image_id", 0.2, 5)
     train, test = (px.join(sides.where(F.col("side") == s), "image_id", "left_semi") for s in ("train", "test"))
     base = SMALL.with_(trees=1, horizontal_flipping=False)
-    found = tuning.search(train, test, [{"maxDepth": 2, "featureCount": 8}, {"maxDepth": 3, "featureCount": 12}], base, 4, runs=1)
-    return spark.createDataFrame([(r["trial_id"], r["status"], r["loss"], r["true_loss"]) for r in found], "trial_id long, status string, loss double, true_loss double")
+    found = tuning.search(train, test, [{"maxDepth": 4, "featureCount": 16}, {"maxDepth": 1, "featureCount": 1, "samplesPerImage": 1}, {"maxDepth": 4, "featureCount": 12}], base, 4)
+    return spark.createDataFrame([(r["trial_id"], r["status"], len(r["losses"]), r["loss"], r["true_loss"]) for r in found], "trial_id long, status string, runs int, loss double, true_loss double")
 
 
-@query("trial_queue")
+@query("trial_queue", f"SELECT id AS trial_id, 'ok' AS status, round(1 / (round({_unit(3, 'id', chr(39) + 'maxDepth')} * 20 + 5)), 9) AS loss FROM range(6) t(id)")
 def trial_queue(spark, d):
     """Trials put into a folder come out with their losses."""
     from canopygrid.streaming import trials

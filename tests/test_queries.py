@@ -13,14 +13,15 @@ def test_same_as_sql(spark, name):
     assert_same(QUERIES[name](spark, FOLDER), SQL[name], FOLDER)
 
 
-@pytest.mark.parametrize("name", ["train_tree_levels", "train_forest", "tree_stats", "forest_label_pixels", "pixel_histograms", "continue_search", "trial_queue"])
+@pytest.mark.parametrize("name", ["train_forest", "forest_label_pixels", "pixel_histograms"])
 def test_has_rows(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
 
 
-def test_model_comes_back_as_it_was(spark):
-    was, now = (sorted(map(tuple, QUERIES[n](spark, FOLDER).collect()), key=str) for n in ("train_forest", "model_round_trip"))
-    assert was == now
+def test_search_stops_a_hopeless_trial(spark):
+    good, bad, again = sorted(QUERIES["hyper_search"](spark, FOLDER).collect())
+    assert (good.status, good.runs, bad.status) == ("ok", 5, "stopped") and bad.runs < 5 and bad.true_loss is None
+    assert good.true_loss is not None and good.loss < bad.loss and again.runs <= 5
 
 
 def test_entry(spark):
