@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from canopygrid.config import TrainingConfig, check_prediction
 from canopygrid.operators import inference, labels, metrics
 from canopygrid.plans import tuning
-from canopygrid.plans.forest import RandomForestLabeler
+from canopygrid.plans.forest import RandomForestLabeler, shared_table
 from canopygrid.sources import images, model_json
 
 
@@ -56,13 +56,26 @@ def _config(a: argparse.Namespace, **more) -> TrainingConfig:
     return TrainingConfig(max_images=a.maxImages, image_cache_size=a.imageCacheSize, random_seed=a.randomSeed, subsampling_type=a.subsamplingType, use_cielab=a.useCIELab, use_depth_filling=a.useDepthFilling, use_depth_images=a.useDepthImages, horizontal_flipping=a.horizontalFlipping, ignored_colors=tuple(a.ignoreColor), **more)
 
 
-def _pixels(spark, folder: str, config: TrainingConfig):
+def _pixels(spark, folder: str, config: TrainingConfig, colors=None):
+    """Pixels as the forest sees them, as they were read, the dictionary and the ignored labels."""
     from canopygrid.functions.color import rgb_to_lab
 
-    pixels, colors = images.load_images(spark, folder, config.use_depth_images, list(config.ignored_colors))
+    raw, colors = images.load_images(spark, folder, config.use_depth_images, list(config.ignored_colors), colors)
+    pixels = raw
     if config.use_cielab:
         pixels = pixels.withColumns(dict(zip(("c0", "c1", "c2"), (c.cast("float") for c in rgb_to_lab(F.col("c0"), F.col("c1"), F.col("c2"))))))
-    return pixels, colors, [r.label for r in labels.ignored_labels(colors, list(config.ignored_colors)).collect()]
+    return pixels, raw, colors, [r.label for r in labels.ignored_labels(colors, list(config.ignored_colors)).collect()]
+
+
+def _save(raw, found, colors, folder: str, ignored: list[int], depth: bool, probabilities: bool) -> None:
+    """Each image's colours, depth, truth and prediction, and its classes' probabilities if asked for."""
+    images.save_images(images.images_of(raw, ["c0", "c1", "c2"]), folder, ".png")
+    if depth:
+        images.save_images(images.images_of(raw, ["depth"], sixteen=True), folder, images.DEPTH)
+    images.save_images(images.label_images(raw, colors), folder, images.TRUTH)
+    images.save_images(images.label_images(found.withColumn("label", F.col("prediction")), colors), folder, "_prediction.png")
+    if probabilities:
+        images.save_images(images.probability_images(found, ignored), folder, ".png")
 
 
 def main(argv: list[str] | None = None) -> dict:
@@ -70,7 +83,7 @@ def main(argv: list[str] | None = None) -> dict:
     spark = SparkSession.builder.appName("canopygrid").getOrCreate()
     if a.command == "train":
         config = _config(a, trees=a.trees, samples_per_image=a.samplesPerImage, feature_count=a.featureCount, min_sample_count=a.minSampleCount, max_depth=a.maxDepth, box_radius=a.boxRadius, region_size=a.regionSize, thresholds=a.numThresholds)
-        pixels, colors, ignored = _pixels(spark, a.folderTraining, config)
+        pixels, _, colors, ignored = _pixels(spark, a.folderTraining, config)
         model = RandomForestLabeler(config, ignored).fit(pixels, colors.count())
         if a.outputFolder:
             named = {r.label: f"{r.r},{r.g},{r.b}" for r in colors.collect()}
@@ -82,24 +95,22 @@ def main(argv: list[str] | None = None) -> dict:
         config = config.with_(use_depth_filling=a.useDepthFilling)
         model = RandomForestLabeler(config)
         model.nodes, model.priors, model.classes = nodes, priors, len(priors)
-        pixels, colors, ignored = _pixels(spark, a.folderTesting, config)
-        if colors.count() > len(priors):
-            raise ValueError("the truth has labels that the forest doesn't know")
-        found = model.predict(pixels, a.histogramBias, a.useLabelsPrior, a.writeProbabilityImages)
+        # Labels are those of the training images, whatever comes first here; padding has label 0 in any case.
+        known = labels.dictionary_of(spark, {0: labels.padding_color(list(config.ignored_colors))} | named)
+        pixels, raw, colors, ignored = _pixels(spark, a.folderTesting, config, known)
+        found = shared_table(model.predict(pixels, a.histogramBias, a.useLabelsPrior, a.writeProbabilityImages), "predicted")
         if a.folderPrediction:
-            images.save_images(images.label_images(found.withColumn("label", F.col("prediction")), colors), a.folderPrediction, "_prediction.png")
-            if a.writeProbabilityImages:
-                for k in range(len(priors)):
-                    images.save_images(images.images_of(found.withColumn("p", images.probability_image(k)), ["p"], sixteen=True), a.folderPrediction, f"_label_{k}.png")
+            _save(raw, found, colors, a.folderPrediction, ignored, config.use_depth_images, a.writeProbabilityImages)
         losses = tuning.losses_of(pixels, found, len(priors), ignored)
         rows = found.join(pixels.select("image_id", "x", "y", "label"), ["image_id", "x", "y"])
         return {"losses": losses, "confusion": metrics.report(metrics.confusion(rows))}
     config = _config(a)
-    pixels, colors, ignored = _pixels(spark, a.trainingFolder, config)
-    held_out, _, _ = _pixels(spark, a.testingFolder, config)
+    pixels, _, colors, ignored = _pixels(spark, a.trainingFolder, config)
+    held_out = _pixels(spark, a.testingFolder, config, colors)[0]
     trials = [{k: v for k, v in r.asDict().items() if k != "trial_id"} for r in tuning.proposals(spark, a.trials, config.random_seed).collect()]
     results = tuning.search(pixels, held_out, trials, config, colors.count(), loss=a.lossFunction, ignored=ignored, use_prior=a.useLabelsPrior)
-    return {"best": min(results, key=lambda r: r["loss"])}
+    # A trial that was stopped has fewer runs behind its loss; the first one never is.
+    return {"best": min((r for r in results if r["status"] == "ok"), key=lambda r: r["loss"])}
 
 
 if __name__ == "__main__":

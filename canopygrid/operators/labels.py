@@ -46,10 +46,16 @@ def color_dictionary(pixels: DataFrame, order: list[str], first: tuple[int, int,
     return seen.select(fits.alias("label"), "r", "g", "b")
 
 
-def encoded(pixels: DataFrame, colors: DataFrame) -> DataFrame:
-    """``pixels`` with ``label``; an unknown colour fails. The dictionary is at most ``MOST_LABELS`` rows."""
+def encoded(pixels: DataFrame, colors: DataFrame, where: list[str] = ()) -> DataFrame:
+    """``pixels`` with ``label``; an unknown colour fails, naming the columns ``where``. The dictionary is at most ``MOST_LABELS`` rows."""
     joined = pixels.join(F.broadcast(colors.select("label", "r", "g", "b")), ["r", "g", "b"], "left")
-    return joined.withColumn("label", F.coalesce("label", F.raise_error(F.lit("unknown colour")).cast("int")))
+    said = F.concat_ws(" ", F.lit("unknown colour"), color_text(), *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in where])
+    return joined.withColumn("label", F.coalesce("label", F.raise_error(said).cast("int")))
+
+
+def dictionary_of(spark, named: dict[int, str]) -> DataFrame:
+    """The dictionary of colours as text by label."""
+    return spark.createDataFrame([(k, *map(int, v.split(","))) for k, v in sorted(named.items())], "label int, r int, g int, b int")
 
 
 def decoded(labels: DataFrame, colors: DataFrame) -> DataFrame:

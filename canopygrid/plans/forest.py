@@ -22,7 +22,7 @@ from canopygrid.functions.arrays import normalized
 from canopygrid.functions.hashing import digest, draw_of
 from canopygrid.operators import grid
 from canopygrid.operators.features import Features, Packs, feature_tables, ragged, responses, same_size
-from canopygrid.operators.inference import Tree, forest_of, predicted
+from canopygrid.operators.inference import Tree, forest_of, leaf_counts, predicted
 from canopygrid.operators.sampling import class_uniform, image_subsample, pixel_uniform_accepted
 from canopygrid.operators.splits import class_prior
 
@@ -35,9 +35,11 @@ SIDS = 1 << 52
 
 
 def shared_path(spark, name: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names, or in one of our own where that is unset."""
+    """A new path in the folder that ``spark.checkpoint.dir`` names; where that is unset one of our own will do, but only on a single machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="canopygrid-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -219,6 +221,12 @@ def _best_splits(counts: DataFrame, thresholds: int, classes: int) -> DataFrame:
     return found.select("tree", "node", "n", "x.f", "x.b.score", "x.b.k", "x.b.left", "x.b.right")
 
 
+def renumbered(features: list) -> list[dict]:
+    """Features in the order of ``features.in_order``, numbered anew: the number decides ties."""
+    rows = sorted((r.asDict() for r in features), key=lambda r: (r["type"] != "depth", r["ch1"], r["ch2"], r["o1y"], r["o1x"], r["feature_id"]))
+    return [r | {"feature_id": i} for i, r in enumerate(rows)]
+
+
 def grow(table: DataFrame, config: TrainingConfig, classes: int) -> list[dict]:
     """All trees at once, a level at a time: rows of ``tree_node`` with ids from 0 in breadth-first order."""
     spark, flip = table.sparkSession, "both" if config.horizontal_flipping else "none"
@@ -231,6 +239,7 @@ def grow(table: DataFrame, config: TrainingConfig, classes: int) -> list[dict]:
     if seeds:
         for r in feature_tables(spark, config.feature_count, config.box_radius, config.region_size, seeds, config.use_depth_images).collect():
             drawn[r["table"]].append(r)
+        drawn = {i: renumbered(rows) for i, rows in drawn.items()}
     for level in levels:
         if not any(open_ids):
             break
@@ -277,18 +286,40 @@ class RandomForestLabeler:
 
     def fit(self, pixels: DataFrame, classes: int | None = None) -> RandomForestLabeler:
         """``pixels``: ``schema.PIXEL``; depths are filled first if the settings ask for it, and set to a metre if they aren't used."""
-        pixels = prepared(pixels, self.config)
+        # Decoding, filling and padding are done once: priors, samples and planes all read what is written here.
+        pixels = shared_table(prepared(pixels, self.config), "prepared")
         images, top = pixels.agg(F.count_distinct("image_id"), F.max("label")).first()
         self.classes = classes or top + 1
         if not 2 <= self.classes <= 256:
             raise ValueError(f"{self.classes} classes; a label has 8 bits, and two are the least")
         domain = pixels.sparkSession.range(self.classes).select(F.col("id").cast("int").alias("label"))
         self.priors = [r.n for r in class_prior(pixels, domain).orderBy("label").collect()]
-        samples = sample_table(pixels, self.config, images, self.classes, self.ignored)
+        samples = shared_table(sample_table(pixels, self.config, images, self.classes, self.ignored), "samples")
+        if self.config.subsampling_type == "classUniform":
+            self._check_samples(samples, min(images, self.config.max_images or images))
         table = shared_table(training_table(image_packs(pixels), samples), "training")
         self.nodes = grow(table, self.config, self.classes)
         return self
 
+    def _check_samples(self, samples: DataFrame, images: int) -> None:
+        """Every class that the images have must give as many samples as were asked for, or balanced sampling has failed."""
+        k = -(-images * self.config.samples_per_tree // (self.classes - len(self.ignored)))
+        counts = {(r.tree_id, r.label): r.n for r in samples.groupBy("tree_id", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        wanted = [label for label, n in enumerate(self.priors) if n and label not in self.ignored]
+        if few := {key: counts.get(key, 0) for key in ((t, label) for t in range(self.config.trees) for label in wanted) if counts.get(key, 0) < k}:
+            raise ValueError(f"failed to sample enough pixels: {k} of each class are needed, (tree, label) have {few}")
+
+    def improve(self, pixels: DataFrame) -> RandomForestLabeler:
+        """Count all labelled pixels in the leaves that they reach, and put the counts where a leaf's histogram isn't zero."""
+        by_tree = [sorted((n for n in self.nodes if n["tree_id"] == t), key=lambda n: n["node_id"]) for t in sorted({n["tree_id"] for n in self.nodes})]
+        trees = [Tree.of(rows, "histogram") for rows in by_tree]
+        found = {(r.tree, r.leaf, r.label): r.n for r in leaf_counts(image_packs(prepared(pixels, self.config)), trees).collect()}
+        for t, rows in enumerate(by_tree):
+            for i, node in enumerate(rows):
+                if node["is_leaf"]:
+                    node["histogram"] = [found.get((t, i, label), 0) if n else 0 for label, n in enumerate(node["histogram"])]
+        return self
+
     def node_table(self, spark) -> DataFrame:
         names = [f.split(" ")[0] for f in ("tree_id", "node_id", "level", "parent_id", "left_id", "right_id", "is_leaf", "n_samples", "histogram", "feature", "threshold", "score")]
         return spark.createDataFrame([tuple(n[c] for c in names) for n in self.nodes], schema.TREE_NODE)

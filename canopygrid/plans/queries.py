@@ -393,8 +393,8 @@ ITEM = f"th(feature_id, threshold_id, threshold) AS (VALUES {_TH}), long AS ({_L
 GAIN = f"{ITEM}, {_gain_sql('cells', 'node, feature_id, threshold_id')}"
 
 
-def item_counters(spark, d) -> DataFrame:
-    items = table(spark, d, "lineitem").withColumnRenamed("l_linestatus", "node")
+def item_counters(spark, d, items: DataFrame | None = None) -> DataFrame:
+    items = (table(spark, d, "lineitem") if items is None else items).withColumnRenamed("l_linestatus", "node")
     counts = splits.bucket_counts(items, SPLITS, "l_returnflag", ["node"])
     return scoring.cumulative(counts, ["node", "feature_id"], splits.threshold_rows(spark, SPLITS).drop("threshold"))
 
@@ -413,10 +413,11 @@ def split_counters(spark, d):
     return item_counters(spark, d)
 
 
-@query("counters_of_parts", f"WITH {ITEM} SELECT node, feature_id, threshold_id, label, 2 * l AS n_left, 2 * r AS n_right FROM cells")
+@query("counters_of_parts", f"WITH {ITEM} SELECT node, feature_id, threshold_id, label, l AS n_left, r AS n_right FROM cells")
 def counters_of_parts(spark, d):
-    c = item_counters(spark, d)
-    return splits.summed(c, c)
+    """Counters of three parts of the items, added up, are those of all."""
+    items = table(spark, d, "lineitem")
+    return splits.summed(*[item_counters(spark, d, items.where(F.col("l_orderkey") % 3 == k)) for k in range(3)])
 
 
 @query("info_gain", f"WITH {GAIN} SELECT node, feature_id, threshold_id, gain FROM score")
@@ -516,10 +517,20 @@ def dataset_accuracy(spark, d):
     return metrics.dataset_accuracy(truth(spark, d).withColumn("i", F.col("doc_id") % 7), "i").select(F.round("dataset_accuracy", 9).alias("dataset_accuracy"))
 
 
-@query("losses", "SELECT * FROM (VALUES ('classAccuracy', 0.25), ('classAccuracyWithoutVoid', 0.375), ('pixelAccuracy', 0.05), ('pixelAccuracyWithoutVoid', 0.15)) t(kind, loss)".replace("0.25", "CAST(0.25 AS DOUBLE)").replace("0.375", "CAST(0.375 AS DOUBLE)").replace("0.05", "CAST(0.05 AS DOUBLE)").replace("0.15", "CAST(0.15 AS DOUBLE)"))
+_IMAGES = "(SELECT avg(a) FROM (SELECT avg(CAST(label = prediction AS INTEGER)) AS a FROM tp {} GROUP BY doc_id % 7))"
+_SHARES = "(SELECT avg(coalesce(a, 0)) FROM range(3) t(d) LEFT JOIN c ON label = d {})"
+_VALUES = dict(zip(metrics.LOSSES, (_SHARES.format(""), _SHARES.format("WHERE d <> 0"), _IMAGES.format(""), _IMAGES.format("WHERE label <> 0"))))
+
+
+@query("losses", f"WITH {TP}, c AS (SELECT label, avg(CAST(label = prediction AS INTEGER)) AS a FROM tp GROUP BY label) " + " UNION ALL ".join(f"SELECT '{k}' AS kind, round(1 - {v}, 9) AS loss" for k, v in _VALUES.items()))
 def losses(spark, d):
+    """The four losses of one prediction."""
+    rows = truth(spark, d).withColumn("i", F.col("doc_id") % 7)
+    counts = metrics.confusion(rows)
+    shares = [metrics.class_accuracy(counts, [0], void, _three(spark)) for void in (True, False)] + [metrics.dataset_accuracy(rows, "i", [0], void) for void in (True, False)]
+    # Four single values.
+    at = [F.lit(df.first()[0]) for df in shares]
     kinds = spark.createDataFrame([(k,) for k in metrics.LOSSES], "kind string")
-    at = [F.lit(v) for v in ((1 + 0.5 + 0.75) / 3, (0.5 + 0.75) / 2, 0.95, 0.85)]
     return kinds.select("kind", F.round(metrics.loss(F.col("kind"), *at), 9).alias("loss"))
 
 
@@ -533,9 +544,10 @@ def loss_mean_var(spark, d):
 HIST = "h AS (SELECT l_linenumber AS node, count(*) FILTER (WHERE l_returnflag = 'A') AS a, count(*) FILTER (WHERE l_returnflag = 'N') AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY l_linenumber)"
 
 
-def histograms(spark, d) -> DataFrame:
+def histograms(spark, d, some=None) -> DataFrame:
     count = lambda v: F.count_if(F.col("l_returnflag") == v)
-    return table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("node")).agg(F.array(*map(count, "ANR")).alias("histogram"))
+    items = table(spark, d, "lineitem")
+    return (items if some is None else items.where(some)).groupBy(F.col("l_linenumber").alias("node")).agg(F.array(*map(count, "ANR")).alias("histogram"))
 
 
 def _norm_sql() -> str:
@@ -561,9 +573,13 @@ def pure_nodes(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("node")).agg(F.array(*map(count, "FOP")).alias("h")).select("node", arrays.is_pure(F.col("h")).alias("pure"))
 
 
-@query("histogram_sum", f"WITH {HIST} SELECT node, 2 * a AS a, 2 * n AS n, 2 * r AS r FROM h")
+@query("histogram_sum", f"WITH {HIST} SELECT node, a, n, r FROM h")
 def histogram_sum(spark, d):
-    both = histograms(spark, d).select("node", arrays.added(F.transform("histogram", lambda x: x.cast("double")), F.transform("histogram", lambda x: x.cast("double"))).alias("v"))
+    """Histograms of nodes over two parts of the items, added up, are those of all."""
+    doubles = lambda part: F.transform("histogram", lambda x: x.cast("double")).alias(part)
+    sides = [histograms(spark, d, F.col("l_orderkey") % 2 == k).select("node", doubles(f"part{k}")) for k in range(2)]
+    both = sides[0].join(sides[1], "node", "full").select("node", *[F.coalesce(f"part{k}", F.array_repeat(F.lit(0.0), 3)).alias(f"part{k}") for k in range(2)])
+    both = both.select("node", arrays.added(F.col("part0"), F.col("part1")).alias("v"))
     return both.select("node", *[F.get("v", F.lit(i)).cast("long").alias(c) for i, c in enumerate("anr")])
 
 
@@ -656,7 +672,9 @@ def _grown_sql(tree: int) -> str:
     samp = f"samp AS (SELECT image_id * 64 + y * 8 + x AS sample_id, image_id, x, y, depth, label, {sid} AS sid FROM pix WHERE valid = 1 QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_md5(seed, 'image_id', 'x', 'y')}, image_id, x, y) <= {few})"
     ring = forest.SIDS
     count = lambda side: ", ".join(f"CAST(sum({side}) FILTER (WHERE label = {k}) AS BIGINT) AS h{k}" for k in range(4))
-    return f"""(WITH {_response_sql(1, _feature_sql(LEVEL.random_seed + tree * 1_000_003 + 1), samp)},
+    drawn = _feature_sql(LEVEL.random_seed + tree * 1_000_003 + 1).replace("feat AS (", "feats AS (", 1)
+    sorted_ = "feat AS (SELECT * REPLACE (CAST(row_number() OVER (ORDER BY CASE type WHEN 'depth' THEN 0 ELSE 1 END, ch1, ch2, o1y, o1x, feature_id) - 1 AS INTEGER) AS feature_id) FROM feats)"
+    return f"""(WITH {_response_sql(1, f"{drawn}, {sorted_}", samp)},
 pick AS (SELECT feature_id, k, {_draw(0, 2**32 - 1, seed, 1, 'feature_id', 'k')} * {ring >> 32} AS place FROM feat, range({LEVEL.thresholds}) r(k)),
 chosen AS (SELECT feature_id, k, arg_min(coalesce(response, 0.0), ((sid - place) % {ring} + {ring}) % {ring}) AS v FROM pick JOIN resp USING (feature_id) JOIN samp USING (sample_id) GROUP BY feature_id, k),
 thr AS (SELECT feature_id, CAST(row_number() OVER (PARTITION BY feature_id ORDER BY CAST(v AS FLOAT)) - 1 AS INTEGER) AS threshold_id, CAST(v AS FLOAT) AS value FROM chosen),

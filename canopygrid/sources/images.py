@@ -84,17 +84,21 @@ def read_images(spark: SparkSession, folder: str, use_depth: bool = True, truth:
     return files.mapInArrow(run, PIXELS)
 
 
-def load_images(spark: SparkSession, folder: str, use_depth: bool = True, ignored: list[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Labelled pixels, padded to the largest image, and the colour dictionary; the padding colour has label 0."""
+def load_images(spark: SparkSession, folder: str, use_depth: bool = True, ignored: list[str] = (), colors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Labelled pixels, padded to the largest image, and the colour dictionary; the padding colour has label 0.
+
+    ``colors``: the dictionary to go by, such as that of the training images; a truth with another colour fails with its image and pixel.
+    """
     pixels = read_images(spark, folder, use_depth)
-    first = tuple(map(int, lab.padding_color(list(ignored)).split(",")))
-    colors = lab.color_dictionary(pixels, ["stem", "x", "y"], first)
+    if colors is None:
+        first = tuple(map(int, lab.padding_color(list(ignored)).split(",")))
+        colors = lab.color_dictionary(pixels, ["stem", "x", "y"], first)
     ids = pixels.select("stem").distinct()
     from pyspark.sql import Window
 
     # One row for each image.
     ids = ids.withColumn("image_id", F.row_number().over(Window.orderBy("stem")).cast("long") - 1)
-    rows = lab.encoded(pixels, colors).join(ids, "stem").select("image_id", "x", "y", "c0", "c1", "c2", "depth", "valid", "label")
+    rows = lab.encoded(pixels, colors, ["stem", "x", "y"]).join(ids, "stem").select("image_id", "x", "y", "c0", "c1", "c2", "depth", "valid", "label")
     width, height = rows.agg(F.max("x") + 1, F.max("y") + 1).first()
     return padded(rows, width, height, 0), colors
 
@@ -123,13 +127,21 @@ def label_images(labels: DataFrame, colors: DataFrame) -> DataFrame:
     return images_of(lab.decoded(labels, colors), ["r", "g", "b"])
 
 
+def whole_uri(spark: SparkSession, folder: str) -> str:
+    """The folder with its store: a path without one is in the default store, as for all of Spark's readers and writers."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    said = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + said.removeprefix("file:") if said.startswith("file:/") and not said.startswith("file://") else said
+
+
 def save_images(images: DataFrame, folder: str, suffix: str, name: str = "image_id") -> int:
     """Write ``content`` of each row as ``<name><suffix>`` under a folder that all executors share; how many."""
+    uri = whole_uri(images.sparkSession, folder)
 
     def run(batches):
         import pyarrow.fs as fs
 
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, root = fs.FileSystem.from_uri(uri)
         store.create_dir(root, recursive=True)
         for batch in batches:
             for n, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -140,6 +152,9 @@ def save_images(images: DataFrame, folder: str, suffix: str, name: str = "image_
     return images.select(F.col(name).cast("string"), "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def probability_image(label: int) -> Column:
-    """A class's probability as a grey value of 16 bits."""
-    return F.round(F.get("probs", F.lit(label)) * 65535).cast("int")
+def probability_images(found: DataFrame, ignored: list[int] = ()) -> DataFrame:
+    """``image_id`` (with ``_label_<k>``), ``content``: a grey image of 16 bits for each image and class that isn't ignored, all in one pass."""
+    each = found.select("image_id", "x", "y", F.posexplode("probs").alias("k", "p"))
+    each = each.where(~F.col("k").isin(*ignored)) if ignored else each
+    named = F.concat(F.col("image_id").cast("string"), F.lit("_label_"), F.col("k").cast("string"))
+    return images_of(each.select(named.alias("image_id"), "x", "y", F.round(F.col("p") * 65535).cast("int").alias("v")), ["v"], sixteen=True)

@@ -62,7 +62,7 @@ def tree_json(nodes: list[dict], config: TrainingConfig, priors: list[int], colo
     by_id = {n["node_id"]: n for n in nodes}
     head = {camel(k): list(v) if isinstance(v, tuple) else v for k, v in config.to_dict().items()}
     host = {"hostname": platform.node(), "buildType": "release", "version": VERSION, "date": date, "processorModels": [platform.processor() or platform.machine()]}
-    return host | head | {"classLabelPriorDistribution": {str(i): n for i, n in enumerate(priors)}, "tree": node_json(by_id[min(by_id)], by_id, colors, per_image)}
+    return host | head | {"labelColors": {str(k): v for k, v in sorted(colors.items())}, "classLabelPriorDistribution": {str(i): n for i, n in enumerate(priors)}, "tree": node_json(by_id[min(by_id)], by_id, colors, per_image)}
 
 
 def write_forest(spark: SparkSession, folder: str, nodes: list[dict], config: TrainingConfig, priors: list[int], colors: dict[int, str], date: str = "") -> None:
@@ -131,6 +131,10 @@ def read_forest(spark: SparkSession, folder: str) -> tuple[list[dict], TrainingC
         config, priors = config or mine, priors or dist
         rows, found = flat_nodes(header["tree"], t, len(dist))
         nodes += rows
+        # Files of others name a label's colour only where a histogram has it.
+        found |= {int(k): v for k, v in header.get("labelColors", {}).items()}
+        if any(colors.get(k, v) != v for k, v in found.items()):
+            raise ValueError(f"{f.path} has other colours for its labels")
         colors |= found
     return nodes, config, priors, colors
 

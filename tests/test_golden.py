@@ -358,7 +358,64 @@ def test_command_line(spark, tmp_path):
     out = main(["train", "--folderTraining", str(tmp_path), "--outputFolder", str(tmp_path / "m"), *[x for k, v in sizes.items() for x in (f"--{k}", str(v))]])
     assert len(out["trees"]) == 2
     got = main(["predict", "--folderTesting", str(tmp_path), "--treeFolder", str(tmp_path / "m"), "--folderPrediction", str(tmp_path / "p")])
-    assert got["losses"]["pixelAccuracy"] < 0.3 and len(list((tmp_path / "p").iterdir())) == 6
+    assert got["losses"]["pixelAccuracy"] < 0.3 and len(list((tmp_path / "p").iterdir())) == 24
+    assert sorted(x.name for x in (tmp_path / "p").iterdir() if "a_colors" not in x.name)[:4] == ["0.png", "0_depth.png", "0_ground_truth.png", "0_prediction.png"]
+
+
+def _scenes(folder, mirrored: bool, extra=None):
+    """Two-coloured scenes; mirrored ones meet the other class first."""
+    rng = np.random.default_rng(2)
+    folder.mkdir()
+    for name in "abcd":
+        color_, truth = rng.integers(0, 90, (10, 10, 3)).astype(np.uint8), np.full((10, 10, 3), (9, 8, 7), np.uint8)
+        color_[:, 5:, 0] += 150
+        truth[:, 5:] = (1, 2, 3)
+        if mirrored:
+            color_, truth = color_[:, ::-1].copy(), truth[:, ::-1].copy()
+        if extra and name == "c":
+            truth[4, 6] = extra
+        (folder / f"{name}_colors.png").write_bytes(png.encode(color_))
+        (folder / f"{name}_depth.png").write_bytes(png.encode(np.full((10, 10), 1000, np.uint16)))
+        (folder / f"{name}_ground_truth.png").write_bytes(png.encode(truth))
+    return str(folder)
+
+
+def test_labels_are_those_of_training_whatever_comes_first(spark, tmp_path):
+    """Scenes in which the other class comes first: the labels, and with them losses and colours, are those of the training folder."""
+    from canopygrid.__main__ import main
+
+    train, mirrored, strange = _scenes(tmp_path / "t", False), _scenes(tmp_path / "m", True), _scenes(tmp_path / "x", False, (200, 0, 0))
+    side = lambda df: {(r.left, r.label) for r in df.select((F.col("x") < 5).alias("left"), "label").distinct().collect()}
+    pixels, colors = images.load_images(spark, train)
+    assert side(pixels) == {(True, 1), (False, 2)} and side(images.load_images(spark, mirrored, colors=colors)[0]) == {(True, 2), (False, 1)}
+    sizes = {"trees": 1, "samplesPerImage": 40, "featureCount": 20, "minSampleCount": 4, "maxDepth": 3, "boxRadius": 2, "regionSize": 2, "numThresholds": 5}
+    forest_folder, out = str(tmp_path / "forest"), tmp_path / "out"
+    main(["train", "--folderTraining", train, "--outputFolder", forest_folder, *[x for k, v in sizes.items() for x in (f"--{k}", str(v))]])
+    assert model_json.read_forest(spark, forest_folder)[3] == {0: "0,0,0", 1: "9,8,7", 2: "1,2,3"}
+    got = main(["predict", "--folderTesting", mirrored, "--treeFolder", forest_folder, "--folderPrediction", str(out), "--writeProbabilityImages"])
+    truth, said, color_ = (png.decode((out / f"0{kind}.png").read_bytes()) for kind in ("_ground_truth", "_prediction", ""))
+    assert (truth == png.decode((tmp_path / "m" / "a_ground_truth.png").read_bytes())).all() and (color_ == png.decode((tmp_path / "m" / "a_colors.png").read_bytes())).all()
+    assert {tuple(c) for c in said.reshape(-1, 3)} <= {(9, 8, 7), (1, 2, 3)} and (out / "0_depth.png").exists() and (out / "0_label_1.png").exists()
+    wrong = [(png.decode((out / f"{k}_ground_truth.png").read_bytes()) != png.decode((out / f"{k}_prediction.png").read_bytes())).any(2).mean() for k in range(4)]
+    assert got["losses"]["pixelAccuracy"] == pytest.approx(sum(wrong) / 4)
+    with pytest.raises(Exception, match=r"unknown colour 200,0,0 stem=\S*c x=6 y=4"):
+        main(["predict", "--folderTesting", strange, "--treeFolder", forest_folder])
+
+
+def test_too_few_pixels_of_a_class_fail(spark):
+    rows = [(0, x, y, float(x), 0.0, 0.0, 1000, 1, int(x == 0 and y == 0)) for x in range(10) for y in range(10)]
+    pixels = spark.createDataFrame(rows, "image_id long, x int, y int, c0 float, c1 float, c2 float, depth int, valid int, label int")
+    with pytest.raises(ValueError, match="enough pixels"):
+        forest.RandomForestLabeler(TrainingConfig(trees=1, samples_per_image=40)).fit(pixels, 2)
+
+
+def test_improved_leaves_hold_all_pixels(spark):
+    rows = [(i, x, y, float(x), float(y), 0.0, 1000, 1, int(x > 4)) for i in range(3) for x in range(10) for y in range(10)]
+    pixels = spark.createDataFrame(rows, "image_id long, x int, y int, c0 float, c1 float, c2 float, depth int, valid int, label int")
+    model = forest.RandomForestLabeler(TrainingConfig(trees=2, samples_per_image=20, feature_count=30, max_depth=3, box_radius=2, region_size=2, min_sample_count=2)).fit(pixels, 2)
+    before = [list(n["histogram"]) for n in model.nodes if n["is_leaf"]]
+    after = [n["histogram"] for n in model.improve(pixels).nodes if n["is_leaf"]]
+    assert all((b == 0) <= (a == 0) for x, y in zip(before, after) for b, a in zip(x, y)) and 300 < sum(map(sum, after)) <= 600
 
 
 @pytest.mark.parametrize("stay", [False, True])
