@@ -1,15 +1,20 @@
-"""Stupid-backoff scores of documents under a bigram model of the whole corpus.
+"""Stupid-backoff scores of documents under an n-gram model of the whole corpus, of triples unless the caller asks for pairs.
 
-The score of a word after another is c(v w) / c(v) where the pair is in the table, else ALPHA times c(w) / N; the first word of a
-document has c(w) / N. All pairs of the corpus are in the table, unless the caller asks for those that occur ``least`` times. Pairs are exploded, dealt by hash and met with their counts there: a bucket holds all pairs of its first words, so c(v w) and
-c(v) are both counted in it. Words and pairs that make up over 1 / ``HOT_SHARE`` of the corpus, or occur over ``HOT_MOST`` times, are
-counted first and go along as tables of that proven size: hot pairs are scored where they are read and never dealt, other pairs of a
-hot first word are dealt by both words. Words to back off to meet the unigram table in buckets too. So no key of a bucket has more
-than that share of the rows. Partial sums are added up by document.
+The score of a word after others is c(u v w) / c(u v): the count of the n-gram over that of its context, all of whose occurrences
+count. Every n-gram of the corpus is in the table, so a word of the corpus itself never has to back off; asked for pairs that occur
+``least`` times only, a word after another backs off to ALPHA times c(w) / N. A document begins with shorter n-grams: c(w) / N for its
+first word, and c(v w) / c(v) for the second, which together are c(v w) / N.
 
-Rows are packed: a block holds the pairs of one bucket from one batch of documents, 9 bytes a pair, so that what crosses the network
-stays near the size of the input; partial sums go back to their batch in blocks too, and only there become documents again. Words are
-56-bit hashes, A-Z lower-cased.
+N-grams are exploded, dealt by the hash of their context and met with their counts there: a bucket holds all n-grams of its contexts,
+so both counts are made in it, and what it gives are sums by document. Contexts and n-grams that make up over 1 / ``HOT_SHARE`` of the
+corpus, or occur over ``HOT_MOST`` times, are counted first and go along as tables of that proven size: hot n-grams are scored where
+they are read and never dealt, other n-grams of a hot context are dealt by context and word. Words to back off to meet the unigram
+table in buckets too. So no key of a bucket has more than that share of the rows. Partial sums are added up by document.
+
+Rows are packed: a block holds the n-grams of one bucket from one batch of documents, 12 bytes each (7 of the context's hash, 5 of the
+word's), so that what crosses the network stays near the size of the input; partial sums go back to their batch in blocks too, and
+only there become documents again. Words are A-Z lower-cased. Words and contexts are 56-bit hashes: among a thousand million kinds, one
+in 72 million shares its hash with another.
 
 Nulls: a null text has no words; null doc_ids are one document. Rows that repeat a doc_id add up as one. Documents without words get
 0 words and the score 0. Empty table: empty result.
@@ -29,8 +34,8 @@ from pyspark.sql import functions as F
 from canopygrid.llm.common import written
 
 ALPHA = 0.4
-#: Pairs that occur fewer times are not in the table: none.
-LEAST = 1
+#: N-grams of so many words; those that occur fewer than ``LEAST`` times are not in the table: none.
+ORDER, LEAST = 3, 1
 #: Words and pairs are hot from one in so many of the corpus, and in any case from so many occurrences: a bucket's key has fewer rows.
 HOT_SHARE, HOT_MOST = 1 << 14, 50_000_000
 #: Pairs, and words of the unigram table, in a bucket on average; and how many parts of a bucket are counted one after another.
@@ -38,13 +43,16 @@ BUCKET, PARTS = 2_000_000, 4
 #: Words that are hashed before a block is packed.
 FLUSH = 1_000_000
 SLICE = 1 << 20
-#: No word: what follows the last one.
-END = np.uint64(0)
+#: In place of a word: nothing follows; the count of the context itself is asked for; that of a word, which stands for the context, is.
+END, BEGIN, SINGLE = np.uint64(0), np.uint64(1), np.uint64(2)
+FIRST_WORD = np.uint64(3)
+#: Bytes of a word within its context's rows, and where words may have to be looked up.
+SHORT, FULL = 5, 7
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(text: bytes):
-    """Yield arrays of 56-bit hashes of the words of a text, a slice at a time; 0 is none."""
+    """Yield arrays of 56-bit hashes of the words of a text, a slice at a time; those below ``FIRST_WORD`` are none."""
     at = 0
     one = xxhash.xxh64_intdigest
     while at < len(text):
@@ -54,7 +62,9 @@ def word_hashes(text: bytes):
         words = text[at:end].lower().split()
         at = end
         if words:
-            yield np.maximum(np.fromiter(map(one, words), np.uint64, len(words)) >> np.uint64(8), np.uint64(1))
+            h = np.fromiter(map(one, words), np.uint64, len(words)) >> np.uint64(8)
+            # Neither a hash nor its low bytes may look like one of the marks.
+            yield h + np.where(h & np.uint64((1 << 8 * SHORT) - 1) < FIRST_WORD, FIRST_WORD, np.uint64(0))
 
 
 def spread(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
@@ -64,102 +74,97 @@ def spread(a: np.ndarray, b: np.ndarray | None = None) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def packed(h: np.ndarray) -> bytes:
-    """56-bit hashes in 7 bytes each."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+def contexts(h: np.ndarray, order: int) -> np.ndarray:
+    """56-bit hashes of all runs of ``order`` - 1 words of a text."""
+    return h if order == 2 else np.maximum(spread(h[:-1], h[1:]) >> np.uint64(8), FIRST_WORD)
+
+
+def packed(h: np.ndarray, size: int = FULL) -> bytes:
+    """The low ``size`` bytes of each hash."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
-def unpacked(b) -> np.ndarray:
+def unpacked(b, size: int = FULL) -> np.ndarray:
     flat = np.frombuffer(b, np.uint8)
-    raw = np.zeros((len(flat) // 7, 8), np.uint8)
-    raw[:, :7] = flat.reshape(-1, 7)
+    raw = np.zeros((len(flat) // size, 8), np.uint8)
+    raw[:, :size] = flat.reshape(-1, size)
     return raw.view("<u8")[:, 0]
 
 
 def _texts(batch: pa.RecordBatch, column: int):
-    return ((i, t.as_py() or b"") for i, t in enumerate(batch.column(column).cast(pa.binary())))
+    """Number and word hashes of each text of a batch."""
+    for i, t in enumerate(batch.column(column).cast(pa.binary())):
+        yield i, np.concatenate([np.empty(0, np.uint64), *word_hashes(t.as_py() or b"")])
 
 
-def unigrams(corpus: DataFrame) -> DataFrame:
-    """``word`` (56-bit hash), ``n`` over the whole corpus."""
+def counts(corpus: DataFrame, keys) -> DataFrame:
+    """``key``, ``n`` over the whole corpus; ``keys`` gives a text's keys from its word hashes."""
 
     def run(batches):
         for batch in batches:
             held, size = [], 0
-            for _, text in _texts(batch, 0):
-                for h in word_hashes(text):
-                    held.append(h)
-                    size += len(h)
-                    if size > FLUSH:
-                        yield counted(held)
-                        held, size = [], 0
-            if held:
+            for _, h in _texts(batch, 0):
+                held.append(keys(h))
+                size += len(held[-1])
+                if size > FLUSH:
+                    yield counted(held)
+                    held, size = [], 0
+            if size:
                 yield counted(held)
 
     def counted(held):
-        word, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
 
-    return corpus.select(F.col("text").cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return corpus.select(F.col("text").cast("string")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 class Hot:
-    """Hot words and pairs, sorted, with the logs of their counts."""
+    """Hot words, contexts and n-grams, sorted, with the logs of their counts."""
 
-    def __init__(self, words: np.ndarray, n: np.ndarray):
-        order = np.argsort(words)
-        self.words, self.log_n = words[order], np.log(n[order])
-        self.pairs, self.log_pairs = np.zeros(0, np.uint64), np.zeros(0)
+    def __init__(self):
+        none = (np.zeros(0, np.uint64), np.zeros(0))
+        self.tables = {"word": none, "context": none, "gram": none}
 
-    def with_pairs(self, pairs: np.ndarray, n: np.ndarray) -> Hot:
-        order = np.argsort(pairs)
-        self.pairs, self.log_pairs = pairs[order], np.log(n[order])
+    def put(self, name: str, found: pa.Table) -> Hot:
+        keys, n = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+        order = np.argsort(keys)
+        self.tables[name] = keys[order], np.log(n[order])
         return self
 
-    @staticmethod
-    def _find(keys, values, asked):
+    def find(self, name: str, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which are hot, and the logs of their counts."""
+        keys, values = self.tables[name]
         if not len(keys):
             return np.zeros(len(asked), bool), np.zeros(len(asked))
         i = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
         return keys[i] == asked, values[i]
 
-    def word(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which words are hot, and the logs of their counts."""
-        return self._find(self.words, self.log_n, asked)
-
-    def pair(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self._find(self.pairs, self.log_pairs, spread(v, w))
-
     def deal(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """What decides a pair's bucket: its first word, or both where that is hot or there is none."""
-        return np.where(self.word(v)[0] | (v == END), spread(v, w), spread(v))
+        """What decides an n-gram's bucket: its context, or both where that is hot."""
+        return np.where(self.find("context", v)[0], spread(v, w), spread(v))
 
 
-def pairs_of(corpus: DataFrame, hot: Hot) -> DataFrame:
-    """``pair`` (hash), ``n``: pairs of two hot words; no other pair can be hot."""
+def hot_of(text: DataFrame, words: DataFrame, most: float, order: int, least: int) -> Hot:
+    """Only pairs of hot words can be hot contexts of triples, and only n-grams whose two contexts are hot can be hot."""
+    found = words.where(F.col("n") > most).toArrow()
+    hot = Hot().put("word", found).put("context", found)
+    if order == 3 and found.num_rows:
 
-    def counted(held):
-        pair, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "n"])
+        def pairs(h):
+            is_hot = hot.find("word", h)[0]
+            return contexts(h, 3)[is_hot[:-1] & is_hot[1:]]
 
-    def run(batches):
-        for batch in batches:
-            held, size = [], 0
-            for _, text in _texts(batch, 0):
-                last = None
-                for h in word_hashes(text):
-                    h = h if last is None else np.r_[last, h]
-                    is_hot = hot.word(h)[0]
-                    both = is_hot[:-1] & is_hot[1:]
-                    held.append(spread(h[:-1][both], h[1:][both]))
-                    last, size = h[-1], size + len(held[-1])
-                if size > FLUSH:
-                    yield counted(held)
-                    held, size = [], 0
-            if size:
-                yield counted(held)
+        hot = Hot().put("word", found).put("context", counts(text, pairs).where(F.col("n") > most).toArrow())
+    if len(hot.tables["context"][0]):
+
+        def grams(h):
+            c = contexts(h, order)
+            is_hot = hot.find("context", c)[0]
+            return spread(c[:-1], h[order - 1 :])[is_hot[:-1] & is_hot[1:]]
 
-    return corpus.select(F.col("text").cast("string")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        hot.put("gram", counts(text, grams).where((F.col("n") > most) & (F.col("n") >= least)).toArrow())
+    return hot
 
 
 BLOCK = "bucket long, batch long, ids array<long>, words array<long>, docs binary, first binary, which binary, second binary, doc binary"
@@ -182,7 +187,15 @@ def of_ascending(b) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(b), "<i4"), dtype=np.int64)
 
 
-def _blocks(buckets: int, hot: Hot, total: int):
+def _rows_of(h: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and following words of a text, what asks for its beginning first."""
+    if len(h) < order - 1:
+        return h, np.full(len(h), SINGLE)
+    c = contexts(h, order)
+    return np.r_[c[:1], c], np.r_[np.full(min(1, len(c)), BEGIN), h[order - 1 :], np.full(min(1, len(c)), END)]
+
+
+def _blocks(buckets: int, hot: Hot, total: int, order: int, width: int):
     """Documents in; blocks out, and for each batch a row of its documents in a bucket of its own below 0.
 
     Batches are numbered by partition, so that a task that runs again gives the same ones.
@@ -193,26 +206,34 @@ def _blocks(buckets: int, hot: Hot, total: int):
         rows = []
         if v:
             v, w, doc = np.concatenate(v), np.concatenate(w), np.concatenate(doc)
-            # What the tables know is scored here: hot pairs, hot words that begin a document, and nothing is asked of a hot last word.
-            hot_v, log_v = hot.word(v)
-            hot_w, log_w = hot.word(w)
-            hot_pair, log_pair = hot.pair(v, w)
-            hot_pair &= hot_v & hot_w
-            begins = (v == END) & hot_w
-            for which, value in ((hot_pair, log_pair - log_v), (begins, log_w - np.log(max(1, total)))):
+            # What the tables know is scored here: hot n-grams, beginnings that are hot, hot words of one-word documents; and nothing is asked of a hot last context.
+            hot_v, log_v = hot.find("context", v)
+            hot_gram, log_gram = hot.find("gram", spread(v, w))
+            hot_gram &= hot_v & (w >= FIRST_WORD)
+            begins = hot_v & (w == BEGIN)
+            hot_word, log_word = hot.find("word", v)
+            alone = hot_word & (w == SINGLE)
+            log_total = np.log(max(1, total))
+            for which, value in ((hot_gram, log_gram - log_v), (begins, log_v - log_total), (alone, log_word - log_total)):
                 score += np.bincount(doc[which], value[which], len(ids))
-            seen += np.bincount(doc[hot_pair & (log_pair > 0)], minlength=len(ids))
-            left = ~(hot_pair | begins | (hot_v & (w == END)))
+            seen += np.bincount(doc[(hot_gram & (log_gram > 0)) | (begins & (log_v > 0) & (order > 2))], minlength=len(ids))
+            left = ~(hot_gram | begins | alone | (hot_v & (w == END)))
             v, w, doc = v[left], w[left], doc[left]
             bucket = (hot.deal(v, w) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            v, w, doc, bucket = v[order], w[order], doc[order], bucket[order]
+            by = np.argsort(bucket, kind="stable")
+            v, w, doc, bucket = v[by], w[by], doc[by], bucket[by]
             cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(v) else []
             for a, b in zip(cut[:-1], cut[1:]):
                 first, which = np.unique(v[a:b], return_inverse=True)
-                # Pairs lie in the order of their documents: which these are and how many pairs each has says it all.
+                which = which.astype("<u2" if len(first) <= 65536 else "<u4")
+                # Where contexts hardly repeat they are written as they come.
+                if len(first) * FULL + which.nbytes < (b - a) * FULL:
+                    first, which = packed(first), which.tobytes()
+                else:
+                    first, which = packed(v[a:b]), b""
+                # N-grams lie in the order of their documents: which these are and how many each has says it all.
                 there, n = np.unique(doc[a:b], return_counts=True)
-                rows.append((int(bucket[a]), batch, None, None, ascending(there), packed(first), which.astype("<u2" if len(first) <= 65536 else "<u4").tobytes(), packed(w[a:b]), zlib.compress(n.astype("<u4").tobytes(), 1)))
+                rows.append((int(bucket[a]), batch, None, None, ascending(there), first, which, packed(w[a:b], width), zlib.compress(n.astype("<u4").tobytes(), 1)))
         rows.append((-1 - batch, batch, ids, words, None, score.tobytes(), zlib.compress(seen.astype("<u4").tobytes(), 1), None, None))
         return _rows(rows, BLOCK, _BLOCK)
 
@@ -221,21 +242,15 @@ def _blocks(buckets: int, hot: Hot, total: int):
         ids, words, v, w, doc, size = [], [], [], [], [], 0
         for batch in batches:
             known = batch.column(0).to_pylist()
-            for i, text in _texts(batch, 1):
-                last, n = None, 0
-                for h in word_hashes(text):
-                    # The first word has no word before it; it is scored as a word to back off to.
-                    v.append(np.r_[END if last is None else last, h[:-1]])
-                    w.append(h)
-                    doc.append(np.full(len(h), len(ids), np.int32))
-                    last, n = h[-1], n + len(h)
-                if last is not None:
-                    v.append(np.array([last]))
-                    w.append(np.array([END]))
-                    doc.append(np.array([len(ids)], np.int32))
+            for i, h in _texts(batch, 1):
+                if len(h):
+                    c, after = _rows_of(h, order)
+                    v.append(c)
+                    w.append(after)
+                    doc.append(np.full(len(c), len(ids), np.int32))
                 ids.append(known[i])
-                words.append(n)
-                size += n + 1
+                words.append(len(h))
+                size += len(h) + 1
                 if size > FLUSH:
                     yield pack(number, ids, words, v, w, doc)
                     number += 1
@@ -246,17 +261,16 @@ def _blocks(buckets: int, hot: Hot, total: int):
     return run
 
 
-def _score_bucket(hot: Hot, total: int, least: int, rest_buckets: int):
+def _score_bucket(hot: Hot, total: int, order: int, least: int, rest_buckets: int, width: int):
     """All blocks of a bucket in; the partial scores of each block's documents out, and the words that are left to look up."""
 
     def part_of(rows, part):
         """The pairs of a part of the bucket: all pairs of a word, or of a pair of words, are in one part."""
         v, w, doc, base = [], [], [], 0
         for first, which, second, n in rows:
-            first, second = unpacked(first), unpacked(second)
-            which = np.frombuffer(which, "<u2" if len(first) <= 65536 else "<u4")
+            first, second = unpacked(first), unpacked(second, width)
+            a = first[np.frombuffer(which, "<u2" if len(first) <= 65536 else "<u4")] if len(which) else first
             n = np.frombuffer(zlib.decompress(n), "<u4")
-            a = first[which]
             mine = (hot.deal(a, second) >> np.uint64(40)) % np.uint64(PARTS) == part
             v.append(a[mine])
             w.append(second[mine])
@@ -280,33 +294,36 @@ def _score_bucket(hot: Hot, total: int, least: int, rest_buckets: int):
             v, w, doc = part_of(rows, part)
             if not len(v):
                 continue
-            pair = spread(v, w)
-            order = np.argsort(pair, kind="stable")
-            start = np.flatnonzero(np.r_[True, pair[order][1:] != pair[order][:-1]])
-            size = np.diff(np.r_[start, len(pair)])
-            n_pair = np.empty(len(pair), np.int64)
-            n_pair[order] = np.repeat(size, size)
-            _, at, n = np.unique(v, return_inverse=True, return_counts=True)
-            hot_v, log_v = hot.word(v)
-            log_first = np.where(hot_v, log_v, np.log(n[at]))
-            real = w != END
-            there = real & (v != END) & (n_pair >= least)
-            score = np.where(there, np.log(n_pair) - log_first, 0.0)
-            off = real & ~there
-            score += np.where(off, np.where(v == END, 0.0, np.log(ALPHA)) - np.log(max(1, total)), 0.0)
-            hot_w, log_w = hot.word(w)
+            gram = spread(v, w)
+            by = np.argsort(gram, kind="stable")
+            start = np.flatnonzero(np.r_[True, gram[by][1:] != gram[by][:-1]])
+            size = np.diff(np.r_[start, len(gram)])
+            n_gram = np.empty(len(gram), np.int64)
+            n_gram[by] = np.repeat(size, size)
+            _, at = np.unique(v, return_inverse=True)
+            n_context = np.bincount(at, (w != BEGIN) & (w != SINGLE))[at]
+            hot_v, log_v = hot.find("context", v)
+            log_first = np.where(hot_v, log_v, np.log(np.maximum(1, n_context)))
+            log_total = np.log(max(1, total))
+            real, begins, alone = w >= FIRST_WORD, w == BEGIN, w == SINGLE
+            there = real & (n_gram >= least)
+            score = np.where(there, np.log(n_gram) - log_first, np.where(begins, log_first - log_total, 0.0))
+            off = (real & ~there) | alone
+            word = np.where(alone, v, w)
+            score += np.where(off, np.where(alone, 0.0, np.log(ALPHA)) - log_total, 0.0)
+            hot_w, log_w = hot.find("word", word)
             score += np.where(off & hot_w, log_w, 0.0)
             left = off & ~hot_w
             sums += np.bincount(doc, score, m)
-            seens += np.bincount(doc[real & (v != END) & (n_pair > 1)], minlength=m)
-            left_w.append(w[left])
+            seens += np.bincount(doc[(real & (n_gram > 1)) | (begins & (n_context > 1) & (order > 2))], minlength=m)
+            left_w.append(word[left])
             left_d.append(doc[left])
         out = [(-1, batch[k], None, None, ascending(docs[k]), sums[a:b].tobytes(), zlib.compress(seens[a:b].astype("<u4").tobytes(), 1), None) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))]
         word, of = np.concatenate(left_w), np.concatenate(left_d)
         block = np.searchsorted(bounds, of, "right") - 1
         bucket = (spread(word) % np.uint64(rest_buckets)).astype(np.int64)
-        order = np.lexsort((of, bucket, block))
-        word, of, block, bucket = word[order], of[order], block[order], bucket[order]
+        by = np.lexsort((of, bucket, block))
+        word, of, block, bucket = word[by], of[by], block[by], bucket[by]
         cut = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1]), True]) if len(word) else []
         for a, b in zip(cut[:-1], cut[1:]):
             k = int(block[a])
@@ -319,7 +336,7 @@ def _score_bucket(hot: Hot, total: int, least: int, rest_buckets: int):
 
 def _look_up(asked: pa.Table, known: pa.Table) -> pa.Table:
     """The words of a bucket that are left, met with their counts."""
-    word, n = known.column("word").to_numpy().astype(np.uint64), known.column("n").to_numpy()
+    word, n = known.column("key").to_numpy().view(np.uint64), known.column("n").to_numpy()
     order = np.argsort(word)
     word, n = word[order], n[order]
     out = []
@@ -347,41 +364,42 @@ def _documents(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([ids, words, pa.array(seen), pa.array(score)], names=[x.split()[0] for x in SCORE.split(", ")])
 
 
-def lm_scores(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``doc_id``, ``n_words``, ``n_seen`` (pairs that the corpus has twice or more), ``log_score`` (natural, summed over the words) of every document."""
-    spark = docs.sparkSession
+def lm_scores(docs: DataFrame, order: int = ORDER, least: int = LEAST) -> DataFrame:
+    """``doc_id``, ``n_words``, ``n_seen`` (n-grams of two words or more that the corpus has twice or more), ``log_score`` (natural, summed over the words) of every document."""
+    if order not in (2, 3) or (order == 3 and least > 1):
+        raise ValueError("n-grams are pairs or triples, and only pairs can be left out of the table")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = written(unigrams(text), "lm-words")
+    words = written(counts(text, lambda h: h), "lm-words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # No more than total / most words, and as many pairs, can be hot: 16384, or half a million in a corpus of 26,000 billion words.
+    # No more than total / most words, and as many contexts and n-grams, can be hot: 16384, or half a million in a corpus of 26,000 billion words.
     most = min(total / HOT_SHARE, HOT_MOST)
-    found = words.where(F.col("n") > most).toArrow()
-    hot = Hot(found.column("word").to_numpy().astype(np.uint64), found.column("n").to_numpy())
-    if len(hot.words):
-        pairs = pairs_of(text, hot).where((F.col("n") > most) & (F.col("n") >= least)).toArrow()
-        hot.with_pairs(pairs.column("pair").to_numpy().view(np.uint64), pairs.column("n").to_numpy())
-    # A bucket of words to look up has as many of them as one of pairs at most: there are no more than pairs.
+    hot = hot_of(text, words, most, order, least)
+    # A bucket of words to look up has as many of them as one of n-grams at most: there are no more than n-grams.
     buckets = rest_buckets = max(64, -(-total // BUCKET))
-    blocks = text.mapInArrow(_blocks(buckets, hot, total), BLOCK)
-    first = written(blocks.groupBy("bucket").applyInArrow(_score_bucket(hot, total, least, rest_buckets), PARTIAL), "lm-partial")
+    width = SHORT if least == 1 else FULL
+    blocks = text.mapInArrow(_blocks(buckets, hot, total, order, width), BLOCK)
+    first = written(blocks.groupBy("bucket").applyInArrow(_score_bucket(hot, total, order, least, rest_buckets, width), PARTIAL), "lm-partial")
 
     # The bucket of a word, as numpy has it.
     @F.arrow_udf("long")
     def bucket_of(word: pa.Array) -> pa.Array:
-        return pa.array((spread(word.to_numpy(zero_copy_only=False).astype(np.uint64)) % np.uint64(rest_buckets)).astype(np.int64))
+        return pa.array((spread(word.to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(rest_buckets)).astype(np.int64))
 
-    table = words.where(F.col("n") <= most).select(bucket_of("word").alias("bucket"), "word", "n")
-    second = first.where("bucket >= 0").groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(_look_up, PARTIAL)
-    parts = first.where("bucket < 0").unionByName(second)
+    asked = first.where("bucket >= 0")
+    parts = first.where("bucket < 0")
+    if not asked.isEmpty():
+        table = words.where(F.col("n") <= most).select(bucket_of("key").alias("bucket"), "key", "n")
+        parts = parts.unionByName(asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(_look_up, PARTIAL))
     found = parts.groupBy("batch").applyInArrow(_documents, SCORE)
     return found.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("n_seen").alias("n_seen"), F.sum("log_score").alias("log_score"))
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, [w FOR w IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF w <> ''] AS ws FROM documents),
-t AS (SELECT doc_id, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
-one AS (SELECT w, count(*) AS n FROM t GROUP BY w), two AS (SELECT v, w, count(*) AS n FROM t WHERE v IS NOT NULL GROUP BY v, w),
-s AS (SELECT doc_id, two.n > 1 AS seen, CASE WHEN two.n IS NOT NULL THEN ln(two.n) - ln(c.n) ELSE CASE WHEN t.v IS NULL THEN 0 ELSE ln(CAST(0.4 AS DOUBLE)) END + ln(o.n) - ln((SELECT count(*) FROM t)) END AS x
-  FROM t JOIN one o ON o.w = t.w LEFT JOIN two ON two.v = t.v AND two.w = t.w LEFT JOIN one c ON c.w = t.v)
+t AS (SELECT doc_id, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v, CASE WHEN i > 2 THEN ws[i - 2] END AS u FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+one AS (SELECT w, count(*) AS n FROM t GROUP BY w), two AS (SELECT v, w, count(*) AS n FROM t WHERE v IS NOT NULL GROUP BY v, w), three AS (SELECT u, v, w, count(*) AS n FROM t WHERE u IS NOT NULL GROUP BY u, v, w),
+s AS (SELECT doc_id, coalesce(CASE WHEN t.u IS NOT NULL THEN three.n ELSE two.n END > 1, false) AS seen,
+    CASE WHEN t.v IS NULL THEN ln(o.n) - ln((SELECT count(*) FROM t)) WHEN t.u IS NULL THEN ln(two.n) - ln(c.n) ELSE ln(three.n) - ln(c2.n) END AS x
+  FROM t JOIN one o ON o.w = t.w LEFT JOIN one c ON c.w = t.v LEFT JOIN two ON two.v = t.v AND two.w = t.w LEFT JOIN two c2 ON c2.v = t.u AND c2.w = t.v LEFT JOIN three ON three.u = t.u AND three.v = t.v AND three.w = t.w)
 SELECT d.doc_id, count(s.x) AS n_words, count(*) FILTER (WHERE seen) AS n_seen, coalesce(round(sum(x), 6), 0.0) AS log_score FROM (SELECT DISTINCT doc_id FROM d) d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
 """
