@@ -121,8 +121,10 @@ def pigeonhole(radius: int, blocks: int) -> list[int]:
     return [sum(block[i] for i in some) for some in combinations(range(blocks), blocks - radius)]
 
 
-def _keyed(classes: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """A row for each bucket of each class: ``slot``, ``key``, ``fp``, ``rep``."""
+def _keyed(classes: DataFrame, radius: int, blocks: int, spare: int = 0) -> DataFrame:
+    """A row for each bucket of each class: ``slot``, ``key``, ``fp``, ``rep``, and ``more``, the last ``spare`` keys, if there are any."""
+    if "keys" in classes.columns and spare:
+        return classes.select(F.posexplode(F.slice("keys", F.lit(1), F.size("keys") - spare)).alias("slot", "key"), "fp", "rep", F.slice("keys", -spare, spare).alias("more"))
     if "keys" in classes.columns:
         return classes.select(F.posexplode("keys").alias("slot", "key"), "fp", "rep")
     word = F.conv(F.hex("fp"), 16, -10).cast("long")
@@ -194,9 +196,21 @@ def _forest(batches, width: int, radius: int):
         yield out
 
 
-def links(classes: DataFrame, width: int, radius: int, blocks: int = 5, part: int = PART) -> DataFrame:
-    """``a``, ``b``: links that connect all classes (``rep``, ``fp``, maybe ``keys``) within ``radius`` bits that share a bucket."""
-    return _bucket_links(_keyed(classes, radius, blocks), width, radius, part)
+def _split(keyed: DataFrame, part: int) -> DataFrame:
+    """Rows of buckets of over ``part`` rows in buckets by that key and one of ``more``; a common shingle brings many together that have nothing else alike."""
+    hot = written(keyed.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part).select("slot", "key", F.lit(True).alias("hot")), "common-keys")
+    if hot.isEmpty():
+        return keyed.drop("more")
+    marked = keyed.join(small(hot), ["slot", "key"], "left")
+    again = marked.where("hot").select("slot", "key", F.posexplode("more").alias("j", "other"), "fp", "rep")
+    again = again.select((F.col("slot") * 1000 + F.col("j") + 1000).alias("slot"), F.xxhash64("key", "other").alias("key"), "fp", "rep")
+    return marked.where("hot is null").select("slot", "key", "fp", "rep").unionByName(again)
+
+
+def links(classes: DataFrame, width: int, radius: int, blocks: int = 5, part: int = PART, spare: int = 0) -> DataFrame:
+    """``a``, ``b``: links that connect all classes (``rep``, ``fp``, maybe ``keys``) within ``radius`` bits that share a bucket; ``spare`` of the keys only split large buckets."""
+    keyed = _keyed(classes, radius, blocks, spare)
+    return _bucket_links(_split(keyed, part) if spare else keyed, width, radius, part)
 
 
 def _bucket_links(keyed: DataFrame, width: int, radius: int, part: int = PART) -> DataFrame:
@@ -239,8 +253,10 @@ def simhash_groups(docs: DataFrame, words: int = 3, width: int = 1, radius: int
 
 
 #: Distinct five-word shingles in 256 bits. Of them, documents of similarity 0.8 differ in about 39, with a deviation of 6; those of four
-#: and five shingles in 48. The radius only finds candidates, so it is wide; they share none of the keys once in 390,000 times.
-WIDE = {"words": 5, "width": 4, "keys": 8}
+#: and five shingles in 48. The radius only finds candidates, so it is wide; they share none of the first eight keys once in 390,000
+#: times, and of the other eight, which split buckets that are large, as seldom.
+WIDE = {"words": 5, "width": 4, "keys": 16}
+SPARE = 8
 RADIUS = 80
 #: The least similarity of near copies, as a fraction: 0.8.
 NEAR = (4, 5)
@@ -261,14 +277,14 @@ def near_duplicates(docs: DataFrame, part: int = SET_PART) -> DataFrame:
     classes = written(prints.groupBy("same").agg(F.min("doc_id").alias("rep"), *first), "near-classes")
     copies = prints.select("doc_id", "same").join(classes.select("same", "rep"), "same").where("doc_id <> rep")
     copies = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    roots = components(links(classes.where("rep is not null"), WIDE["width"], RADIUS), "near-candidates")
+    roots = components(links(classes.where("rep is not null"), WIDE["width"], RADIUS, part=2 * part, spare=SPARE), "near-candidates")
     members = written(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "near-members")
     large = written(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part).select("root", F.lit(True).alias("large")), "near-large")
     members = members.join(small(large), "root", "left").select(F.col("node").alias("rep"), "root", F.coalesce("large", F.lit(False)).alias("large"))
     members = written(members, "near-sized")
     again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(members.select(F.col("rep").alias("doc_id")), 1_000_000), "doc_id", "left_semi")
     sets = set_fingerprints(again, **WIDE, sets=True).withColumnRenamed("doc_id", "rep").join(small(members, 1_000_000), "rep")
-    buckets = F.when(F.col("large"), F.transform("keys", lambda k, i: F.struct(i.alias("slot"), k.alias("key")))).otherwise(F.array(F.struct(F.lit(-1).alias("slot"), F.col("root").alias("key"))))
+    buckets = F.when(F.col("large"), F.transform(F.slice("keys", 1, WIDE["keys"] - SPARE), lambda k, i: F.struct(i.alias("slot"), k.alias("key")))).otherwise(F.array(F.struct(F.lit(-1).alias("slot"), F.col("root").alias("key"))))
     sets = written(sets.withColumn("buckets", buckets).select("rep", "fp", "shingles", "buckets"), "near-sets")
     keyed = sets.select("rep", "fp", "shingles", F.explode("buckets").alias("at")).select("at.slot", "at.key", "fp", "rep", "shingles")
     near = _bucket_links(keyed, WIDE["width"], RADIUS, part)

@@ -50,25 +50,31 @@ def rows_of(docs):
 # --- 1 -----------------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("share", "least"), [(lm_score.HOT_SHARE, lm_score.LEAST), (300, 1), (300, 2), (1, 3)])
-def test_lm_scores(docs, monkeypatch, share, least):
+@pytest.mark.parametrize(("share", "order", "least"), [(lm_score.HOT_SHARE, lm_score.ORDER, lm_score.LEAST), (300, 3, 1), (40, 3, 1), (1, 3, 1), (300, 2, 1), (300, 2, 2), (1, 2, 3)])
+def test_lm_scores(docs, monkeypatch, share, order, least):
     monkeypatch.setattr(lm_score, "HOT_SHARE", share)
-    rows = [(i, words(lowered(t))) for i, t in rows_of(docs)]
-    one, two = Counter(), Counter()
+    rows = [(i, tuple(words(lowered(t)))) for i, t in rows_of(docs)]
+    n = Counter()
     for _, w in rows:
-        one.update(w)
-        two.update(zip(w, w[1:]))
-    total, expected = sum(one.values()), defaultdict(lambda: [0, 0, 0.0])
+        for k in range(1, order + 1):
+            n.update(w[i : i + k] for i in range(len(w) - k + 1))
+    total, expected = sum(v for k, v in n.items() if len(k) == 1), defaultdict(lambda: [0, 0, 0.0])
+
+    def score(context, x):
+        if not context:
+            return n[(x,)] / total
+        if n[*context, x] >= least:
+            return n[*context, x] / n[context]
+        return lm_score.ALPHA * score(context[1:], x)
+
     for i, w in rows:
         e = expected[i]
         for k, x in enumerate(w):
+            context = w[max(0, k - order + 1) : k]
             e[0] += 1
-            e[1] += k > 0 and two[w[k - 1], x] > 1
-            if k and two[w[k - 1], x] >= least:
-                e[2] += math.log(two[w[k - 1], x] / one[w[k - 1]])
-            else:
-                e[2] += (math.log(lm_score.ALPHA) if k else 0) + math.log(one[x] / total)
-    got = lm_score.lm_scores(docs, least).collect()
+            e[1] += k > 0 and n[*context, x] > 1
+            e[2] += math.log(score(context, x))
+    got = lm_score.lm_scores(docs, order, least).collect()
     assert {r.doc_id for r in got} == set(expected) and len(got) == len(expected)
     for r in got:
         assert (r.n_words, r.n_seen) == tuple(expected[r.doc_id][:2]) and r.log_score == pytest.approx(expected[r.doc_id][2], rel=1e-9, abs=1e-9)
@@ -77,6 +83,7 @@ def test_lm_scores(docs, monkeypatch, share, least):
 def test_packed_words():
     h = np.array([1, 2**56 - 1, 77], np.uint64)
     assert (lm_score.unpacked(lm_score.packed(h)) == h).all()
+    assert (lm_score.unpacked(lm_score.packed(h, 5), 5) == h % 2**40).all()
 
 
 # --- 2 -----------------------------------------------------------------------------------------------------------------------------
