@@ -1,9 +1,12 @@
 """The rest of the operators on small inputs."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 from test_golden import CONFIG, _pixels
 
+from canopygrid.config import TrainingConfig
 from canopygrid.functions import arrays
 from canopygrid.operators import grid, inference, labels, metrics, sampling, splits
 from canopygrid.plans import forest, tuning
@@ -120,3 +123,29 @@ def test_flips_count_twice_but_are_one_sample(spark):
     both = splits.flipped(samples)
     assert both.count() == 4 and both.select("sample_id").distinct().count() == 2
     assert splits.flipped(samples, "flip").where("flipped").count() == 2 and splits.flipped(samples, "none").where("flipped").isEmpty()
+
+
+def test_results_of_trials_as_records(spark):
+    from canopygrid.plans.queries import pixels
+
+    px = pixels(spark, "/root/testdata/sf0.001").where("image_id < 12")
+    train, test = px.where("image_id < 9"), px.where("image_id >= 9")
+    base = TrainingConfig(trees=1, samples_per_image=8, feature_count=8, thresholds=3, max_depth=2, box_radius=2, region_size=2)
+    result = tuning.evaluate(train, test, {"maxDepth": 2}, base, 4, [], runs=1) | {"trial_id": 0}
+    row = tuning.records(spark, [result]).first()
+    assert row.status == "ok" and row.losses == result["losses"] and len(row.confusion) == 4
+    assert all(sum(r) == pytest.approx(1) or sum(r) == 0 for r in row.confusion)
+    line = json.loads(tuning.as_json(tuning.records(spark, [result])).first().value)
+    assert line["confusion"] == row.confusion and line["params"] == {"maxDepth": 2.0}
+
+
+def test_trials_are_logged(spark, tmp_path):
+    from canopygrid.streaming import trials
+
+    folder = lambda name: str(tmp_path / name)
+    spark.createDataFrame([("a", 1, {"x": 2.0}), ("a", 2, {"x": 0.0})], trials.TRIAL).coalesce(1).write.json(folder("in"))
+    trials.watch(spark, folder("in"), folder("out"), folder("state"), lambda p: 1 / p["x"], once=True, log=folder("log")).awaitTermination()
+    log = spark.read.schema(trials.LOG).json(folder("log")).collect()
+    assert sorted((r.trial_id, r.event) for r in log) == [(1, "ok"), (1, "start"), (2, "fail"), (2, "start")]
+    assert next(r for r in log if r.event == "fail").message.startswith("ZeroDivisionError")
+    assert sorted((r.trial_id, r.status) for r in spark.read.schema(trials.RESULT).json(folder("out")).collect()) == [(1, "ok"), (2, "fail")]
