@@ -52,6 +52,14 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def remove(df: DataFrame) -> None:
+    """Delete the table that ``shared_table`` wrote for ``df``."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def image_packs(pixels: DataFrame) -> DataFrame:
     """Packed planes, with ``label`` if the pixels have one, and their integrals."""
     extra = ["label"] if "label" in pixels.columns else []
@@ -197,22 +205,27 @@ def score_counts(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _best_splits(counts: DataFrame, thresholds: int, classes: int) -> DataFrame:
     """The best threshold of each feature, then the best feature of each node, with both sides' histograms and the node's number of samples."""
 
+    kind = pa.struct([("score", pa.float64()), ("k", pa.int32()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))])
+
     @F.arrow_udf("struct<score: double, k: int, left: array<long>, right: array<long>>")
     def best(f: pa.Array, cells: pa.Array) -> pa.Array:
-        out = []
-        for feature, cell in zip(f.to_pylist(), cells.to_pylist()):
-            if feature < 0:
-                out.append(None)
-                continue
-            grid_ = np.zeros((thresholds + 1, classes), np.int64)
-            for c in cell:
-                grid_[c["bucket"], c["label"]] = c["n"]
-            left = np.cumsum(grid_, 0)[:-1]
-            right = grid_.sum(0) - left
+        real = f.to_numpy(zero_copy_only=False) >= 0
+        step, out = max(1, CELLS // ((thresholds + 1) * classes)), []
+        for a in range(0, len(cells), step):
+            part = cells.slice(a, step)
+            flat = pa.Table.from_struct_array(part.flatten())
+            bucket, label, n = (flat[c].to_numpy() for c in ("bucket", "label", "n"))
+            row = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy(zero_copy_only=False))
+            grid_ = np.zeros((len(part), thresholds + 1, classes), np.int64)
+            grid_[row, bucket, label] = n
+            left = np.cumsum(grid_, 1)[:, :-1]
+            right = grid_.sum(1)[:, None] - left
             score = np.round(score_counts(left, right), 12)
-            k = int(np.argmax(score))
-            out.append({"score": float(score[k]), "k": k, "left": left[k].tolist(), "right": right[k].tolist()})
-        return pa.array(out, pa.struct([("score", pa.float64()), ("k", pa.int32()), ("left", pa.list_(pa.int64())), ("right", pa.list_(pa.int64()))]))
+            k = np.argmax(score, 1)
+            at = np.arange(len(part))
+            lists = [pa.array(list(side[at, k]), pa.list_(pa.int64())) for side in (left, right)]
+            out.append(pa.StructArray.from_arrays([pa.array(score[at, k]), pa.array(k.astype(np.int32)), *lists], fields=list(kind), mask=pa.array(~real[a : a + step])))
+        return pa.concat_arrays(out) if out else pa.array([], kind)
 
     rows = counts.groupBy("tree", "node", "f").agg(F.collect_list(F.struct("bucket", "label", "n")).alias("cells"), F.sum("n").alias("n"))
     scored = rows.select("tree", "node", "f", "n", best("f", "cells").alias("b"))
@@ -299,6 +312,8 @@ class RandomForestLabeler:
             self._check_samples(samples, min(images, self.config.max_images or images))
         table = shared_table(training_table(image_packs(pixels), samples), "training")
         self.nodes = grow(table, self.config, self.classes)
+        for done in (pixels, samples, table):
+            remove(done)
         return self
 
     def _check_samples(self, samples: DataFrame, images: int) -> None:
