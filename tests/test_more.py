@@ -56,7 +56,7 @@ def test_padding(spark):
 
 def test_padded_cells_make_features_missing(spark):
     pixels = grid.padded(_pixels(spark, 1, 3), 5, 4, 7).withColumns({c: F.coalesce(c, F.lit(float("nan")).cast("float")) for c in ("c0", "c1", "c2")})
-    model = forest.RandomForestLabeler(CONFIG.with_(trees=1, max_depth=3)).fit(pixels, 8)
+    model = forest.RandomForestLabeler(CONFIG.with_(trees=1, max_depth=3, samples_per_image=7), [7]).fit(pixels, 8)
     assert model.predict(pixels).count() == 20
 
 
