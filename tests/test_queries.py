@@ -19,9 +19,9 @@ def test_has_rows(spark, name):
 
 
 def test_search_stops_a_hopeless_trial(spark):
-    good, bad, again = sorted(QUERIES["hyper_search"](spark, FOLDER).collect())
+    good, bad = sorted(QUERIES["hyper_search"](spark, FOLDER).collect())
     assert (good.status, good.runs, bad.status) == ("ok", 5, "stopped") and bad.runs < 5 and bad.true_loss is None
-    assert good.true_loss is not None and good.loss < bad.loss and again.runs <= 5
+    assert good.true_loss is not None and good.loss < bad.loss
 
 
 def test_entry(spark):
