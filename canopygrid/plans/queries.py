@@ -784,14 +784,12 @@ def pixel_histograms(spark, d):
 def model_round_trip(spark, d):
     """Five trees written as nested files and read again, node by node."""
     folder = forest.shared_path(spark, "model")
-    nodes = [r.asDict(recursive=True) for r in heaps(spark, d).collect()]
-    model_json.write_forest(spark, folder, nodes, LEVEL.with_(trees=5, samples_per_image=10), [3, 4], {0: "0,0,0", 1: "1,2,3"})
-    again = forest.RandomForestLabeler(LEVEL)
-    again.nodes, config, priors, colors = model_json.read_forest(spark, folder)
+    model_json.write_forest(spark, folder, heaps(spark, d), LEVEL.with_(trees=5, samples_per_image=10), [3, 4], {0: "0,0,0", 1: "1,2,3"})
+    again, config, priors, colors = model_json.read_nodes(spark, folder)
     if config.trees != 5 or priors != [3, 4] or colors != {0: "0,0,0", 1: "1,2,3"}:
         raise ValueError("the settings, priors or colours of a forest came back changed")
     one = lambda c: F.col(f"feature.{c}").alias(c)
-    return again.node_table(spark).select("tree_id", "node_id", "level", "parent_id", "is_leaf", "left_id", "right_id", "n_samples", *[F.get("histogram", F.lit(k)).alias(f"h{k}") for k in range(2)], one("type"), one("o1x"), one("ch2"), F.col("threshold").cast("double").alias("threshold"), "score")
+    return again.select("tree_id", "node_id", "level", "parent_id", "is_leaf", "left_id", "right_id", "n_samples", *[F.get("histogram", F.lit(k)).alias(f"h{k}") for k in range(2)], one("type"), one("o1x"), one("ch2"), "threshold", "score")
 
 
 @query("image_round_trip", f"WITH {PIX} SELECT image_id, x, y, depth, CAST(abs(c0) % 256 AS BIGINT) AS red FROM pix")

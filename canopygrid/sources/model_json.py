@@ -1,19 +1,34 @@
-"""Trees as nested JSON files, gzip or plain, one for each tree of a forest."""
+"""Trees as nested JSON files, gzip or plain, one for each tree of a forest.
+
+No process holds a tree. A node's line follows from its path: what opens it, and what closes after it; the lines of a tree are sorted by
+path as they are written. A file is read piece by piece, with no more at once than a node for each level.
+"""
 
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import platform
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from canopygrid import schema
 from canopygrid.config import TrainingConfig
 
 VERSION = "1"
 _KEY = re.compile(r"^(\d+),(\d+),(\d+) \((\d+)\)$")
+#: Nodes as they are in a file: thresholds are as precise as their text.
+NODE = schema.TREE_NODE.replace("threshold float", "threshold double")
+#: Characters that are read at once, and nodes that are handed on at once.
+PIECE, BATCH = 1 << 16, 4096
+_BLANK, _DECODER = re.compile(r"[ \t\n\r]*"), json.JSONDecoder()
 #: Settings in a file by their keys there, where these aren't the name in camel case.
 KEYS = {"thresholds": "thresholds", "device_ids": "deviceIds", "ignored_colors": "ignoredColors", "use_cielab": "useCIELab"}
 
@@ -23,11 +38,6 @@ def camel(name: str) -> str:
     return KEYS.get(name) or head + "".join(x.capitalize() for x in rest)
 
 
-def feature_json(f: dict) -> dict:
-    out = {"type": f["type"]} | ({"channel1": f["ch1"], "channel2": f["ch2"]} if f["type"] == "color" else {})
-    return out | {"offset1": [f["o1x"], f["o1y"]], "region1": [f["r1x"], f["r1y"]], "offset2": [f["o2x"], f["o2y"]], "region2": [f["r2x"], f["r2y"]]}
-
-
 def pair(value: list) -> tuple[int, int]:
     if len(value) != 2:
         raise ValueError(f"{value} has not two entries")
@@ -46,35 +56,179 @@ def feature_of(split: dict) -> dict:
     return out
 
 
-def node_json(node: dict, children: dict[int, dict], colors: dict[int, str], per_image: dict | None = None) -> dict:
-    hist = {f"{colors.get(i, '0,0,0')} ({i})": n for i, n in enumerate(node["histogram"]) if n}
-    out = {"id": node["node_id"], "level": node["level"], "samples": node["n_samples"], "leaf": node["is_leaf"], "histogram": hist}
-    if per_image is not None:
-        out["countsPerImage"] = per_image.get(node["node_id"], {})
-    if not node["is_leaf"]:
-        out["split"] = {"threshold": node["threshold"], "score": node["score"], "featureId": node["feature"]["feature_id"], "feature": feature_json(node["feature"])}
-        out["left"], out["right"] = (node_json(children[node[k]], children, colors, per_image) for k in ("left_id", "right_id"))
-    return out
+def node_text(colors: dict[int, str], more: list[Column] = ()) -> Column:
+    """A node as JSON, without its children."""
+    names = F.array(*[F.lit(colors.get(i, "0,0,0")) for i in range(max(colors, default=0) + 1)])
+    entry = lambda n, i: F.struct(F.concat(F.coalesce(F.get(names, i), F.lit("0,0,0")), F.lit(" ("), i.cast("string"), F.lit(")")).alias("key"), n.alias("value"))
+    hist = F.map_from_entries(F.filter(F.transform("histogram", entry), lambda e: e["value"] != 0))
+    f = lambda c: F.col(f"feature.{c}")
+    channels = [F.when(f("type") == "color", f(f"ch{k}")).alias(f"channel{k}") for k in "12"]
+    places = [F.array(f(f"{c}{k}x"), f(f"{c}{k}y")).alias(f"{name}{k}") for k in "12" for c, name in (("o", "offset"), ("r", "region"))]
+    split = F.struct(F.col("threshold").cast("double").alias("threshold"), F.col("score").cast("double").alias("score"), f("feature_id").alias("featureId"), F.struct(f("type").alias("type"), *channels, *places).alias("feature"))
+    node = F.struct(F.col("node_id").alias("id"), "level", F.col("n_samples").alias("samples"), F.col("is_leaf").alias("leaf"), hist.alias("histogram"), *more, F.when(~F.col("is_leaf"), split).alias("split"))
+    return F.to_json(node, {"ignoreNullFields": "true"})
 
 
-def tree_json(nodes: list[dict], config: TrainingConfig, priors: list[int], colors: dict[int, str], date: str = "", per_image: dict | None = None) -> dict:
-    """Header and nested nodes of one tree; ``nodes`` are its rows of ``tree_node``."""
-    by_id = {n["node_id"]: n for n in nodes}
+def header_json(config: TrainingConfig, priors: list[int], colors: dict[int, str], date: str = "") -> dict:
+    """What a file says before its tree."""
     head = {camel(k): list(v) if isinstance(v, tuple) else v for k, v in config.to_dict().items()}
     host = {"hostname": platform.node(), "buildType": "release", "version": VERSION, "date": date, "processorModels": [platform.processor() or platform.machine()]}
-    return host | head | {"labelColors": {str(k): v for k, v in sorted(colors.items())}, "classLabelPriorDistribution": {str(i): n for i, n in enumerate(priors)}, "tree": node_json(by_id[min(by_id)], by_id, colors, per_image)}
+    return host | head | {"labelColors": {str(k): v for k, v in sorted(colors.items())}, "classLabelPriorDistribution": {str(i): n for i, n in enumerate(priors)}}
+
+
+def node_paths(nodes: DataFrame) -> DataFrame:
+    """``tree_id``, ``node_id``, ``path`` of every node below its tree's first: 0 for each step to the left, 1 to the right.
+
+    A round joins each piece of a path with the piece above it, so pieces double: rounds grow with the logarithm of the depth.
+    """
+    from canopygrid.plans.forest import remove, shared_table
+
+    tops = nodes.groupBy("tree_id").agg(F.min("node_id").alias("top"))
+    child = lambda c, side: F.struct(F.col(c).alias("node_id"), F.lit(side).alias("path"))
+    steps = nodes.where(~F.col("is_leaf")).select("tree_id", F.col("node_id").alias("up"), F.explode(F.array(child("left_id", "0"), child("right_id", "1"))).alias("c"))
+    steps = shared_table(steps.select("tree_id", "c.node_id", "up", "c.path").join(F.broadcast(tops), "tree_id"), "paths")
+    length, most = 1, nodes.count()
+    while not (open_ := steps.where("up <> top")).isEmpty():
+        if length > most:
+            raise ValueError("the nodes of a tree go in circles")
+        above = steps.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("over"), F.col("path").alias("before"))
+        longer = open_.join(above, ["tree_id", "up"]).select("tree_id", "node_id", F.col("over").alias("up"), F.concat("before", "path").alias("path"), "top")
+        done, steps = steps, shared_table(steps.where("up = top").unionByName(longer), "paths")
+        remove(done)
+        length *= 2
+    return steps.select("tree_id", "node_id", "path").unionByName(tops.select("tree_id", F.col("top").alias("node_id"), F.lit("").alias("path")))
+
+
+def write_forest(spark: SparkSession, folder: str, nodes: DataFrame | list[dict], config: TrainingConfig, priors: list[int], colors: dict[int, str], date: str = "") -> None:
+    """``tree<n>`` folders of a gzip JSON file each, a line for each node, through Spark's writer, so to any store that it reaches.
+
+    ``nodes`` are rows of ``tree_node``, of any number, and may have ``counts_per_image``, a map; a tree's first node has its least id.
+    """
+    from canopygrid.plans.forest import remove, shared_table
+
+    names = StructType.fromDDL(NODE).names
+    counted = ["counts_per_image"] if isinstance(nodes, DataFrame) and "counts_per_image" in nodes.columns else []
+    if not isinstance(nodes, DataFrame):
+        nodes = spark.createDataFrame([tuple(n[c] for c in names) for n in nodes], NODE)
+    nodes = shared_table(nodes.select(*names, *counted), "nodes")
+    path, leaf = F.col("path"), F.col("is_leaf")
+    opening = F.when(path == "", json.dumps(header_json(config, priors, colors, date), sort_keys=True)[:-1] + ', "tree": ').when(path.endswith("0"), ', "left": ').otherwise(', "right": ')
+    # A leaf ends the nodes whose right ends it is, and the file with the last one.
+    closing = F.concat(F.repeat(F.lit("}"), F.length(F.regexp_extract("path", "1*$", 0))), F.when(path.rlike("^1*$"), "}").otherwise(""))
+    body = node_text(colors, [F.col(c).alias("countsPerImage") for c in counted])
+    text = F.concat(opening, F.when(leaf, F.concat(body, closing)).otherwise(F.expr("substring(body, 1, length(body) - 1)")))
+    lines = shared_table(nodes.join(node_paths(nodes), ["tree_id", "node_id"]).withColumn("body", body).select("tree_id", "path", "is_leaf", text.alias("value")), "lines")
+    trees = lines.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~leaf).alias("inner")).orderBy("tree_id").collect()
+    if broken := [r.tree_id for r in trees if r.n != 2 * r.inner + 1]:
+        raise ValueError(f"trees {broken} lack children of their nodes")
+    for r in trees:
+        lines.where(F.col("tree_id") == r.tree_id).coalesce(1).sortWithinPartitions("path").select("value").write.mode("overwrite").option("compression", "gzip").text(f"{folder}/tree{r.tree_id}.json")
+    for done in (nodes, lines):
+        remove(done)
+
+
+class _Pieces:
+    """A JSON text, gzip or plain, read piece by piece; no more than one value is held."""
+
+    def __init__(self, data: bytes):
+        raw = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
+        self.stream, self.text, self.at = io.TextIOWrapper(raw, json.detect_encoding(raw.peek(4)[:4])), "", 0
+
+    def more(self) -> bool:
+        piece = self.stream.read(PIECE)
+        self.text, self.at = self.text[self.at :] + piece, 0
+        return bool(piece)
+
+    def next(self) -> str:
+        """The next character that isn't blank; it is not taken."""
+        while True:
+            self.at = _BLANK.match(self.text, self.at).end()
+            if self.at < len(self.text):
+                return self.text[self.at]
+            if not self.more():
+                raise ValueError("a file ends within its tree")
 
+    def take(self, c: str) -> None:
+        if self.next() != c:
+            raise ValueError(f"{c} was expected, not {self.text[self.at]}")
+        self.at += 1
 
-def write_forest(spark: SparkSession, folder: str, nodes: list[dict], config: TrainingConfig, priors: list[int], colors: dict[int, str], date: str = "") -> None:
-    """``tree<n>`` folders of gzip JSON, a line each, through Spark's writer, so to any store that it reaches. A forest is bounded by its settings."""
-    trees = sorted({n["tree_id"] for n in nodes})
-    rows = [(json.dumps(tree_json([n for n in nodes if n["tree_id"] == t], config, priors, colors, date), sort_keys=True),) for t in trees]
-    for t, row in zip(trees, rows):
-        spark.createDataFrame([row], "value string").coalesce(1).write.mode("overwrite").option("compression", "gzip").text(f"{folder}/tree{t}.json")
+    def value(self):
+        self.next()
+        while True:
+            start = self.at
+            try:
+                found, end = _DECODER.raw_decode(self.text, self.at)
+            except json.JSONDecodeError:
+                if not self.more():
+                    raise
+                continue
+            # A number may go on in the next piece.
+            if end < len(self.text):
+                self.at = end
+                return found
+            if not self.more():
+                self.at = end - start
+                return found
 
+    def keys(self) -> Iterator[str]:
+        """The keys of an object; who asks for the next one has read the value."""
+        self.take("{")
+        while self.next() != "}":
+            key = self.value()
+            self.take(":")
+            yield key
+            if self.next() != ",":
+                break
+            self.at += 1
+        self.take("}")
 
-def read_text(data: bytes) -> dict:
-    return json.loads(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+
+def walked(text: _Pieces) -> Iterator[tuple[dict, int | None]]:
+    """Nodes of a nested tree without their children, whose ids they have in ``left`` and ``right``, and their parents' ids; children first."""
+    stack: list[tuple] = [(text.keys(), {}, [], None)]
+    while stack:
+        keys, node, waiting, side = stack[-1]
+        key = next(keys, None)
+        if key in ("left", "right") and text.next() == "{":
+            stack.append((text.keys(), {}, [], key))
+        elif key is not None:
+            node[key] = text.value()
+        else:
+            stack.pop()
+            # Children whose parent's id came after them.
+            yield from ((child, node["id"]) for child in waiting)
+            if not stack:
+                yield node, None
+                continue
+            _, parent, held, _ = stack[-1]
+            parent[side] = node["id"]
+            if "id" in parent:
+                yield node, parent["id"]
+            else:
+                held.append(node)
+
+
+def node_row(node: dict, tree_id: int, parent: int | None, classes: int, colors: dict[int, str]) -> dict:
+    """A row of ``tree_node``, its children's ids left out; the colours of its labels go to ``colors``."""
+    hist = [0] * classes
+    seen = set()
+    for key, n in node["histogram"].items():
+        m = _KEY.match(key)
+        if not m:
+            raise ValueError(f"illegal key of a histogram: {key!r}")
+        label = int(m[4])
+        if label in seen or label >= classes:
+            raise ValueError(f"label {label} of a histogram is there twice, or not a class")
+        seen.add(label)
+        hist[label] = int(n)
+        colors[label] = f"{m[1]},{m[2]},{m[3]}"
+    if sum(hist) < node["samples"]:
+        raise ValueError(f"node {node['id']} has fewer counts than samples")
+    row = {"tree_id": tree_id, "node_id": node["id"], "level": node["level"], "parent_id": parent, "left_id": None, "right_id": None, "is_leaf": bool(node["leaf"]), "n_samples": node["samples"], "histogram": hist, "feature": None, "threshold": None, "score": None}
+    if not row["is_leaf"]:
+        row |= {"feature": feature_of(node["split"]), "threshold": float(node["split"]["threshold"]), "score": float(node["split"]["score"])}
+    return row
 
 
 def flat_nodes(tree: dict, tree_id: int, classes: int) -> tuple[list[dict], dict[int, str]]:
@@ -82,24 +236,9 @@ def flat_nodes(tree: dict, tree_id: int, classes: int) -> tuple[list[dict], dict
     rows, colors = [], {}
 
     def visit(node: dict, parent: int | None) -> int:
-        hist = [0] * classes
-        seen = set()
-        for key, n in node["histogram"].items():
-            m = _KEY.match(key)
-            if not m:
-                raise ValueError(f"illegal key of a histogram: {key!r}")
-            label = int(m[4])
-            if label in seen or label >= classes:
-                raise ValueError(f"label {label} of a histogram is there twice, or not a class")
-            seen.add(label)
-            hist[label] = int(n)
-            colors[label] = f"{m[1]},{m[2]},{m[3]}"
-        if sum(hist) < node["samples"]:
-            raise ValueError(f"node {node['id']} has fewer counts than samples")
-        row = {"tree_id": tree_id, "node_id": node["id"], "level": node["level"], "parent_id": parent, "left_id": None, "right_id": None, "is_leaf": bool(node["leaf"]), "n_samples": node["samples"], "histogram": hist, "feature": None, "threshold": None, "score": None}
+        row = node_row(node, tree_id, parent, classes, colors)
         rows.append(row)
         if not row["is_leaf"]:
-            row |= {"feature": feature_of(node["split"]), "threshold": float(node["split"]["threshold"]), "score": float(node["split"]["score"])}
             row["left_id"], row["right_id"] = (visit(node[k], node["id"]) for k in ("left", "right"))
         return node["id"]
 
@@ -107,6 +246,35 @@ def flat_nodes(tree: dict, tree_id: int, classes: int) -> tuple[list[dict], dict
     return sorted(rows, key=lambda r: r["node_id"]), colors
 
 
+def priors_of(header: dict) -> list[int]:
+    said = {int(k): int(v) for k, v in header["classLabelPriorDistribution"].items()}
+    return [said.get(i, 0) for i in range(max(said) + 1)]
+
+
+def file_rows(data: bytes, tree_id: int, classes: int | None = None) -> Iterator[dict]:
+    """Rows of ``tree_node`` of a file, and last its ``header`` and the ``colors`` of its histograms."""
+    text, header, colors, known = _Pieces(data), {}, {}, classes
+    for key in text.keys():
+        if key != "tree":
+            header[key] = text.value()
+            continue
+        if known is None and "classLabelPriorDistribution" in header:
+            known = len(priors_of(header))
+        for node, parent in walked(text):
+            if known is None:
+                continue
+            row = node_row(node, tree_id, parent, known, colors)
+            below = {f"{k}_id": node.get(k) for k in ("left", "right")}
+            if list(below.values()).count(None) != (2 if row["is_leaf"] else 0):
+                raise ValueError(f"node {node['id']} is a leaf with children, or lacks one")
+            yield row | below
+    if known is None:
+        # The classes come after the tree: it is read once more.
+        yield from file_rows(data, tree_id, len(priors_of(header)))
+        return
+    yield {"header": header, "colors": colors}
+
+
 def config_of(header: dict) -> TrainingConfig:
     """Settings of a file; missing keys get their defaults, but a file without a type of subsampling was pixel-uniform."""
     names = {camel(k): k for k in TrainingConfig().to_dict()}
@@ -116,27 +284,66 @@ def config_of(header: dict) -> TrainingConfig:
     return TrainingConfig.from_dict({"subsampling_type": "pixelUniform"} | values)
 
 
-def read_forest(spark: SparkSession, folder: str) -> tuple[list[dict], TrainingConfig, list[int], dict[int, str]]:
-    """All trees below a folder: nodes, settings, priors, colours. Settings may only differ in what doesn't shape a tree, classes not at all."""
-    files = sorted(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("path").rlike(r"tree[0-9]+\.json")).select("path", "content").collect(), key=lambda r: (int(re.search(r"tree(\d+)\.json", r.path)[1]), r.path))
-    if not files:
+def read_nodes(spark: SparkSession, folder: str) -> tuple[DataFrame, TrainingConfig, list[int], dict[int, str]]:
+    """All trees below a folder: nodes, settings, priors, colours. Settings may only differ in what doesn't shape a tree, classes not at all.
+
+    A task reads a file, compressed as it is, and what it hands on are rows; only headers come to the driver.
+    """
+    from canopygrid.plans.forest import shared_table
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("path").rlike(r"tree[0-9]+\.json"))
+    order = sorted((r.path for r in files.select("path").collect()), key=lambda p: (int(re.search(r"tree(\d+)\.json", p)[1]), p))
+    if not order:
         raise ValueError(f"no tree below {folder}")
-    nodes, config, priors, colors = [], None, None, {}
-    for t, f in enumerate(files):
-        header = read_text(f.content)
-        mine, said = config_of(header), {int(k): int(v) for k, v in header["classLabelPriorDistribution"].items()}
-        dist = [said.get(i, 0) for i in range(max(said) + 1)]
+    number = {p: t for t, p in enumerate(order)}
+    columns = f"{NODE}, said string"
+    kinds = to_arrow_schema(StructType.fromDDL(columns))
+
+    def rows_of(path: str, data: bytes) -> Iterator[dict]:
+        said = {"tree": number[path], "header": None, "colors": {}, "error": None}
+        try:
+            for row in file_rows(data, number[path]):
+                if "header" in row:
+                    said |= row
+                else:
+                    yield row
+        except (ValueError, KeyError, EOFError, OSError) as e:
+            said["error"] = f"{path}: {type(e).__name__} {e}"
+        yield {"said": json.dumps(said)}
+
+    def run(batches):
+        for batch in batches:
+            for path, data in zip(batch["path"], batch["content"]):
+                some = []
+                for row in rows_of(path.as_py(), data.as_py()):
+                    some.append(row)
+                    if len(some) == BATCH:
+                        yield pa.RecordBatch.from_pylist(some, kinds)
+                        some = []
+                yield pa.RecordBatch.from_pylist(some, kinds)
+
+    rows = shared_table(files.select("path", "content").mapInArrow(run, columns), "nodes")
+    config, priors, colors = None, None, {}
+    for said in sorted((json.loads(r.said) for r in rows.where("said IS NOT NULL").select("said").collect()), key=lambda s: s["tree"]):
+        if said["error"]:
+            raise ValueError(said["error"])
+        header, path = said["header"], order[said["tree"]]
+        mine, dist = config_of(header), priors_of(header)
         if config is not None and (not config.equals(mine, strict=False) or len(dist) != len(priors)):
-            raise ValueError(f"{f.path} is of another forest")
+            raise ValueError(f"{path} is of another forest")
         config, priors = config or mine, priors or dist
-        rows, found = flat_nodes(header["tree"], t, len(dist))
-        nodes += rows
         # Files of others name a label's colour only where a histogram has it.
-        found |= {int(k): v for k, v in header.get("labelColors", {}).items()}
+        found = {int(k): v for k, v in (said["colors"] | header.get("labelColors", {})).items()}
         if any(colors.get(k, v) != v for k, v in found.items()):
-            raise ValueError(f"{f.path} has other colours for its labels")
+            raise ValueError(f"{path} has other colours for its labels")
         colors |= found
-    return nodes, config, priors, colors
+    return rows.where("said IS NULL").drop("said"), config, priors, colors
+
+
+def read_forest(spark: SparkSession, folder: str) -> tuple[list[dict], TrainingConfig, list[int], dict[int, str]]:
+    """``read_nodes`` with the nodes as a list, for a forest that its settings bound."""
+    nodes, *said = read_nodes(spark, folder)
+    return [r.asDict(recursive=True) for r in nodes.orderBy("tree_id", "node_id").collect()], *said
 
 
 def prior_rows(spark: SparkSession, priors: list[int]) -> DataFrame:

@@ -1,5 +1,7 @@
 """Small inputs with known results."""
 
+import gzip
+import json
 import math
 
 import numpy as np
@@ -331,6 +333,34 @@ def test_model_files(spark, tmp_path):
     assert model_json.config_of({}).subsampling_type == "pixelUniform"
 
 
+def test_no_process_holds_a_tree(spark, tmp_path, monkeypatch):
+    """A tree deeper than Python may recurse, and one with all node ids at its end, in pieces of a few characters, whatever order keys have."""
+    deep, wide = 1500, 7
+    feature = {"feature_id": 1, "type": "depth", **{c: k for k, c in enumerate(("o1x", "o1y", "r1x", "r1y", "o2x", "o2y", "r2x", "r2y"))}, "ch1": 0, "ch2": 0}
+    node = lambda t, i, level, up, left: {"tree_id": t, "node_id": i, "level": level, "parent_id": up, "left_id": left, "right_id": left and left + 1, "is_leaf": left is None, "n_samples": i, "histogram": [i, 1], "feature": left and feature, "threshold": left and i / 3, "score": left and 1e-7}
+    chain = [node(0, i, (i + 1) // 2 + 1, (i - 1) // 2 * 2 if i else None, i + 1 if i % 2 == 0 and i < 2 * deep else None) for i in range(2 * deep + 1)]
+    heap = [node(1, i, (i + 1).bit_length(), (i - 1) // 2 if i else None, 2 * i + 1 if i < wide // 2 else None) for i in range(wide)]
+    table = spark.createDataFrame([tuple(n.values()) for n in chain + heap], model_json.NODE).repartition(3)
+    monkeypatch.setattr(type(table), "collect", lambda self, f=type(table).collect: f(self) if "node_id" not in self.columns else pytest.fail("nodes on the driver"))
+    model_json.write_forest(spark, str(tmp_path / "m"), table, CONFIG.with_(trees=2), [3, 4], {0: "0,0,0", 1: "9,9,9"})
+    monkeypatch.setattr(model_json, "PIECE", 5)
+    nodes, config, priors, colors = model_json.read_nodes(spark, str(tmp_path / "m"))
+    assert (config.trees, priors, colors) == (2, [3, 4], {0: "0,0,0", 1: "9,9,9"})
+    assert nodes.count() == len(chain + heap) and nodes.exceptAll(table).isEmpty()
+    # The file is one JSON text, and means the same with its keys in any order, the classes after the tree.
+    text = gzip.decompress(next((tmp_path / "m" / "tree1.json").glob("part-*.gz")).read_bytes())
+    turned = lambda x: {k: turned(v) for k, v in reversed(x.items())} if isinstance(x, dict) else x
+    for data in (text, json.dumps(turned(json.loads(text)), indent=2).encode("utf-8-sig")):
+        rows = list(model_json.file_rows(data, 1))
+        assert sorted(rows[:-1], key=lambda r: r["node_id"]) == heap and rows[-1]["colors"] == colors
+    with pytest.raises(ValueError, match="lack children"):
+        model_json.write_forest(spark, str(tmp_path / "n"), table.where("node_id <> 5"), CONFIG, [3, 4], {})
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "tree0.json").write_bytes(text[:-40])
+    with pytest.raises(ValueError, match="tree0"):
+        model_json.read_nodes(spark, str(tmp_path / "cut"))
+
+
 def test_lab_points(spark):
     row = spark.createDataFrame([(255.0, 255.0, 255.0), (0.0, 0.0, 0.0), (255.0, 0.0, 0.0)], "r double, g double, b double")
     got = [list(r) for r in row.select(*color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))).collect()]
