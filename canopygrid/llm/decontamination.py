@@ -1,14 +1,16 @@
 """Benchmark decontamination: item-sized windows, SimHash, multi-index Hamming blocks, exact weighted-shingle check. DataFrame functions only.
 
-Words are runs of letters, marks and digits, lower-cased. A window is as long as a benchmark item and lies where one of its
-five-word shingles meets the same shingle of an item; without a common shingle no similarity over 0 is possible. An item of fewer
-words is one shingle of all its words, and is looked for among windows of as many. Windows and items get a 64-bit SimHash; blocks of
-its bits, with every pattern of few flipped bits, guarantee that a window meets each item within the radius among those that put it
-there; these are verified by the weighted Jaccard similarity of their shingles, each weighing as often as it occurs.
+Words are runs of letters, marks and digits, lower-cased. A window is as long as a benchmark item, and one at every place of a
+document is looked at that can reach the similarity: its five-word shingles that the item has, repeats included, are no fewer than what
+the two would have to share, and no window with fewer can reach it. An item of fewer words is one shingle of all its words, and is
+looked for among windows of as many. Windows and items get a 64-bit SimHash; blocks of its bits, with every pattern of few flipped bits,
+guarantee that a window meets its item if that is within the radius; these are verified by the weighted Jaccard similarity of their
+shingles, each weighing as often as it occurs.
 
 Nulls: null texts have no words; a null doc_id or item_id is carried along. Items without a word match nothing; a document of fewer
-words than an item's shingles have matches it not, one with fewer shingles than the item is one window. Ties: the earliest window of the highest similarity counts. Repeated rows
-give one result for each doc_id, text and item. Empty tables: empty result.
+words than an item's shingles have matches it not, one with fewer shingles than the item is one window. Ties: of the windows of the highest similarity, the earliest counts that
+puts a shingle where the item has it, else the earliest. Repeated rows give one result for each doc_id, text and item. Empty tables:
+empty result.
 """
 
 from __future__ import annotations
@@ -61,7 +63,26 @@ def _blocks(fp: Column) -> Column:
 def shared_weight(a: Column, b: Column) -> Column:
     """Sum over the distinct shingles of the smaller of the counts in ``a`` and ``b``."""
     count = lambda h, x: F.size(F.filter(h, lambda y: y == x))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+    counted = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+    # Shingles that are all different in b count once each, without looking for repeats.
+    return F.when(F.size(F.array_distinct(b)) == F.size(b), F.size(F.array_intersect(a, b))).otherwise(counted)
+
+
+def able(places: Column, n: Column, m: Column, least: float) -> Column:
+    """Starts of all windows of ``m`` shingles, or of all ``n`` if they are fewer, with enough of ``places`` to reach ``least``, in order.
+
+    ``places`` are sorted: where the item's shingles occur. A window belongs to the first place in it, so no start comes twice.
+    """
+    w = F.least(n, m)
+    # s / (w + m - s) >= least; what rounding could take away is left in.
+    k = F.greatest(F.lit(1), F.ceil(F.lit(least / (1 + least)) * (w + m) - 1e-6)).cast("int")
+
+    def run(first: Column, i: Column) -> Column:
+        after = F.when(i > 0, F.get(places, i - 1) + 1).otherwise(0)
+        low, high = F.greatest(F.get(places, i + k - 1) - w + 1, after, F.lit(0)), F.least(first, n - w)
+        return F.when((i + k <= F.size(places)) & (low <= high), F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.when(F.size(places) < k, F.array().cast("array<int>")).otherwise(F.flatten(F.transform(places, run)))
 
 
 def _located(docs: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
@@ -96,22 +117,34 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, k: int, least: float, radius:
     found = written(_located(docs, anchors, k).withColumn("row", F.monotonically_increasing_id()), "leak-documents")
     place = lambda p: F.struct(p.alias("p"), F.get("h", p).alias("shingle"))
     hits = found.select("row", F.size("h").alias("n"), F.explode(F.transform("at", place)).alias("x")).select("row", "n", "x.*")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("m")))
-    wanted = written(hits.join(small(anchors, BROADCAST_SHINGLES), "shingle").select("row", start.alias("start"), "m", "b").distinct(), "leak-starts")
-    windows = found.join(wanted.select("row", "start", "m").distinct(), "row").select("row", "doc_id", "text_hash", "start", "m", F.slice("h", F.col("start") + 1, F.col("m")).alias("window"))
-    windows = written(windows, "leak-windows").withColumn("fp", simhash(F.col("window")))
-    windows = written(windows, "leak-prints")
+    put = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("m")))
+    met = hits.join(small(anchors, BROADCAST_SHINGLES), "shingle").groupBy("row", "b", "n", "m").agg(F.sort_array(F.collect_set("p")).alias("places"), F.collect_set(put).alias("put"))
+    asked = met.select("row", "b", "m", "put", F.least("n", "m").alias("w"), F.explode(F.array(able(F.col("places"), F.col("n"), F.col("m"), least))).alias("starts")).where(F.size("starts") > 0)
+    # What the windows of a document and an item cover is kept once, however many windows lie in it.
+    first, over = F.get("starts", F.lit(0)), F.get("starts", F.size("starts") - 1) + F.col("w")
+    asked = found.join(asked, "row").select("row", "doc_id", "text_hash", "b", "m", "w", "starts", "put", first.alias("first"), F.slice("h", first + 1, over - first).alias("covered"))
+    asked = written(asked, "leak-windows")
+    window = lambda start: F.slice("covered", start - F.col("first") + 1, F.col("w"))
+    prints = F.transform("starts", lambda x: F.struct(x.alias("start"), F.array_contains("put", x).alias("put"), let(window(x), simhash).alias("fp")))
+    windows = written(asked.select("row", "b", F.explode(prints).alias("x")).select("row", "b", "x.*"), "leak-prints")
 
     patterns = F.array(*map(F.lit, block_patterns(radius)))
-    probes = items.select("item_id", "b", "m", "item", "item_fp", F.posexplode(_blocks(F.col("item_fp"))).alias("block", "bits")).withColumn("key", F.explode(F.transform(patterns, lambda p: p.bitwiseXOR(F.col("bits"))))).drop("bits", "m")
+    probes = items.select("b", "item_fp", F.posexplode(_blocks(F.col("item_fp"))).alias("block", "bits")).withColumn("key", F.explode(F.transform(patterns, lambda p: p.bitwiseXOR(F.col("bits"))))).drop("bits")
     probes = written(probes, "leak-probes")
-    asked = windows.join(wanted, ["row", "start", "m"])
-    pairs = asked.select("doc_id", "text_hash", "start", "m", "b", "window", "fp", F.posexplode(_blocks(F.col("fp"))).alias("block", "key")).join(small(probes), ["b", "block", "key"])
+    pairs = windows.select("row", "b", "start", "put", "fp", F.posexplode(_blocks(F.col("fp"))).alias("block", "key")).join(small(probes), ["b", "block", "key"])
     # A pair meets in several blocks; it counts in the first of them.
-    met = F.transform(F.arrays_zip(_blocks(F.col("fp")).alias("a"), _blocks(F.col("item_fp")).alias("b")), lambda x: F.bit_count(x["a"].bitwiseXOR(x["b"])) <= radius // BLOCKS)
-    pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).where(F.array_position(met, True) == F.col("block") + 1)
-    exact = pairs.withColumn("shared", shared_weight(F.col("window"), F.col("item"))).withColumn("similarity", F.col("shared") / (F.size("window") + F.col("m") - F.col("shared")))
-    return exact.where(F.col("similarity") >= least).groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("start"), "shared")).alias("best")).select("doc_id", "text_hash", "item_id", (-F.col("best.start")).cast("long").alias("start"), F.col("best.shared").cast("long").alias("shared"), "best.similarity")
+    shared_blocks = F.transform(F.arrays_zip(_blocks(F.col("fp")).alias("a"), _blocks(F.col("item_fp")).alias("b")), lambda x: F.bit_count(x["a"].bitwiseXOR(x["b"])) <= radius // BLOCKS)
+    pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).where(F.array_position(shared_blocks, True) == F.col("block") + 1)
+    near = written(pairs.groupBy("row", "b").agg(F.collect_list(F.struct("start", "put")).alias("near")), "leak-near")
+
+    def exact(x: Column) -> Column:
+        scored = lambda n: F.struct((n / (F.col("w") + F.col("m") - n)).alias("similarity"), x["put"].alias("put"), (-x["start"]).alias("start"), n.alias("shared"))
+        return let(shared_weight(window(x["start"]), F.col("item")), scored)
+
+    of_items = items.select("item_id", "b", "item")
+    best = asked.join(near, ["row", "b"]).join(small(of_items), "b").select("doc_id", "text_hash", "item_id", F.explode(F.array(F.array_max(F.transform("near", exact)))).alias("best"))
+    best = best.where(F.col("best.similarity") >= least).groupBy("doc_id", "text_hash", "item_id").agg(F.max("best").alias("best"))
+    return best.select("doc_id", "text_hash", "item_id", (-F.col("best.start")).cast("long").alias("start"), F.col("best.shared").cast("long").alias("shared"), "best.similarity")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:

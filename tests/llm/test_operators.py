@@ -503,6 +503,30 @@ def test_leaks_against_all_windows(spark):
     assert len(own) >= 0.98 * len(expected) and sum(v == pytest.approx(expected[k]) for k, v in own.items()) >= 0.98 * len(own)
 
 
+def test_leaks_between_the_places_of_shingles(spark):
+    """A passage with a new first and last word and seven more inside: of all windows only those that begin a little later reach 0.8."""
+    w = [f"w{k}" for k in range(104)]
+    passage = ["new", *w[1:50], *[f"more{k}" for k in range(7)], *w[50:103], "other"]
+    docs = [(1, " ".join([f"f{k}" for k in range(30)] + passage + [f"g{k}" for k in range(30)])), (2, " ".join(passage)), (3, " ".join(["again and"] * 40))]
+    items = [(1, " ".join(w)), (2, " ".join(["again and"] * 12))]
+    found = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id, r.start, r.shared, round(r.similarity, 6)) for r in found.collect()) == [(1, 1, 31, 89, round(89 / 111, 6)), (2, 1, 1, 89, round(89 / 111, 6)), (3, 2, 0, 20, 1.0)]
+
+
+def test_every_window_that_can_reach_the_similarity(spark):
+    rng = np.random.default_rng(8)
+    cases = []
+    for _ in range(300):
+        n, m = int(rng.integers(1, 60)), int(rng.integers(1, 40))
+        cases.append((n, m, sorted(int(p) for p in np.flatnonzero(rng.random(n) < rng.random()))))
+    for least in (0.8, 0.5, 0.0):
+        rows = spark.createDataFrame(cases, "n int, m int, places array<int>").select("*", decontamination.able(F.col("places"), F.col("n"), F.col("m"), least).alias("starts")).collect()
+        for r in rows:
+            w = min(r.n, r.m)
+            held = [sum(s <= p < s + w for p in r.places) for s in range(r.n - w + 1)]
+            assert r.starts == [s for s, h in enumerate(held) if h and h / (w + r.m - h) >= least]
+
+
 def test_leaks_of_nothing(spark, no_docs, edge_docs):
     _, items = _items(spark)
     assert decontamination.leaks(no_docs, items).isEmpty() and decontamination.leaks(edge_docs, items.limit(0)).isEmpty()
